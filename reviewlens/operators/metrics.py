@@ -119,7 +119,7 @@ def kfold_summary(folds: DataFrame, fold: str = "fold", f1: str = "combined_f1")
 def confusion_matrix(df: DataFrame, truth: str, pred: str, classes: Sequence[str]) -> DataFrame:
     """One row per true class, one column per predicted class."""
     return (
-        df.groupBy(F.col(truth).alias("truth")).pivot(pred, list(classes)).agg(F.count("*")).na.fill(0)
+        df.groupBy(F.col(truth).alias("truth")).pivot(pred, list(classes)).agg(F.count(F.lit(1))).na.fill(0)
     )
 
 

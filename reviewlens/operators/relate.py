@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.operators.lexicon import MAX_LITERAL_KEYWORDS
@@ -54,18 +54,12 @@ def match_by_substring(
     t = F.col(text)
     chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
 
-    grams = F.concat(
-        *[
-            F.when(
-                F.length(t) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size("chars") - n + 1),
-                    lambda p, n=n: F.array_join(F.slice(F.col("chars"), p, n), ""),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in lengths
-        ]
-    )
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("chars") - n + 1)
+        cut = F.transform(starts, lambda p: F.array_join(F.slice(F.col("chars"), p, n), ""))
+        return F.when(F.size("chars") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(*[grams_of(n) for n in lengths])
     pieces = df.select(*ids, t, chars.alias("chars")).select(*ids, F.explode(F.array_distinct(grams)).alias("keyword"))
     return pieces.join(entries, "keyword").select(*ids, "aspect", "role", "keyword")
 
