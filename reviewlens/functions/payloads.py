@@ -109,7 +109,7 @@ def page_products(html: Column | str) -> Column:
     return F.transform(
         zipped,
         lambda z: F.struct(
-            z["0"].alias("item_id"), z["1"].alias("name"), z["2"].alias("price"), with_scheme(z["3"]).alias("url")
+            z["a"].alias("item_id"), z["b"].alias("name"), z["c"].alias("price"), with_scheme(z["d"]).alias("url")
         ),
     )
 

@@ -13,13 +13,6 @@ CONTENT_REVIEW_FIRST = ["reviewContent", "content", "review", "text", "comment"]
 CONTENT_PLAIN_FIRST = ["content", "reviewContent", "review", "text", "comment"]
 CONTENT_TRAINING = ["ReviewText", "Review"]
 
-# One schema for every message layout; absent fields read null.
-MESSAGE = (
-    "product_id string, Product_ID string, item_id string, "
-    "review_content string, reviewContent string, content string, "
-    "review_id string, rating int, Product_Category string, timestamp double"
-)
-
 
 def resolve_content(
     df: DataFrame,
@@ -91,19 +84,24 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def decode_message(value: Column | str) -> Column:
-    """Message JSON of any layout to one struct; unreadable JSON gives null fields."""
+    """Message JSON of any layout to a map of its fields. (Names differ by case only, so a
+    struct would be ambiguous.) Unreadable JSON gives null."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.from_json(v, MESSAGE)
+    return F.from_json(v, "map<string,string>")
 
 
 def harmonise(m: Column) -> list[Column]:
     """Common fields of a decoded message, with defaults."""
+
+    def first(*names: str) -> list[Column]:
+        return [F.element_at(m, n) for n in names]
+
     return [
-        F.coalesce(m["product_id"], m["Product_ID"], m["item_id"], F.lit("unknown")).alias("product_id"),
-        F.coalesce(m["review_content"], m["reviewContent"], m["content"], F.lit("")).alias("review_content"),
-        F.coalesce(m["rating"], F.lit(0)).alias("rating"),
-        F.coalesce(m["review_id"], F.lit("")).alias("review_id"),
-        m["timestamp"].alias("timestamp"),
+        F.coalesce(*first("product_id", "Product_ID", "item_id"), F.lit("unknown")).alias("product_id"),
+        F.coalesce(*first("review_content", "reviewContent", "content"), F.lit("")).alias("review_content"),
+        F.coalesce(F.element_at(m, "rating").try_cast("int"), F.lit(0)).alias("rating"),
+        F.coalesce(F.element_at(m, "review_id"), F.lit("")).alias("review_id"),
+        F.element_at(m, "timestamp").try_cast("double").alias("timestamp"),
     ]
 
 
@@ -115,6 +113,6 @@ def encode_message(df: DataFrame, key: str | None, fields: Sequence[Column | str
 
 def split_dead_letters(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """(readable, dead): rows whose value is a JSON object, and the rest with a reason."""
-    good = F.coalesce(F.from_json(F.col(value), "map<string,string>").isNotNull(), F.lit(False))
+    good = decode_message(value).isNotNull()
     reason = F.when(F.col(value).isNull() | (F.trim(value) == ""), "empty").otherwise("not JSON")
     return df.where(good), df.where(~good).withColumn("error", reason)

@@ -12,7 +12,7 @@ from reviewlens.operators import project
 from reviewlens.plans.q_text import URLS, strip, urls
 from reviewlens.plans.registry import query
 from reviewlens.plans.session import scratch_path
-from reviewlens.plans.views import LABELS_LONG, REVIEWS, SHORT_REVIEWS, Tables, sql_text
+from reviewlens.plans.views import REVIEWS, SHORT_REVIEWS, Tables, sql_text
 from reviewlens.sources import readers, writers
 
 # -------------------------------------------------------------------------- sources
@@ -170,9 +170,6 @@ def search_payload(t):
     return readers.products_from_search(full, "payload", ["page"], 15).select("page", "position", "name", "price", "url", "item_id")
 
 
-PRODUCT_HTML = """'<div>' || string_agg('{"itemId":"' || event_id || '","name":"n' || user_id || '","priceShow":"' || value || '","productUrl":"//x/' || event_id || '"}', '' ORDER BY event_id) || '</div>'"""
-
-
 @query(
     "html_products",
     """SELECT event_id // 16 AS page, CAST(event_id AS VARCHAR) AS item_id, 'n' || user_id AS name, '$' || (event_id % 97) AS price,
@@ -223,7 +220,8 @@ READABLE = "event_id % 10 <> 9"
 )
 def harmonise_messages(t):
     good, _ = project.split_dead_letters(messages(t), "value")
-    return good.select("event_id", *project.harmonise(project.decode_message("value"))[:4])
+    decoded = good.withColumn("m", project.decode_message("value"))
+    return decoded.select("event_id", *project.harmonise(F.col("m"))[:4])
 
 
 @query(
@@ -245,7 +243,11 @@ def encode_message(t):
     sent = project.encode_message(t.short_reviews(), "product_id", fields)
     m = project.decode_message("value")
     return sent.select("key", m.alias("m")).select(
-        "key", "m.product_id", F.col("m.review_id").cast("bigint").alias("review_id"), "m.rating", "m.review_content"
+        "key",
+        F.col("m")["product_id"].alias("product_id"),
+        F.col("m")["review_id"].cast("bigint").alias("review_id"),
+        F.col("m")["rating"].cast("int").alias("rating"),
+        F.col("m")["review_content"].alias("review_content"),
     )
 
 
@@ -256,5 +258,3 @@ def surrogate_id(t):
     own = F.when(F.col("review_id") % 3 == 0, F.col("review_id").cast("string")).otherwise(F.lit(""))
     return r.select(F.col("review_id").alias("seq"), project.surrogate_id(own, F.col("product_id"), F.col("review_id"), F.col("content")).alias("id"))
 
-
-LABELS = LABELS_LONG

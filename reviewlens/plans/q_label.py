@@ -15,7 +15,6 @@ from reviewlens.plans.registry import query
 from reviewlens.plans.views import (
     CELLS_SQL,
     LABELLED_WIDE,
-    LABELS_LONG,
     REVIEWS,
     SCORED,
     SHORT_REVIEWS,
@@ -87,10 +86,6 @@ def aspects_long(t):
     return L.to_long(t.labelled_wide().na.fill("2", ASPECTS), ["review_id"], ASPECTS)
 
 
-def pairs_sql(values: str) -> str:
-    return values
-
-
 SENTIMENT_MAP = f"""{SCORED}, maps AS (
   SELECT review_id, aspect AS a, truth AS v, aspect || '_pred' AS b, pred AS w FROM scored)"""
 
@@ -541,5 +536,3 @@ UNION ALL SELECT 'aspect', aspect, count(*) FROM issues WHERE aspect IS NOT NULL
 def validation_breakdown(t):
     return validate.validation_breakdown(issues(t))
 
-
-LONG_LABELS = LABELS_LONG

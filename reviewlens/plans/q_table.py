@@ -13,7 +13,6 @@ from reviewlens.plans.registry import query
 from reviewlens.plans.views import (
     LABELLED_WIDE,
     LABELS_LONG,
-    LONG_REVIEWS,
     REVIEWS,
     SCORED,
     SHORT_REVIEWS,
@@ -31,13 +30,6 @@ def each_aspect(select: str, source: str, group: str = "") -> str:
     )
 
 
-SUMMARY = each_aspect(
-    "product_id, {a} AS aspect, count(*) FILTER ({c} = '1') AS positive, count(*) FILTER ({c} = '-1') AS negative, "
-    "count(*) FILTER ({c} = '0') AS neutral",
-    "labelled",
-    "GROUP BY product_id HAVING count(*) FILTER ({c} <> '2') > 0",
-)
-# HAVING names the column too
 SUMMARY = " UNION ALL ".join(
     f"SELECT product_id, {sql_text(a)} AS aspect, count(*) FILTER (\"{a}\" = '1') AS positive, "
     f"count(*) FILTER (\"{a}\" = '-1') AS negative, count(*) FILTER (\"{a}\" = '0') AS neutral FROM labelled "
@@ -554,5 +546,3 @@ def model_comparison(t):
     old = r.where("model <> 'view'").groupBy("model").agg(F.min_by("best_f1", "version").alias("best_f1"))
     return metrics.compare_models(old, metrics.latest_models(r))
 
-
-LONG_ONLY = LONG_REVIEWS

@@ -42,9 +42,13 @@ def file_stream(
 
 def decode(stream: DataFrame) -> DataFrame:
     """Envelope to harmonised messages, with the topic's partition and offset."""
-    m = F.col("__rl_m")
+    m = F.col("__rl_m")  # decoded once, read by every field
     return stream.withColumn("__rl_m", decode_message("value")).select(
-        *harmonise(m), m["Product_Category"].alias("product_category"), "partition", "offset", F.col("timestamp").alias("arrived")
+        *harmonise(m),
+        F.element_at(m, "Product_Category").alias("product_category"),
+        "partition",
+        "offset",
+        F.col("timestamp").alias("arrived"),
     )
 
 
