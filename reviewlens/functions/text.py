@@ -124,20 +124,16 @@ def strip_outer(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated words; a blank text gives an empty array."""
-    t = strip_ws(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{WS}]+"))
+    return F.filter(F.split(strip_ws(c), f"[{WS}]+"), lambda w: w != "")
 
 
 def expand_abbrev(c: Column | str, table: Mapping[str, str] = ABBREVIATIONS) -> Column:
     """Replace whole words found in ``table`` (looked up lower-cased), join by one space."""
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    longest = max(map(len, table))
 
     def expand(w: Column) -> Column:
-        # Long words cannot be abbreviations; skipping the lookup keeps this cheap.
-        return F.when(F.length(w) > longest, w).otherwise(
-            F.coalesce(F.element_at(lookup, F.lower(w)), w)
-        )
+        # A hashed set answers "is it an abbreviation" for the many words that are none.
+        return F.when(F.lower(w).isin(*table), F.element_at(lookup, F.lower(w))).otherwise(w)
 
     return F.array_join(F.transform(words(c), expand), " ")
 

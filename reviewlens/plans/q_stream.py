@@ -96,7 +96,7 @@ def stream_upsert(t):
         F.when(i % 9 != 0, F.floor(i / 2).cast("bigint").cast("string")).alias("review_id"),
         (i % 2).alias("half"),
     )
-    store = stores.PredictionStore(t.spark, scratch_path(t.spark, "store"), "product_id string, review_id string")
+    store = stores.PredictionStore(t.spark, scratch_path(t.spark, "store"), "product_id string, review_id string", buckets=8)
     path = scratch_path(t.spark, "stream")
     for half in (0, 1):
         e.where(F.col("half") == half).drop("half").coalesce(1).write.mode("append").parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "reviewlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +42,14 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="reviewlens-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a single-file table over the cores before CPU-heavy work.
+
+    One file with one row group is one busy task, whatever the number of cores. Tables of
+    several files are already split and are left as they are: no shuffle for them.
+    """
+    if len(df.inputFiles()) != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

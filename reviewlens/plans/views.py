@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.labels import ASPECTS
+from reviewlens.plans.session import spread
 
 PHRASES: list[str | None] = [
     "Sản phẩm tuyệt vời! <br> Giao hàng nhanh.",
@@ -67,7 +68,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def long_reviews(self) -> DataFrame:
-        return self.documents.select(
+        return spread(self.documents).select(
             (F.col("doc_id") * 2).alias("review_id"),
             F.col("source").alias("product_id"),
             (F.col("doc_id") % 5 + 1).cast("int").alias("rating"),
@@ -77,7 +78,7 @@ class Tables:
     def short_reviews(self) -> DataFrame:
         one = _phrase(F.col("event_id"))
         two = _phrase(F.col("user_id") * 7)
-        return self.events.select(
+        return spread(self.events).select(
             (F.col("event_id") * 2 + 1).alias("review_id"),
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("product_id"),
             (F.col("event_id") % 5 + 1).cast("int").alias("rating"),

@@ -37,18 +37,15 @@ class ReviewBatches:
         """``schema`` is that of the rows, with ``key`` and the numeric ``order``."""
         self.spark, self.key, self.order = spark, key, order
         self.size, self.timeout = size, timedelta(seconds=timeout_s)
-        self.schema = schema
-        self.open = EpochTable(spark, f"{path}/open", f"{schema}, arrived timestamp")
-        self.closed = EpochTable(spark, f"{path}/closed", f"{schema}, batch bigint, reason string")
+        self.rows = EpochTable(spark, path, f"{schema}, arrived timestamp, batch bigint, reason string, state string")
+        self.columns = [f.name for f in spark.createDataFrame([], schema).schema.fields]
         self.last_epoch = -1
 
     def process(self, batch: DataFrame, epoch: int, now: datetime | None = None) -> None:
         """``foreachBatch`` body."""
         now = now or datetime.now(timezone.utc)
-        pending = self._open_rows(epoch).unionByName(batch.withColumn("arrived", F.lit(now))).persist()
-        tagged = self._tag(pending, now)
-        self.closed.write(tagged.where("reason IS NOT NULL").drop("arrived"), epoch)
-        self.open.write(tagged.where("reason IS NULL").drop("batch", "reason"), epoch)
+        pending = self._open_rows(epoch).unionByName(batch.select(*self.columns, F.lit(now).alias("arrived"))).persist()
+        self.rows.write(self._tag(pending, now), epoch, "state")
         pending.unpersist()
         self.last_epoch = epoch
 
@@ -58,8 +55,8 @@ class ReviewBatches:
 
     def _open_rows(self, epoch: int) -> DataFrame:
         """Rows the micro-batch before left open, unless they were flushed since."""
-        left = self.open.read_epoch(epoch - 1)
-        flushed = not self.closed.read_epoch(self._flush_id(epoch - 1)).isEmpty()
+        left = self.rows.read_epoch(epoch - 1).where("state = 'open'").select(*self.columns, "arrived")
+        flushed = not self.rows.read_epoch(self._flush_id(epoch - 1)).isEmpty()
         return left.limit(0) if flushed else left
 
     def _tag(self, pending: DataFrame, now: datetime) -> DataFrame:
@@ -76,18 +73,19 @@ class ReviewBatches:
         return (
             cut.join(facts, self.key)
             .withColumn("reason", reason)
+            .withColumn("state", F.when(F.col("reason").isNull(), "open").otherwise("closed"))
             .drop("__rl_rn", "__rl_n", "__rl_first", "__rl_last")
         )
 
     def flush(self) -> None:
         """The stream is idle: close what is open. Safe to repeat."""
-        left = self.open.read_epoch(self.last_epoch).drop("arrived")
-        rows = left.withColumn("batch", F.lit(0).cast("bigint")).withColumn("reason", F.lit("idle"))
-        self.closed.write(rows, self._flush_id(self.last_epoch))
+        left = self.rows.read_epoch(self.last_epoch).where("state = 'open'")
+        closed = left.withColumns({"batch": F.lit(0).cast("bigint"), "reason": F.lit("idle"), "state": F.lit("closed")})
+        self.rows.write(closed, self._flush_id(self.last_epoch), "state")
 
     def read(self) -> DataFrame:
         """Closed batches: every row with its batch (unique with key and epoch) and reason."""
-        return self.closed.read()
+        return self.rows.read().where("state = 'closed'").select(*self.columns, "epoch", "batch", "reason")
 
     def summary(self) -> DataFrame:
         return (
