@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, UnivariateFeatureSelector
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +105,11 @@ def cross_validate_summary(folds: DataFrame) -> DataFrame:
 Scorer = Callable[[list[str]], list[str]]
 
 
+def batch_predictor(load: Callable[[], Callable], size: int, return_type: T.DataType, batch: int = 256) -> Callable:
+    """A numeric model as a Column function over vectors of ``size`` numbers, in batches."""
+    return predict_batch_udf(load, return_type=return_type, batch_size=batch, input_tensor_shapes=[[size]])
+
+
 def scorer_udf(load: Callable[[str], Scorer], version: str) -> Callable[[Column | str], Column]:
     """A batch scorer as a Column function.
 
@@ -134,6 +139,6 @@ def scorer_udf(load: Callable[[str], Scorer], version: str) -> Callable[[Column
                     out.loc[todo.index] = [one(score, t) for t in todo]
             yield out
 
+    # real types, not their names, so that Spark can tell the kind of function
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(run, T.StringType())
-    return udf
+    return F.pandas_udf(run, T.StringType())

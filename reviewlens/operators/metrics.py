@@ -77,19 +77,17 @@ def multilabel_scores(df: DataFrame, label: str, truth_m: str, pred_m: str, trut
         F.count_if(F.col(truth_m) == 1).alias("t"),
         F.count_if(F.col(pred_m) == 1).alias("p"),
     )
-    mention = per_label.agg(F.avg(_ratio(2 * F.col("tp"), F.col("t") + F.col("p"))).alias("mention_f1"))
-    sentiment = class_scores(df, truth_s, pred_s).agg(
-        F.avg("f1").alias("sentiment_f1"), _ratio(F.sum("tp"), F.sum("support")).alias("sentiment_acc")
-    )
+    mention = per_label.select(_ratio(2 * F.col("tp"), F.col("t") + F.col("p")).alias("mention"))
+    sentiment = class_scores(df, truth_s, pred_s).select(F.col("f1").alias("sentiment"), "tp", "support")
+    # a few rows from each side, averaged apart (nulls do not count)
     return (
-        mention.withColumn("k", F.lit(1))
-        .join(sentiment.withColumn("k", F.lit(1)), "k")
-        .select(
-            "mention_f1",
-            "sentiment_f1",
-            "sentiment_acc",
-            ((F.col("mention_f1") + F.col("sentiment_f1")) / 2).alias("combined_f1"),
+        mention.unionByName(sentiment, allowMissingColumns=True)
+        .agg(
+            F.avg("mention").alias("mention_f1"),
+            F.avg("sentiment").alias("sentiment_f1"),
+            _ratio(F.sum("tp"), F.sum("support")).alias("sentiment_acc"),
         )
+        .withColumn("combined_f1", (F.col("mention_f1") + F.col("sentiment_f1")) / 2)
     )
 
 

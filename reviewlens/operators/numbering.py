@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: str, output: str = "rn", slices: int = 64) -> DataFrame:
-    """Add 1, 2, 3, ... per key in ``order`` (a numeric, unique column).
+    """Add 1, 2, 3, ... per key in ``order`` (a numeric, unique column); keys are not null.
 
     The order range is cut into slices. Rows are numbered within (key, slice), and each
     slice starts after the rows of the key's earlier slices, counted beforehand. A key with

@@ -111,6 +111,11 @@ def encode_message(df: DataFrame, key: str | None, fields: Sequence[Column | str
     return df.select(k.alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def stamp(df: DataFrame, column: str = "processed_at") -> DataFrame:
+    """Add the processing time, in seconds since 1970."""
+    return df.withColumn(column, F.unix_micros(F.current_timestamp()) / 1e6)
+
+
 def split_dead_letters(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """(readable, dead): rows whose value is a JSON object, and the rest with a reason."""
     good = decode_message(value).isNotNull()

@@ -104,18 +104,26 @@ def validate_labels(
 
 def validation_report(samples: DataFrame, issues: DataFrame, file: str, row: str) -> DataFrame:
     """One row: files, samples, issues, rate in percent, distinct samples with issues."""
-    totals = samples.groupBy(file).agg(F.count("*").alias("n"))
-    a = totals.agg(F.count("*").alias("total_files"), F.sum("n").alias("total_samples"))
-    b = (
-        issues.groupBy(file, row)
-        .agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_issues"), F.count("*").alias("samples_with_issues"))
+    zero = F.lit(0).cast("bigint")
+    per_file = samples.groupBy(file).agg(F.count("*").alias("n")).select(
+        F.lit(1).alias("files"), F.col("n").alias("samples"), zero.alias("issues"), zero.alias("hit")
     )
+    per_sample = issues.groupBy(file, row).agg(F.count("*").alias("n")).select(
+        zero.alias("files"), zero.alias("samples"), F.col("n").alias("issues"), F.lit(1).alias("hit")
+    )
+    total = {
+        name: F.coalesce(F.sum(part), zero)
+        for name, part in (
+            ("total_files", "files"),
+            ("total_samples", "samples"),
+            ("total_issues", "issues"),
+            ("samples_with_issues", "hit"),
+        )
+    }
     rate = F.when(F.col("total_samples") > 0, F.col("total_issues") / F.col("total_samples") * 100).otherwise(0.0)
-    # two one-row results; the key is constant
     return (
-        a.withColumn("k", F.lit(1))
-        .join(b.withColumn("k", F.lit(1)), "k")
+        per_file.unionByName(per_sample)
+        .agg(*[c.alias(n) for n, c in total.items()])
         .select(
             "total_files",
             "total_samples",

@@ -55,8 +55,15 @@ def stream_ingest(t):
 def stream_enrich(t):
     good, _ = project.split_dead_letters(staged(t, envelope(t), "offset"), "value")
     out = ingest.drain_to_parquet(ingest.enrich(ingest.decode(good)), scratch_path(t.spark, "enriched"), scratch_path(t.spark, "checkpoint"))
-    fields = "product_id string, review_content string, review_id string, product_category string, predicted_sentiment string"
-    return out.select(F.from_json("value", fields).alias("m")).select("m.*")
+    fields = "review_id string, reviewContent string, Product_ID string, Product_Category string, predicted_sentiment string"
+    m = F.col("m")
+    return out.select(F.from_json("value", fields).alias("m")).select(
+        m["Product_ID"].alias("product_id"),
+        m["reviewContent"].alias("review_content"),
+        m["review_id"].alias("review_id"),
+        m["Product_Category"].alias("product_category"),
+        m["predicted_sentiment"].alias("predicted_sentiment"),
+    )
 
 
 def reviews_stream(t: Tables) -> DataFrame:

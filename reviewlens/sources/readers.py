@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewlens.functions.payloads import review_fields, review_items, search_fields, search_items
@@ -19,7 +20,8 @@ def read_workbook(spark: SparkSession, path: str, header: bool = True) -> DataFr
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
-    """Header CSV with quoted line breaks; without a schema every column is text."""
+    """Header CSV with quoted line breaks; without a schema every column is text. Line breaks
+    inside cells keep a file from being split, so keep single files small."""
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (r.schema(schema) if schema else r).csv(path if isinstance(path, str) else list(path))
 
@@ -47,7 +49,8 @@ PREDICTION = (
 
 
 def read_prediction_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per product; the file name is the product."""
+    """One JSON array per product; the file name is the product. Such a file is read by one
+    task, so big products are better kept as JSON lines or in the prediction store."""
     df = spark.read.schema(PREDICTION).option("multiLine", True).json(path)
     return df.withColumn("product_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", ""))
 
@@ -109,8 +112,6 @@ def reviews_from_pages(
     item order. ``project`` gives the eight review fields, else the raw item."""
     items = pages.select(*keys, *([page] if page else []), F.posexplode(review_items(payload)).alias("pos", "item"))
     if limit is not None:
-        from pyspark.sql import Window as W
-
         order = [F.col(c) for c in ([page] if page else []) + ["pos"]]
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         items = items.withColumn("rank", rank).where(F.col("rank") <= limit)

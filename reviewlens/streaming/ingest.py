@@ -56,7 +56,14 @@ def enrich(messages: DataFrame, sentiment: Column | None = None) -> DataFrame:
     """Score the text only, keep the product columns beside it, encode for the output topic."""
     label = doc_polarity("review_content") if sentiment is None else sentiment
     scored = messages.withColumn("predicted_sentiment", label)
-    fields = ["review_id", "review_content", "product_id", "product_category", "predicted_sentiment"]
+    fields = [
+        F.col("review_id"),
+        F.col("review_content").alias("reviewContent"),
+        F.col("product_id").alias("Product_ID"),
+        F.col("product_category").alias("Product_Category"),
+        F.col("predicted_sentiment"),
+        (F.unix_micros(F.current_timestamp()) / 1e6).alias("processed_at"),
+    ]
     return scored.select(
         F.col("product_id").alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")
     )
