@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, UnivariateFeatureSelector
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -46,9 +46,17 @@ def sentiment_model(text: str, label: str, size: int = 1 << 14, iterations: int
     return Pipeline(stages=[*hashed_features(text, size), lr])
 
 
-def polarity_models(df: DataFrame, text: str, labels: Sequence[str], size: int = 1 << 14) -> dict[str, PipelineModel]:
-    """Independent binary models, one per polarity flag, for mixed labels."""
-    return {name: mention_model(text, name, size).fit(df) for name in labels}
+def binary_models(
+    df: DataFrame, text: str, labels: Sequence[str], size: int = 1 << 14, iterations: int = 20
+) -> tuple[PipelineModel, dict[str, LogisticRegressionModel]]:
+    """One binary model per 0/1 label column (aspects, or polarity flags of mixed labels).
+    The text is turned into features once for all of them."""
+    features = Pipeline(stages=hashed_features(text, size)).fit(df)
+    ready = features.transform(df).select(*labels, "features").persist()
+    lr = LogisticRegression(family="binomial", maxIter=iterations, regParam=0.01)
+    models = {name: lr.copy({lr.labelCol: name}).fit(ready) for name in labels}
+    ready.unpersist()
+    return features, models
 
 
 def naive_bayes(text: str, label: str, vocabulary: int = 1 << 16, top: int = 1000) -> Pipeline:
@@ -67,17 +75,18 @@ def naive_bayes(text: str, label: str, vocabulary: int = 1 << 16, top: int = 100
     )
 
 
-def score_aspects(df: DataFrame, models: dict[str, PipelineModel], threshold: float = 0.5) -> DataFrame:
+def score_aspects(
+    df: DataFrame, features: PipelineModel, models: dict[str, LogisticRegressionModel], threshold: float = 0.5
+) -> DataFrame:
     """Probability per model, gathered into a map of the aspects at or above the threshold."""
-    out = df
+    out = features.transform(df)
     names = list(models)
     for i, name in enumerate(names):
         scored = models[name].transform(out)
-        extra = [c for c in scored.columns if c not in out.columns]
-        out = scored.withColumn(f"__rl_m{i}", vector_to_array("probability")[1]).drop(*extra)
+        out = scored.withColumn(f"__rl_m{i}", vector_to_array("probability")[1]).select(*out.columns, f"__rl_m{i}")
     entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"__rl_m{i}").alias("value")) for i, n in enumerate(names)])
     found = F.map_from_entries(F.filter(entries, lambda e: e["value"] >= threshold))
-    return out.withColumn("scores", found).drop(*[f"__rl_m{i}" for i in range(len(names))])
+    return out.withColumn("scores", found).select(*df.columns, "scores")
 
 
 def cross_validate(

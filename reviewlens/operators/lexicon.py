@@ -104,25 +104,16 @@ def count_contained(text: Column, keywords: Sequence[str]) -> Column:
 def keyword_positions(text: Column, keywords: Sequence[str]) -> Column:
     """All zero-based positions where any keyword starts, overlaps included, sorted.
 
-    The text is cut in front of every hit, so one pass finds them all; positions are the
-    running lengths of the pieces.
+    One pass marks the first character of every hit; the marks are then read off character
+    by character, so the cost is linear in the text.
     """
     # a keyword that begins with another one starts nowhere new
     starts = [k for k in keywords if not any(k != s and k.startswith(s) for s in keywords)]
-    alternatives = "|".join(map(re.escape, starts))
-    pieces = F.split(text, f"(?=(?:{alternatives}))", -1)
-    lengths = F.transform(pieces, F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    walked = F.aggregate(
-        lengths,
-        start,
-        lambda acc, n: F.struct(
-            (acc["at"] + n).alias("at"), F.array_append(acc["all"], acc["at"] + n).alias("all")
-        ),
-    )["all"]
-    inner = F.slice(walked, 1, F.size(walked) - 1)  # the last running length is the text end
-    at_zero = reduce(operator.or_, [F.startswith(text, F.lit(k)) for k in starts])
-    return F.when(at_zero, F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
+    alternatives = "|".join(map(re.escape, dict.fromkeys(starts)))
+    mark, other = "\x01", "\x02"
+    marked = F.regexp_replace(F.translate(text, mark, other), f"(?s)(?=(?:{alternatives})).", mark)
+    at = F.transform(F.split(marked, ""), lambda c, i: F.when(c == mark, i))
+    return F.filter(at, lambda i: i.isNotNull())
 
 
 def context_window(text: Column, position: Column, before: int, after: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.operators.lexicon import MAX_LITERAL_KEYWORDS
@@ -24,9 +24,8 @@ def lexicon_join(df: DataFrame, text: str, ids: Sequence[str], lexicon: DataFram
     """Every (row, lexicon entry) whose keyword occurs in the lower-cased text.
 
     A lexicon small enough for the plan becomes an array literal filtered per row: no join
-    at all. A larger one is matched by equality instead: each text yields its distinct
-    substrings of the lexicon's keyword lengths, which join on the keyword, so neither side
-    is ever broadcast or crossed.
+    at all. A larger one is matched by equality on parts of the text instead, so neither
+    side has to be broadcast and nothing is crossed.
     """
     entries = lexicon.select("aspect", "role", "keyword")
     rows = entries.take(MAX_LITERAL_KEYWORDS + 1)
@@ -43,25 +42,41 @@ def lexicon_join(df: DataFrame, text: str, ids: Sequence[str], lexicon: DataFram
         prepared = df.select(*ids, lower.alias("__rl_t"))
         found = F.filter(known, lambda e: F.contains(F.col("__rl_t"), e["keyword"]))
         return prepared.select(*ids, F.explode(found).alias("e")).select(*ids, "e.*")
-    lengths = [r[0] for r in entries.select(F.length("keyword")).distinct().orderBy(F.length("keyword")).collect()]
-    return match_by_substring(df.select(*ids, lower.alias("__rl_t")), "__rl_t", ids, entries, lengths)
+    return match_by_substring(df.select(*ids, lower.alias("__rl_t")), "__rl_t", ids, entries)
 
 
-def match_by_substring(
-    df: DataFrame, text: str, ids: Sequence[str], entries: DataFrame, lengths: Sequence[int]
-) -> DataFrame:
-    """Equality form of :func:`lexicon_join` for lexicons of any size."""
-    t = F.col(text)
-    chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+PREFIX = 3
+
 
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("chars") - n + 1)
-        cut = F.transform(starts, lambda p: F.array_join(F.slice(F.col("chars"), p, n), ""))
-        return F.when(F.size("chars") >= n, cut).otherwise(F.array().cast("array<string>"))
+def match_by_substring(df: DataFrame, text: str, ids: Sequence[str], entries: DataFrame) -> DataFrame:
+    """Equality form of :func:`lexicon_join` for lexicons of any size.
 
-    grams = F.concat(*[grams_of(n) for n in lengths])
-    pieces = df.select(*ids, t, chars.alias("chars")).select(*ids, F.explode(F.array_distinct(grams)).alias("keyword"))
-    return pieces.join(entries, "keyword").select(*ids, "aspect", "role", "keyword")
+    Keywords of three characters and more are found through their first three: every start
+    in the text gives one piece as long as the longest keyword, pieces meet keywords with
+    the same beginning and are then compared. Shorter keywords meet pieces of their length.
+    """
+    longest = entries.agg(F.max(F.length("keyword"))).first()[0] or 1
+    t = F.col(text)
+
+    def pieces(at_least: int, at_most: int):
+        # whole characters at a time, with the characters that follow
+        found = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{at_least},{at_most}}}))."), F.lit(1))
+        return df.select(*ids, F.explode(F.array_distinct(found)).alias("piece"))
+
+    long = entries.where(F.length("keyword") >= PREFIX).withColumn("start", F.substring("keyword", 1, PREFIX))
+    hits = (
+        pieces(PREFIX, max(longest, PREFIX))
+        .withColumn("start", F.substring("piece", 1, PREFIX))
+        .join(long, "start")
+        .where(F.startswith("piece", "keyword"))
+        .select(*ids, "aspect", "role", "keyword")
+    )
+    for n in range(1, PREFIX):
+        short = entries.where(F.length("keyword") == n).withColumnRenamed("keyword", "piece")
+        hits = hits.unionByName(
+            pieces(n, n).join(short, "piece").select(*ids, "aspect", "role", F.col("piece").alias("keyword"))
+        )
+    return hits.distinct()
 
 
 def completeness(expected: DataFrame, processed: DataFrame, key: str) -> DataFrame:

@@ -32,10 +32,11 @@ def src_csv(t):
 
 @query("sink_roundtrip", f"WITH {REVIEWS} SELECT review_id, product_id, rating, content FROM reviews")
 def sink_roundtrip(t):
-    """Labelled table export, one folder per product, and back."""
+    """Labelled table export, one folder per group of products, and back."""
     path = scratch_path(t.spark, "labelled")
-    writers.write_labelled(t.reviews(), path, file="product_id")
-    return t.spark.read.schema("review_id bigint, rating int, content string, product_id string").parquet(path)
+    writers.write_labelled(t.reviews().withColumn("bucket", writers.product_bucket("product_id", 16)), path, file="bucket")
+    schema = "review_id bigint, product_id string, rating int, content string, bucket int"
+    return t.spark.read.schema(schema).parquet(path).drop("bucket")
 
 
 @query(
@@ -54,18 +55,18 @@ def src_multi_file_counts(t):
 
 @query(
     "src_json_docs",
-    """SELECT CAST(user_id AS VARCHAR) AS product_id, CAST(event_id AS VARCHAR) AS review_id, event_type AS aspect,
+    """SELECT CAST(user_id % 97 AS VARCHAR) AS product_id, CAST(event_id AS VARCHAR) AS review_id, event_type AS aspect,
   CAST(event_id % 3 - 1 AS INTEGER) AS label FROM events""",
 )
 def src_json_docs(t):
     """Prediction documents per product written as JSON, read with the document schema."""
     path = scratch_path(t.spark, "predictions")
     docs = t.events.select(
-        F.col("user_id").cast("string").alias("product_id"),
+        (F.col("user_id") % 97).cast("string").alias("product_id"),
         F.col("event_id").cast("string").alias("review_id"),
         F.create_map("event_type", (F.col("event_id") % 3 - 1).cast("int")).alias("sentiment"),
     )
-    docs.write.partitionBy("product_id").json(path)
+    writers.gathered(docs, "product_id").write.partitionBy("product_id").json(path)
     back = t.spark.read.schema(readers.PREDICTION).option("recursiveFileLookup", True).json(path)
     return back.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"product_id=([^/]+)/", 1).alias("product_id"),

@@ -454,8 +454,7 @@ def lexicon_join_large(t):
     """The equality form, used when a lexicon outgrows the plan."""
     entries = lexicon_table(t)
     prepared = t.short_reviews().select("review_id", F.lower(F.coalesce("content", F.lit(""))).alias("x"))
-    lengths = sorted({len(k) for _, _, k in CONTEXT.rows()})
-    return relate.match_by_substring(prepared, "x", ["review_id"], entries, lengths)
+    return relate.match_by_substring(prepared, "x", ["review_id"], entries)
 
 
 # -------------------------------------------------------------------------- validation

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.operators import learn
+from reviewlens.operators.sampling import assign_split
 from reviewlens.plans.registry import query
+from reviewlens.plans.session import spread
 from reviewlens.plans.views import Tables
-from reviewlens.operators.sampling import assign_split
 
 
 def labelled(t: Tables) -> DataFrame:
     """Documents with their labels: quality, toxic and a three-class sentiment."""
-    both = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    both = spread(t.documents.select("doc_id", "text")).join(t.labels, "doc_id")
     sentiment = F.when(F.col("toxic") == 1, 0.0).when(F.col("quality") == 1, 1.0).otherwise(2.0)
     return both.select(
         "doc_id",
@@ -57,12 +58,8 @@ def ml_kfold(t):
 @query("ml_score")
 def ml_score(t):
     """One binary model per aspect, the aspects found as a map per document."""
-    train = labelled(t)
-    models = {
-        "quality": learn.mention_model("text", "quality", size=1 << 12).fit(train),
-        "toxic": learn.mention_model("text", "toxic", size=1 << 12).fit(train),
-    }
-    scored = learn.score_aspects(t.documents.select("doc_id", "text"), models)
+    features, models = learn.binary_models(labelled(t), "text", ["quality", "toxic"], size=1 << 12)
+    scored = learn.score_aspects(spread(t.documents.select("doc_id", "text")), features, models)
     return scored.select("doc_id", F.array_join(F.array_sort(F.map_keys("scores")), ",").alias("found"))
 
 
@@ -83,4 +80,4 @@ def load_counter(version: str):
 def scorer_udf(t):
     """A batch scorer loaded once per task, fed over Arrow."""
     score = learn.scorer_udf(load_counter, "v1")
-    return t.documents.select("doc_id", score("text").alias("reply"))
+    return spread(t.documents).select("doc_id", score("text").alias("reply"))

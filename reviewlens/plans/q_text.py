@@ -9,6 +9,7 @@ from reviewlens.functions.labels import ASPECTS
 from reviewlens.operators import project
 from reviewlens.operators.lexicon import DOC_NEGATIVE, DOC_POSITIVE, context_window, count_contained, keyword_positions
 from reviewlens.plans.registry import query
+from reviewlens.plans.session import spread
 from reviewlens.plans.views import REVIEWS, SHORT_REVIEWS, sql_list, sql_text
 
 WS_CLASS = f"[{T.WS}]"
@@ -39,7 +40,7 @@ def clean_stream(t):
 
 @query("clean_pages", f"SELECT page_id, coalesce({strip(rx(rx('lower(html)', T.TAG, ''), WS_CLASS + '+', ' '))}, '') AS cleaned FROM pages")
 def clean_pages(t):
-    return t.pages.select("page_id", T.clean_stream("html").alias("cleaned"))
+    return spread(t.pages).select("page_id", T.clean_stream("html").alias("cleaned"))
 
 
 # The sixteen pictograph ranges, written out.
@@ -192,22 +193,25 @@ SELECT doc_id * 2, count(DISTINCT p), CAST(sum(DISTINCT p) AS BIGINT), CAST(max(
 )
 def positions(t):
     """Where any of the keywords starts: number, sum and last of the positions."""
-    docs = t.documents.select((F.col("doc_id") * 2).alias("review_id"), F.col("text").alias("content"))
+    docs = spread(t.documents).select((F.col("doc_id") * 2).alias("review_id"), F.col("text").alias("content"))
 
     def found(df, keywords):
         p = keyword_positions(F.col("content"), keywords)
         return df.where("content IS NOT NULL").select("review_id", p.alias("p"))
 
+    def sums(df):
+        total = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return df.select(
+            "review_id",
+            F.size("p").cast("bigint").alias("n"),
+            total.alias("total"),
+            F.array_max("p").cast("bigint").alias("last"),
+        )
+
     both = found(t.short_reviews().select("review_id", "content"), POSITION_WORDS).unionByName(
         found(docs, [w for w in POSITION_WORDS if w != "aa"])
     )
-    total = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return both.where(F.size("p") > 0).select(
-        "review_id",
-        F.size("p").cast("bigint").alias("n"),
-        total.alias("total"),
-        F.array_max("p").cast("bigint").alias("last"),
-    )
+    return sums(both).where("last IS NOT NULL")
 
 
 @query(

@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewlens.functions.payloads import review_fields, review_items, search_fields, search_items
 from reviewlens.functions.text import clean_url, strip_ws
-from reviewlens.sources.workbook import WorkbookSource
+from reviewlens.sources.workbook import WorkbookSource, read_rows
 
 
 def read_workbook(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """xlsx file, folder or glob; adds ``_file`` and ``_row``."""
+    """xlsx file, folder or glob on a mounted file system; adds ``_file`` and ``_row``."""
     spark.dataSource.register(WorkbookSource)
     return spark.read.format("workbook").option("path", path).option("header", str(header).lower()).load()
 
 
+def read_workbook_remote(spark: SparkSession, path: str, columns: Sequence[str], rows_per_batch: int = 10_000) -> DataFrame:
+    """The same from any file system Spark reads (object stores, HDFS), for known columns.
+
+    Spark lists and distributes the files; a task holds one file's bytes and passes its rows
+    on in batches.
+    """
+    wanted = list(columns)
+    schema = ", ".join([*(f"`{c}` string" for c in wanted), "_file string", "_row bigint"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for location, content in zip(files["path"], files["content"]):
+                rows = read_rows(io.BytesIO(content))
+                at = {name: i for i, name in enumerate(next(rows, [])) if name is not None}
+                numbered = enumerate(rows, 1)
+                while part := list(itertools.islice(numbered, rows_per_batch)):
+                    yield pd.DataFrame(
+                        [
+                            (*(r[at[w]] if w in at and at[w] < len(r) else None for w in wanted), location.rsplit("/", 1)[-1], n)
+                            for n, r in part
+                        ],
+                        columns=[*wanted, "_file", "_row"],
+                    )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return files.mapInPandas(run, schema)
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
     """Header CSV with quoted line breaks; without a schema every column is text. Line breaks
     inside cells keep a file from being split, so keep single files small."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 from xml.etree import ElementTree
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,8 +40,8 @@ def _first_sheet(names: list[str]) -> str:
     )
 
 
-def read_rows(path: str) -> Iterator[list[str | None]]:
-    """Rows of the first sheet."""
+def read_rows(path: str | IO[bytes]) -> Iterator[list[str | None]]:
+    """Rows of the first sheet of a file (path or open file)."""
     with zipfile.ZipFile(path) as book:
         names = book.namelist()
         shared: list[str] = []

@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def gathered(df: DataFrame, column: str) -> DataFrame:
+    """Rows of one value together, so that a partitioned write makes few files. Adaptive
+    execution splits the partitions of values that are too big for one task."""
+    return df.hint("rebalance", F.col(column))
+
+
 def write_labelled(df: DataFrame, path: str, fmt: str = "parquet", file: str | None = None, mode: str = "overwrite") -> None:
     """Labelled table; with ``file`` one output folder per source file."""
-    w = df.write.mode(mode).format(fmt)
+    w = (gathered(df, file) if file else df).write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"').option("encoding", "UTF-8")
     (w.partitionBy(file) if file else w).save(path)
@@ -18,7 +24,8 @@ def write_labelled(df: DataFrame, path: str, fmt: str = "parquet", file: str | N
 
 def write_groups(df: DataFrame, path: str, group: str, fmt: str = "parquet", max_rows: int = 5_000_000) -> None:
     """One folder per group; a huge group is written by several tasks, in several files."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy(group).format(fmt).save(path)
+    w = gathered(df, group).write.mode("overwrite").option("maxRecordsPerFile", max_rows)
+    w.partitionBy(group).format(fmt).save(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -37,7 +44,8 @@ def product_bucket(product: str, buckets: int):
 
 def write_prediction_store(df: DataFrame, path: str, product: str = "product_id", buckets: int = 256, mode: str = "append") -> None:
     """Append predictions, partitioned by product bucket."""
-    df.withColumn("bucket", product_bucket(product, buckets)).write.mode(mode).partitionBy("bucket").parquet(path)
+    bucketed = df.withColumn("bucket", product_bucket(product, buckets))
+    gathered(bucketed, "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def kafka_batch(df: DataFrame, servers: str, topic: str, columns: Sequence[str] = ("key", "value")) -> None:

@@ -58,7 +58,10 @@ class PredictionStore:
     def process(self, batch: DataFrame, epoch: int) -> None:
         tagged = batch.withColumn("bucket", product_bucket(self.product, self.buckets))
         stored = self.table.read(before=epoch).select("bucket", self.product, self.key)
-        self.table.write(new_rows(stored, tagged, self.key, ["bucket", self.product]), epoch, "bucket")
+        fresh = new_rows(stored, tagged, self.key, ["bucket", self.product])
+        # few files per bucket, and a crowded bucket still has several writers
+        salt = F.pmod(F.xxhash64(*[c for c in fresh.columns if c != "bucket"]), F.lit(8))
+        self.table.write(fresh.repartition("bucket", salt), epoch, "bucket")
 
     def read(self) -> DataFrame:
         return self.table.read().drop("bucket", "epoch")

@@ -42,6 +42,8 @@ def test_workbook(spark, tmp_path):
         ("a.xlsx", 1, "y", "2.5"), ("a.xlsx", 2, "z", None), ("b.xlsx", 1, "tốt & đẹp", "1"), ("b.xlsx", 2, "x", "[-1,1]"),
     ]
     assert df.rdd.getNumPartitions() == 2
+    remote = readers.read_workbook_remote(spark, str(tmp_path), ["reviewContent", "A"], rows_per_batch=1)
+    assert sorted((r["_file"], r["_row"], r["reviewContent"], r["A"]) for r in remote.collect()) == got
 
 
 def test_header_search(spark, tmp_path):

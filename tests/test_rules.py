@@ -115,8 +115,8 @@ def test_cascade(spark):
 
 
 def test_positions(apply):
-    got = apply(lambda c: keyword_positions(F.col(c), ["aa", "b", "bc"]), ["aaab bc", "x", "baa"])
-    assert got == [[0, 1, 3, 5], [], [0, 1]]
+    got = apply(lambda c: keyword_positions(F.col(c), ["aa", "b", "bc"]), ["aaab bc", "x", "baa", "", None, "\x01b", "😀b"])
+    assert got == [[0, 1, 3, 5], [], [0, 1], [], None, [1], [1]]
 
 
 def test_minimal():
@@ -130,8 +130,11 @@ def test_lexicon_table(spark):
     df = spark.createDataFrame([(1, "Áo đẹp 😀 ship"), (2, None)], "i int, t string")
     small = relate.lexicon_join(df, "t", ["i"], table)
     lower = df.select("i", F.lower(F.coalesce("t", F.lit(""))).alias("x"))
-    large = relate.match_by_substring(lower, "x", ["i"], table, sorted({len(k) for _, _, k in SMALL.rows()}))
+    large = relate.match_by_substring(lower, "x", ["i"], table)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    odd = spark.createDataFrame([("a", "n", k) for k in ("p", "hi", "ship", "ship now", "😀 s", "😀")], "aspect string, role string, keyword string")
+    found = relate.match_by_substring(lower, "x", ["i"], odd).collect()
+    assert sorted(r["keyword"] for r in found) == ["hi", "p", "ship", "😀", "😀 s"]
 
 
 def test_validation(spark):
