@@ -2,34 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def number_within(df: DataFrame, keys: Sequence[str], order: str, output: str = "rn", slices: int = 64) -> DataFrame:
+def number_within(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    output: str = "rn",
+    slices: int = 64,
+    total: str | None = None,
+    facts: Mapping[str, tuple[str, str]] | None = None,
+) -> DataFrame:
     """Add 1, 2, 3, ... per key in ``order`` (a numeric, unique column); keys are not null.
 
     The order range is cut into slices. Rows are numbered within (key, slice), and each
     slice starts after the rows of the key's earlier slices, counted beforehand. A key with
     a third of all rows is therefore spread over the slices; only one count per (key,
-    slice) is ever gathered by key.
+    slice) is ever gathered by key. ``total`` adds the key's row count, and ``facts`` its
+    minima or maxima (name -> ("min" or "max", column)), from the same counts.
     """
+    facts = dict(facts or {})
+    added = [output, *([total] if total else []), *facts]
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is None:
-        return df.withColumn(output, F.lit(None).cast("bigint"))
+        return df.withColumns({c: F.lit(None).cast("bigint") for c in added if c not in facts} | {
+            name: F.first(column).over(W.partitionBy(*keys)) for name, (_, column) in facts.items()
+        })
     width = max((hi - lo) // slices + 1, 1)
     sliced = df.withColumn("__rl_slice", F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int"))
     group = [*keys, "__rl_slice"]
     local = sliced.withColumn("__rl_local", F.row_number().over(W.partitionBy(*group).orderBy(order)))
-    counts = sliced.groupBy(*group).agg(F.count("*").alias("__rl_n"))
-    before = W.partitionBy(*keys).orderBy("__rl_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*group, F.coalesce(F.sum("__rl_n").over(before), F.lit(0)).alias("__rl_offset"))
+    pick = {"min": F.min, "max": F.max}
+    counts = sliced.groupBy(*group).agg(
+        F.count("*").alias("__rl_n"), *[pick[how](column).alias(name) for name, (how, column) in facts.items()]
+    )
+    key = W.partitionBy(*keys)
+    before = key.orderBy("__rl_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        *group,
+        F.coalesce(F.sum("__rl_n").over(before), F.lit(0)).alias("__rl_offset"),
+        *([F.sum("__rl_n").over(key).alias(total)] if total else []),
+        *[pick[how](name).over(key).alias(name) for name, (how, _) in facts.items()],
+    )
     return (
         local.join(offsets, group)
         .withColumn(output, F.col("__rl_local") + F.col("__rl_offset"))
-        .drop("__rl_slice", "__rl_local", "__rl_offset")
-        .select(*df.columns, output)
+        .select(*df.columns, *added)
     )

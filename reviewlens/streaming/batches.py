@@ -60,19 +60,22 @@ class ReviewBatches:
         return left.limit(0) if flushed else left
 
     def _tag(self, pending: DataFrame, now: datetime) -> DataFrame:
-        numbered = number_within(pending, [self.key], self.order, "__rl_rn")
-        cut = numbered.withColumn("batch", F.floor((F.col("__rl_rn") - 1) / self.size).cast("bigint"))
-        # one row per product; the last batch of a product may be short
-        facts = pending.groupBy(self.key).agg(
-            F.count("*").alias("__rl_n"), F.min("arrived").alias("__rl_first"), F.max("arrived").alias("__rl_last")
+        numbered = number_within(
+            pending,
+            [self.key],
+            self.order,
+            "__rl_rn",
+            total="__rl_n",
+            facts={"__rl_first": ("min", "arrived"), "__rl_last": ("max", "arrived")},
         )
+        cut = numbered.withColumn("batch", F.floor((F.col("__rl_rn") - 1) / self.size).cast("bigint"))
+        # the last batch of a product may be short
         full = F.col("batch") < F.floor(F.col("__rl_n") / self.size)
         # a review of the product came in now, and its open batch had waited too long
         late = (F.col("__rl_last") == F.lit(now)) & (F.col("__rl_first") < F.lit(now - self.timeout))
         reason = F.when(full, "full").when(late & (F.col("__rl_n") < self.size), "timeout")
         return (
-            cut.join(facts, self.key)
-            .withColumn("reason", reason)
+            cut.withColumn("reason", reason)
             .withColumn("state", F.when(F.col("reason").isNull(), "open").otherwise("closed"))
             .drop("__rl_rn", "__rl_n", "__rl_first", "__rl_last")
         )
