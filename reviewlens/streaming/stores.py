@@ -67,7 +67,23 @@ class PredictionStore:
         return self.table.read().drop("bucket", "epoch")
 
 
-class LatestStore:
+class FoldedStore:
+    """Epoch folders that readers fold into one current table."""
+
+    table: EpochTable
+
+    def read(self) -> DataFrame:
+        raise NotImplementedError
+
+    def compact(self, epoch: int) -> None:
+        """Write what all epochs up to ``epoch`` fold to into a fresh folder, and go on there,
+        so that reading does not grow with the stream's age. Call between micro-batches."""
+        target = EpochTable(self.table.spark, f"{self.table.path}-c{epoch}", self.table.schema)
+        target.write(self.read(), epoch)
+        self.table = target
+
+
+class LatestStore(FoldedStore):
     """Newest ``n`` rows per key: each epoch keeps its own newest ``n``, readers merge."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: Sequence[str], n: int = 50):
@@ -80,15 +96,8 @@ class LatestStore:
     def read(self) -> DataFrame:
         return latest_n(self.table.read().drop("epoch"), self.order, self.n, self.keys)
 
-    def compact(self, epoch: int) -> None:
-        """Fold all epochs up to ``epoch`` into a fresh table folder and switch to it."""
-        merged = latest_n(self.table.read(before=epoch + 1).drop("epoch"), self.order, self.n, self.keys)
-        target = EpochTable(self.table.spark, f"{self.table.path}-c{epoch}", self.table.schema)
-        target.write(merged, epoch)
-        self.table = target
-
 
-class UpdateStore:
+class UpdateStore(FoldedStore):
     """Result of an update-mode aggregation: the newest epoch of a key holds its value."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str]):

@@ -71,3 +71,25 @@ def test_latest_store(spark):
     assert sorted(r["seq"] for r in s.read().collect()) == [12, 13, 14]
     s.process(reviews(spark, "p", 15, 1), 3)
     assert sorted(r["seq"] for r in s.read().collect()) == [13, 14, 15]
+
+
+def test_update_store(spark):
+    s = stores.UpdateStore(spark, scratch_path(spark, "u"), "k string, n bigint", ["k"])
+    s.process(spark.createDataFrame([("a", 1), ("b", 5)], "k string, n bigint"), 0)
+    s.process(spark.createDataFrame([("a", 2)], "k string, n bigint"), 1)
+    assert sorted(map(tuple, s.read().collect())) == [("a", 2), ("b", 5)]
+    s.compact(1)
+    s.process(spark.createDataFrame([("b", 6)], "k string, n bigint"), 2)
+    assert sorted(map(tuple, s.read().collect())) == [("a", 2), ("b", 6)]
+
+
+def test_shuffle_size(spark):
+    from reviewlens.plans.session import size_shuffles
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, 10) == 200
+        assert size_shuffles(spark, 1 << 40) == 4096
+        assert spark.conf.get(key) == "4096"
+    finally:
+        spark.conf.unset(key)
