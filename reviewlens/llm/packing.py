@@ -12,6 +12,7 @@ padding. Padding is therefore capacity mod k in a sequence of class k, and nothi
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -107,10 +108,10 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, doc_id:
         packer = Packer(capacity, TaskContext.get().partitionId() * TASK)
 
         def raw(ids: list[int]) -> bytes:
-            return b"".join(i.to_bytes(WIDTH, "little") for i in ids)
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         def ids_of(word: str) -> bytes:
-            return b"".join(raw(v.merged(p)) for p in v.split.findall(word))
+            return raw([i for p in v.pre_tokens(word) for i in v.merged(p)])
 
         id_type = None
 

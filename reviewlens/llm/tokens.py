@@ -30,9 +30,9 @@ from reviewlens.llm.common import strings, text_of
 # combining marks, or characters that decompose to others.
 PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ǃα-ω" "а-я‐-―‘-‟…ぁ-ゖァ-ヺ一-龥가-힣]*+")
 # White space to Python only, and capitals whose lower case depends on their neighbours.
-ODD = regex.compile("[\x1c-\x1fΣİ]")
+ODD = "\x1c\x1d\x1e\x1fΣİ"
 # Words remembered in a Python worker; beyond this the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -48,7 +48,7 @@ class Vocabulary:
         if (split["type"], split["invert"], steps) != ("Split", True, ["NFC", "Replace", "Lowercase"]):
             raise ValueError(f"the word shortcut does not know the splitting rules of {path}")
         self.split = regex.compile(split["pattern"]["Regex"])
-        self.special = [t["content"] for t in raw["added_tokens"]]
+        self.odd = [*ODD, *(t["content"] for t in raw["added_tokens"])]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -61,13 +61,18 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def pre_tokens(self, word: str) -> list[str]:
+        return [word] if word.isalpha() else self.split.findall(word)
+
     def merged(self, pre_token: str) -> list[int]:
         """The ids of one pre-token."""
-        return [t.id for t in self.model.tokenize("".join(map(self.marks.__getitem__, pre_token.encode())))]
+        if not pre_token.isascii():  # ASCII letters stand for themselves
+            pre_token = "".join(map(self.marks.__getitem__, pre_token.encode()))
+        return [t.id for t in self.model.tokenize(pre_token)]
 
     def look_up(self, text: str, of_word: Callable[[str], object]) -> list | None:
         """``of_word`` of each word of the text, remembered; None where only the library can split it."""
-        if ODD.search(text) or any(m in text for m in self.special):
+        if any(c in text for c in self.odd):
             return None
         words = text.lower().split()
         try:
@@ -76,7 +81,7 @@ class Vocabulary:
             if len(self.remembered) > REMEMBERED:
                 self.remembered.clear()
             for w in {w for w in words if w not in self.remembered}:
-                self.remembered[w] = of_word(w) if PLAIN.fullmatch(w) else None
+                self.remembered[w] = of_word(w) if w.isascii() and w.isprintable() or PLAIN.fullmatch(w) else None
             found = list(map(self.remembered.__getitem__, words))
         return None if None in found else found
 
@@ -129,7 +134,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id",
         ones = frozenset(whole.value)
 
         def tokens_of(word: str) -> int:
-            return sum(1 if p in ones else len(v.merged(p)) for p in v.split.findall(word))
+            return sum(1 if p in ones else len(v.merged(p)) for p in v.pre_tokens(word))
 
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
