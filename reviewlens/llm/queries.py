@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import packing, tokens
+from reviewlens.llm import chat, decontaminate, packing, tokens
 from reviewlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,20 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
 
 
+def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = f"{chat.END}{chat.START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digest(chat.conversations(chat.fold(chat.log_of(rows))))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_harmonic_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_harmonic_packing, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts)}
+ORACLES: dict[str, str] = {"op8_event_sourced_chat": chat.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
