@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import chat, decontaminate, packing, pii, tokens
+from reviewlens.llm import chat, decontaminate, packing, pages, pii, tokens, urls
 from reviewlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,11 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op3_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(rows, urls.labels_of_pages(rows, table(spark, sf_dir, "labels")))
+
+
 def op4_candidate_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
@@ -23,6 +28,10 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), END_ID)
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -38,5 +47,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_candidate_boosted_pii, op5_harmonic_packing, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_path_template_tree, op4_candidate_boosted_pii, op5_harmonic_packing, op7_site_style_tree, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_event_sourced_chat": chat.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
