@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import chat, decontaminate, packing, pages, pii, tokens, urls
+from pyspark.sql import functions as F
+
+from reviewlens.llm import chat, decontaminate, language, packing, pages, pii, tokens, topk, urls
 from reviewlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +17,17 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter(~language.is_held_out()))
+    out = language.identify(docs, model).withColumn("held_out", F.coalesce(language.is_held_out(), F.lit(False)))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "n_spans")
+
+
+def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(rows, urls.labels_of_pages(rows, table(spark, sf_dir, "labels")))
@@ -47,5 +60,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_path_template_tree, op4_candidate_boosted_pii, op5_harmonic_packing, op7_site_style_tree, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts)}
-ORACLES: dict[str, str] = {"op8_event_sourced_chat": chat.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_spans, op2_voronoi_top_k, op3_path_template_tree, op4_candidate_boosted_pii, op5_harmonic_packing, op7_site_style_tree, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts)}
+ORACLES: dict[str, str] = {"op2_voronoi_top_k": topk.SQL, "op8_event_sourced_chat": chat.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
