@@ -132,7 +132,7 @@ def solve(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
             scores = (q[a : a + AT_ONCE].astype(x.dtype) @ x).astype(np.int64)
             key = scores * m + np.arange(m - 1, -1, -1)
             own = asked[a : a + AT_ONCE, None] == ids
-            key[own] = np.iinfo(np.int64).min
+            key[own] = -np.iinfo(np.int64).max
             top = np.argpartition(-key, min(k, m) - 1, axis=1)[:, : min(k, m)] if m > k else np.tile(np.arange(m), (len(key), 1))
             row = np.repeat(np.arange(len(key)), top.shape[1])
             keep = ~own[row, top.ravel()]
