@@ -26,6 +26,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def carried(df: DataFrame, keep: tuple[str, ...]) -> str:
+    """Schema text of doc_id and of the columns that a batch function hands on."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """The texts of a batch; null is empty."""
     return [x or "" for x in column.to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import strings, text_of
+from reviewlens.llm.common import carried, strings, text_of
 
 # Bytes outside a-z, 0-9 and non-ASCII are gaps; A-Z become a-z. UTF-8 never has an ASCII byte inside a
 # longer character, so working on bytes is working on characters.
@@ -93,8 +93,8 @@ def find_hits(automaton: ahocorasick.Automaton, line: bytes) -> tuple[np.ndarray
     return np.cumsum(change)[: len(gaps) - 1] > 0, {item for _, (_, owners) in found for item in owners}
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns of ``keep``, n_words, n_hit, n_items, items_sha256, contaminated; with
     ``with_spans`` also the hit stretches of the original text as (start, end) code points, end exclusive.
 
     A word is hit if it lies in any occurrence of a window: ``size`` consecutive words of an item, or all
@@ -104,9 +104,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes:
     """
     spark = docs.sparkSession
     parts = spark.sparkContext.broadcast(windows_by_part(items.select(item_id, item_text), size, max_bytes))
-    few = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    schema = f"doc_id {dict(few.dtypes)['doc_id']}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", spans array<struct<start:int,end:int>>" * with_spans
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"][: 7 if with_spans else 6]
+    few = docs.select(F.col(doc_id).alias("doc_id"), *keep, text_of(text).alias("text"))
+    schema = f"{carried(few, keep)}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", spans array<struct<start:int,end:int>>" * with_spans
+    names = ["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["spans"] * with_spans]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     none = hashlib.sha256(b"").hexdigest()
 
@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes:
                         found[i].update(got[1])
             n_hit = [0 if h is None else int(h.sum()) for h in hit]
             digest = [hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest() if s else none for s in found]
-            columns = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_hit], pa.bool_())]
+            columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_hit], pa.bool_())]
             if with_spans:
                 columns.append(pa.array([[] if h is None else stretches(t, h) for t, h in zip(texts, hit, strict=True)], span))
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import strings, text_of
+from reviewlens.llm.common import carried, strings, text_of
 
 BUCKETS = 1 << 16
 PENALTY = 12.0
@@ -190,8 +190,8 @@ def label(model: Model, w: Words, first: np.ndarray, last: np.ndarray) -> np.nda
     return out
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", with_spans: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score and n_spans; with ``with_spans`` also the spans
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", with_spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns of ``keep``, lang_pred, score and n_spans; with ``with_spans`` also the spans
     (start, stop, lang) in code points.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text under a model without
@@ -199,9 +199,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     to the first in order of name. Repeated rows are labelled each; texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    few = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    schema = f"doc_id {dict(few.dtypes)['doc_id']}, lang_pred string, score double, n_spans bigint" + ", spans array<struct<start:int,stop:int,lang:string>>" * with_spans
-    names = ["doc_id", "lang_pred", "score", "n_spans", "spans"][: 5 if with_spans else 4]
+    few = docs.select(F.col(doc_id).alias("doc_id"), *keep, text_of(text).alias("text"))
+    schema = f"{carried(few, keep)}, lang_pred string, score double, n_spans bigint" + ", spans array<struct<start:int,stop:int,lang:string>>" * with_spans
+    names = ["doc_id", *keep, "lang_pred", "score", "n_spans", *["spans"] * with_spans]
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                     if with_spans:
                         cuts = [a, *(turn + a).tolist(), b]
                         spans[i] = [{"start": int(w.start[c]) - began, "stop": int(w.stop[d - 1]) - began, "lang": m.languages[path[c]]} for c, d in zip(cuts, cuts[1:], strict=False)]
-            columns = [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score), pa.array(n_spans)]
+            columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(pred, pa.string()), pa.array(score), pa.array(n_spans)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)][: len(names)], names)
 
     return few.mapInArrow(run, schema)

@@ -126,9 +126,9 @@ def features(kind: str, c: Column, base: Column) -> Column:
     return F.struct(c["at"].alias("at"), c["stop"].alias("stop"), overlaps.alias("known"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
 
-def propose(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: the id, base_<kind> spans that pass their checks and loose_<kind> candidates with features."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+def propose(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Per row: the id, the columns of ``keep``, base_<kind> spans that pass their checks and loose_<kind> candidates with features."""
+    out = docs.select(F.col(doc_id).alias("doc_id"), *keep, text_of(text).alias("text"))
     empty = F.array().cast(SPAN)
     for k in KINDS:
         needed = F.col("text").contains("@") if k == "email" else F.col("text").contains("+") if k == "phone" else F.col("text").rlike(NEEDS[k])
@@ -198,14 +198,14 @@ def thresholds(proposed: DataFrame, model: GBTClassificationModel, precision: fl
     return out
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.98, max_training: int = 20_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, base_<kind> and added_<kind>, arrays of (at, stop) in code
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.98, max_training: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns of ``keep``, base_<kind> and added_<kind>, arrays of (at, stop) in code
     points, stop exclusive, in order of place.
 
     Null text is empty. Repeated rows are searched each. An added span never overlaps a base span of its
     kind; spans of different kinds may overlap. Without any candidate nothing is fitted and nothing added.
     """
-    proposed = saved(propose(docs, doc_id, text), "pii-candidates")
+    proposed = saved(propose(docs, doc_id, text, keep), "pii-candidates")
     model = fit(proposed, max_training)
     limits = thresholds(proposed, model, precision) if model else {}
     place = lambda c: F.struct(c["at"], c["stop"])
@@ -213,7 +213,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision:
         F.transform(F.filter(f"loose_{k}", lambda c: ~c["known"] & (score(model, c) >= limits[k])), place) if limits.get(k, 2.0) <= 1 else F.array().cast("array<struct<at:int,stop:int>>")
         for k in KINDS
     ]
-    return proposed.select("doc_id", *(f"base_{k}" for k in KINDS), *(a.alias(f"added_{k}") for a, k in zip(added, KINDS, strict=True)))
+    return proposed.select("doc_id", *keep, *(f"base_{k}" for k in KINDS), *(a.alias(f"added_{k}") for a, k in zip(added, KINDS, strict=True)))
 
 
 def written(spans: dict[str, Column]) -> Column:
