@@ -6,10 +6,13 @@ index has a list for every (level, segment, content); a list's key holds the pla
 size level, so all lists that position or size rules out are skipped without being read. Segments hold
 several shingles, so passages that many documents share do not make long lists.
 
-Set relations save the rest. Equal sets are one. In a list every set is compared with the leader only, and
-what a set differs from its leader by settles most other pairs of the list: the triangle inequality of
-set differences proves or excludes a link without a look at either set. Only pairs that are in different
-components, and that it leaves open, are compared. No pair that may link is left out.
+Set relations save the rest. Equal sets are one. For ``ROUNDS`` rounds every set that shares a list with
+another component is compared with one member of such a list, so the work of a round grows with the sets and
+not with their pairs; groups of near copies come together here, and a list within one component needs no
+further look. In the lists that are left, what each set differs from the list's leader by settles most
+pairs: the triangle inequality of set differences proves or excludes a link without a look at either set.
+Only pairs that are in different components, and that it leaves open, are compared at last. No pair that
+may link is left out.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ WORDS, PERCENT = 4, 85
 CHUNK = 1 << 21  # bytes of text worked on at once
 FLUSH = 1 << 21  # list entries that a task holds before it sends them on
 RANGE = 1 << 21  # entries that one task of the index receives, about
+ROUNDS = 3
 HEAVY = 256  # entries of one list in one task beyond which the task keeps them together
 # Fixed conversion: A-Z to a-z, white space to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 9 <= b <= 13 else b for b in range(256))
@@ -228,8 +232,8 @@ def lists_of(entries: DataFrame) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, "key bigint, doc bigint")
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of both sets and of their intersection, from the whole texts."""
+def sets_by_id(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, set) of the documents of ``needed`` (doc), from their whole texts."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +241,13 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             rows = [(ids[i], s.tobytes()) for i, s in sets_of(strings(batch["text"]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "set"])
 
+    chosen = docs.join(needed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return chosen.mapInArrow(sets, "id bigint, set binary").dropDuplicates(["id"])
+
+
+def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of both sets and of their intersection."""
+
     def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros((3, batch.num_rows), np.int64)
@@ -246,11 +257,9 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 n[:, i] = len(x), len(y), int((y[at] == x).sum())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *map(pa.array, n)], ["a", "b", "n_a", "n_b", "common"])
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    known = docs.join(needed, "doc_id", "left_semi").mapInArrow(sets, "id bigint, set binary").dropDuplicates(["id"])
-    known = saved(known, "jaccard-sets")
     with_b = pairs.join(known.toDF("b", "set_b"), "b")
-    return with_b.join(known.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
+    both = with_b.join(known.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
+    return saved(both.mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
 
 
 def linked() -> Column:
@@ -296,25 +305,51 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
     moved = copies.filter("doc_id <> first").select(F.col("doc_id").alias("doc"), "first")
     found = saved(lists_of(index_entries(few, ranges, heavy)), "jaccard-lists")
     lists = found.join(moved, "doc", "left").select("key", F.coalesce("first", "doc").alias("doc")).distinct()
-    leads = lists.groupBy("key").agg(F.min("doc").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    lists = saved(lists.join(leads, "key"), "jaccard-led")
-    pairs = lists.filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    first_round = saved(compared(pairs, few), "jaccard-compared")
-    links = moved.select(F.col("doc").alias("a"), F.col("first").alias("b")).union(first_round.filter(linked()).select("a", "b"))
-    second = open_pairs(lists, components(links), first_round)
-    sure = second.filter("sure").select("a", "b")
-    second_round = saved(compared(second.filter("NOT sure").select("a", "b"), few), "jaccard-compared")
-    root = components(links.union(sure).union(second_round.filter(linked()).select("a", "b")))
+    lists = saved(divided(lists.withColumn("root", F.col("doc"))), "jaccard-open")
+    known = saved(sets_by_id(few, lists), "jaccard-sets")
+    links = moved.select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    root = components(links)
+    for turn in range(ROUNDS):
+        links = links.union(compared(partners(lists, turn), known).filter(linked()).select("a", "b"))
+        root = components(links)
+        lists = saved(divided(rooted(lists.drop("root"), root)), "jaccard-open")
+    leads = lists.groupBy("key").agg(F.min("doc").alias("lead"))
+    led = saved(lists.join(leads, "key").filter("doc <> lead"), "jaccard-led")
+    stars = compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), known)
+    links = links.union(stars.filter(linked()).select("a", "b"))
+    root = components(links)
+    rest = open_pairs(divided(rooted(led.drop("root"), root)), stars)
+    last = compared(rest.filter("NOT sure").select("a", "b"), known)
+    root = components(links.union(rest.filter("sure").select("a", "b")).union(last.filter(linked()).select("a", "b")))
     return sizes.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def open_pairs(lists: DataFrame, root: DataFrame, compared_pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sure) of a list that are in different components and that their distances to the list's
-    leader do not rule out; ``sure`` where these prove the link."""
-    of = lists.filter("size > 2").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    far = compared_pairs.select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.col("n_b").alias("n"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
-    members = saved(of.filter("doc <> lead").join(split, "key", "left_semi").join(far, ["lead", "doc"]).select("key", "doc", "root", "n", "d"), "jaccard-open")
+def rooted(lists: DataFrame, root: DataFrame) -> DataFrame:
+    """Each row with the component of its document, itself where it has none yet."""
+    return lists.join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
+def divided(lists: DataFrame) -> DataFrame:
+    """The rows (key, doc, root) of lists that hold more than one component."""
+    split = lists.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return lists.join(split, "key", "left_semi")
+
+
+def partners(lists: DataFrame, turn: int) -> DataFrame:
+    """One pair for every document of a divided list: with the member that comes first by a hash of this
+    turn, or by number in the first turn, in one of the lists where that is of another component."""
+    place = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
+    first = lists.groupBy("key").agg(F.min_by(F.struct("doc", "root"), place).alias("first"))
+    other = lists.join(first, "key").filter("root <> first.root").select("doc", F.col("first.doc").alias("other"))
+    chosen = other.groupBy("doc").agg(F.min_by("other", F.xxhash64("other", F.lit(turn)) if turn else F.col("other")).alias("other"))
+    return chosen.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+
+def open_pairs(led: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs (a, b, sure) of a divided list that are in different components and that their distances to the
+    list's leader do not rule out; ``sure`` where these prove the link."""
+    far = stars.select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.col("n_b").alias("n"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
+    members = saved(led.join(far, ["lead", "doc"]).select("key", "doc", "root", "n", "d"), "jaccard-members")
     x, y = members.toDF("key", "a", "root_a", "n_a", "d_a"), members.toDF("key", "b", "root_b", "n_b", "d_b")
     # A link allows sizes n_a, n_b to differ in at most (100 - PERCENT) * (n_a + n_b) / (100 + PERCENT) elements.
     most = (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
