@@ -58,8 +58,10 @@ def training_pairs(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def surrogate_id(existing: Column, product: Column, *parts: Column) -> Column:
-    """The id if there is one, else product and a hash of ``parts`` (same row, same id)."""
-    made = F.concat_ws("_", product, F.lower(F.hex(F.xxhash64(product, *parts))))
+    """The id if there is one, else product and the md5 of ``parts`` (same row, same id); null parts are
+    empty, parts are kept apart by a control character."""
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    made = F.concat_ws("_", product, F.md5(F.concat_ws("\x1f", *texts)))
     return F.coalesce(F.nullif(existing.cast("string"), F.lit("")), made)
 
 

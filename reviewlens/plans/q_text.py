@@ -43,7 +43,7 @@ def clean_pages(t):
     return spread(t.pages).select("page_id", T.clean_stream("html").alias("cleaned"))
 
 
-# The sixteen pictograph ranges, written out.
+# The sixteen pictograph ranges, written out.
 EMOJI_RANGES = (
     r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}"
     r"\x{24C2}-\x{1F251}\x{1F926}-\x{1F937}\x{10000}-\x{10FFFF}\x{200D}\x{2640}-\x{2642}\x{2600}-\x{2B55}"

@@ -56,4 +56,4 @@ def test_hot_copies_give_the_right_answer(spark):
 
 
 def test_most_queries_have_sql():
-    assert set(QUERIES) - set(ORACLES) == (LEARNED - {"scorer_udf"}) | {"surrogate_id"}
+    assert set(QUERIES) - set(ORACLES) == LEARNED - {"scorer_udf"}
