@@ -11,8 +11,9 @@ another component is compared with one member of such a list, so the work of a r
 not with their pairs; groups of near copies come together here, and a list within one component needs no
 further look. In the lists that are left, what each set differs from the list's leader by settles most
 pairs: the triangle inequality of set differences proves or excludes a link without a look at either set.
-Only pairs that are in different components, and that it leaves open, are compared at last. No pair that
-may link is left out.
+A second bound excludes most of the others: every element flips one bit of a set's sketch, so two sketches
+never differ in more bits than their sets do in elements. Only pairs that are in different components, and
+that both bounds leave open, are compared at last. No pair that may link is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ CHUNK = 1 << 21  # bytes of text worked on at once
 FLUSH = 1 << 21  # list entries that a task holds before it sends them on
 RANGE = 1 << 21  # entries that one task of the index receives, about
 ROUNDS = 3
+SKETCH = tuple(f"s{i}" for i in range(8))  # columns of 64 bits
 HEAVY = 256  # entries of one list in one task beyond which the task keeps them together
 # Fixed conversion: A-Z to a-z, white space to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 9 <= b <= 13 else b for b in range(256))
@@ -232,17 +234,25 @@ def lists_of(entries: DataFrame) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, "key bigint, doc bigint")
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits that are set where an odd number of elements falls, as signed 64-bit words."""
+    odd = np.bincount((hashes & U(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_by_id(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, set) of the documents of ``needed`` (doc), from their whole texts."""
+    """(id, set, sketch) of the documents of ``needed`` (doc), from their whole texts."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
-            rows = [(ids[i], s.tobytes()) for i, s in sets_of(strings(batch["text"]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "set"])
+            rows = [(ids[i], s.tobytes(), sketch(s)) for i, s in sets_of(strings(batch["text"]))]
+            words = np.array([r[2] for r in rows], np.int64).reshape(-1, len(SKETCH))
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *map(pa.array, words.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set", *SKETCH])
 
     chosen = docs.join(needed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return chosen.mapInArrow(sets, "id bigint, set binary").dropDuplicates(["id"])
+    return chosen.mapInArrow(sets, "id bigint, set binary" + "".join(f", {c} bigint" for c in SKETCH)).dropDuplicates(["id"])
 
 
 def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -257,8 +267,9 @@ def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 n[:, i] = len(x), len(y), int((y[at] == x).sum())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *map(pa.array, n)], ["a", "b", "n_a", "n_b", "common"])
 
-    with_b = pairs.join(known.toDF("b", "set_b"), "b")
-    both = with_b.join(known.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
+    sets = known.select("id", "set")
+    with_b = pairs.join(sets.toDF("b", "set_b"), "b")
+    both = with_b.join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
     return saved(both.mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
 
 
@@ -318,7 +329,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
     stars = compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), known)
     links = links.union(stars.filter(linked()).select("a", "b"))
     root = components(links)
-    rest = open_pairs(divided(rooted(led.drop("root"), root)), stars)
+    rest = open_pairs(divided(rooted(led.drop("root"), root)), stars, known)
     last = compared(rest.filter("NOT sure").select("a", "b"), known)
     root = components(links.union(rest.filter("sure").select("a", "b")).union(last.filter(linked()).select("a", "b")))
     return sizes.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
@@ -345,16 +356,18 @@ def partners(lists: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-def open_pairs(led: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs (a, b, sure) of a divided list that are in different components and that their distances to the
-    list's leader do not rule out; ``sure`` where these prove the link."""
+def open_pairs(led: DataFrame, stars: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b, sure) of a divided list that are in different components and that neither their distances
+    to the list's leader nor their sketches rule out; ``sure`` where the distances prove the link."""
     far = stars.select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.col("n_b").alias("n"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
-    members = saved(led.join(far, ["lead", "doc"]).select("key", "doc", "root", "n", "d"), "jaccard-members")
-    x, y = members.toDF("key", "a", "root_a", "n_a", "d_a"), members.toDF("key", "b", "root_b", "n_b", "d_b")
+    bits = known.select(F.col("id").alias("doc"), *SKETCH)
+    members = saved(led.join(far, ["lead", "doc"]).join(bits, "doc").select("key", "doc", "root", "n", "d", *SKETCH), "jaccard-members")
+    x, y = (members.toDF("key", *(c if c in ("a", "b") else f"{c}_{side}" for c in (side, "root", "n", "d", *SKETCH))) for side in ("a", "b"))
     # A link allows sizes n_a, n_b to differ in at most (100 - PERCENT) * (n_a + n_b) / (100 + PERCENT) elements.
     most = (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
     near = (100 + PERCENT) * F.greatest(F.abs(F.col("d_a") - F.col("d_b")), F.abs(F.col("n_a") - F.col("n_b"))) <= most
-    both = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near)
+    flipped = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
+    both = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & ((100 + PERCENT) * flipped <= most))
     out = both.select("a", "b", ((100 + PERCENT) * (F.col("d_a") + F.col("d_b")) <= most).alias("sure"))
     return saved(out.groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-pairs")
 
