@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from reviewlens.llm.common import mixed, saved, strings, text_of
 
 WORDS, PERCENT = 4, 85
-CHUNK = 1 << 21  # bytes of text worked on at once
+CHUNK = 1 << 20  # bytes of text worked on at once
+PIECE = 1 << 17  # bytes of text hashed at once, up to the end of a word
 FLUSH = 1 << 21  # list entries that a task holds before it sends them on
-RANGE = 1 << 21  # entries that one task of the index receives, about
+RANGE = 1 << 19  # entries that one task of the index receives, about
 ROUNDS = 3
 SKETCH = tuple(f"s{i}" for i in range(8))  # columns of 64 bits
 HEAVY = 256  # entries of one list in one task beyond which the task keeps them together
@@ -40,6 +41,7 @@ HEAVY = 256  # entries of one list in one task beyond which the task keeps them
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 9 <= b <= 13 else b for b in range(256))
 STEP = 0x9E3779B97F4A7C15
 U = np.uint64
+LOW = np.uint32((1 << 31) - 1)
 
 
 @lru_cache(maxsize=2)
@@ -57,14 +59,20 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * U(STEP))
 
 
 def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of folded text."""
-    raw = np.frombuffer(line, np.uint8)
-    inside = raw != 0x20
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    start, stop = edges[::2], edges[1::2]
-    up, down = powers(1 << max(len(raw).bit_length(), 21))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], dtype=np.uint64)))
-    return start, mixed((total[stop] - total[start]) * down[start])
+    """Start and hash of every word of folded text that ends in a space; memory follows ``PIECE``, not the text."""
+    starts, hashes, at = [], [], 0
+    while at < len(line):
+        end = line.find(b" ", at + PIECE) + 1 or len(line)
+        raw = np.frombuffer(line, np.uint8, end - at, at)
+        inside = raw != 0x20
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+        start, stop = edges[::2], edges[1::2]
+        up, down = powers(1 << max(len(raw).bit_length(), 18))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], dtype=np.uint64)))
+        starts.append(start + at)
+        hashes.append(mixed((total[stop] - total[start]) * down[start]))
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
 
 
 def sets_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -177,8 +185,9 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
             key, owner = key[keep], owner[keep]
             part = ((key >> U(32)) * U(ranges)) >> U(32)
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-            table = doc.tobytes()
-            rows += [(int(part[a]), key[a:b].tobytes(), owner[a:b].tobytes(), table) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                used, place = np.unique(owner[a:b] & LOW, return_inverse=True)  # a row carries its own documents only
+                rows.append((int(part[a]), key[a:b].tobytes(), (place.astype(np.uint32) | owner[a:b] & ~LOW).tobytes(), doc[used].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "keys", "owner", "ids"])
             keys.clear(), owners.clear(), ids.clear()
 
@@ -215,7 +224,7 @@ def lists_of(entries: DataFrame) -> DataFrame:
         for k, o, ids in zip(*(table[c].to_pylist() for c in ("keys", "owner", "ids")), strict=True):
             o = np.frombuffer(o, np.uint32)
             key.append(np.frombuffer(k, np.uint64))
-            doc.append(np.frombuffer(ids, np.int64)[o & np.uint32((1 << 31) - 1)])
+            doc.append(np.frombuffer(ids, np.int64)[o & LOW])
             flag.append(o >> np.uint32(31))
         key, doc, flag = np.concatenate(key), np.concatenate(doc), np.concatenate(flag)
         order = np.argsort(key, kind="stable")
