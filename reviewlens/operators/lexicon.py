@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,15 +89,23 @@ def minimal(keywords: Sequence[str]) -> list[str]:
     return kept
 
 
+def balanced(columns: Sequence[Column], join: Callable[[Column, Column], Column], empty: Column) -> Column:
+    """The columns joined pairwise, so that the depth of the expression grows with the logarithm of their number."""
+    if not columns:
+        return empty
+    if len(columns) == 1:
+        return columns[0]
+    half = len(columns) // 2
+    return join(balanced(columns[:half], join, empty), balanced(columns[half:], join, empty))
+
+
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    hits = [F.contains(text, F.lit(k)) for k in minimal(keywords)]
-    return reduce(operator.or_, hits) if hits else F.lit(False)
+    return balanced([F.contains(text, F.lit(k)) for k in minimal(keywords)], operator.or_, F.lit(False))
 
 
 def count_contained(text: Column, keywords: Sequence[str]) -> Column:
     """How many distinct keywords occur."""
-    hits = [F.contains(text, F.lit(k)).cast("int") for k in dict.fromkeys(keywords)]
-    return reduce(operator.add, hits) if hits else F.lit(0)
+    return balanced([F.contains(text, F.lit(k)).cast("int") for k in dict.fromkeys(keywords)], operator.add, F.lit(0))
 
 
 def keyword_positions(text: Column, keywords: Sequence[str]) -> Column:

@@ -40,21 +40,27 @@ def run_batches(t: Tables, stream: DataFrame, body, mode: str = "append") -> Non
     ingest.drain(writer, scratch_path(t.spark, "checkpoint"))
 
 
+def readable_messages(t: Tables) -> DataFrame:
+    """The stream of readable messages; the others are stored as dead letters by a stream of their own."""
+    stream = staged(t, envelope(t), "offset")
+    good, dead = project.split_dead_letters(stream, "value")
+    ingest.drain_to_parquet(dead, scratch_path(t.spark, "dead-letters"), scratch_path(t.spark, "checkpoint"))
+    return good
+
+
 MESSAGE_COLUMNS = """CASE WHEN event_id % 4 >= 2 AND event_id % 8 = 2 THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END AS product_id,
   event_type || ' giao hàng nhanh' AS review_content, CAST(event_id AS VARCHAR) AS review_id"""
 
 
 @query("stream_ingest", f"SELECT {MESSAGE_COLUMNS}, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 5 AS INTEGER) ELSE 0 END AS rating FROM events WHERE {READABLE}")
 def stream_ingest(t):
-    good, _ = project.split_dead_letters(staged(t, envelope(t), "offset"), "value")
-    decoded = ingest.decode(good).select("product_id", "review_content", "review_id", "rating")
+    decoded = ingest.decode(readable_messages(t)).select("product_id", "review_content", "review_id", "rating")
     return ingest.drain_to_parquet(decoded, scratch_path(t.spark, "ingested"), scratch_path(t.spark, "checkpoint"))
 
 
 @query("stream_enrich", f"SELECT {MESSAGE_COLUMNS}, CASE WHEN event_id % 4 = 1 THEN 'Fashion' END AS product_category, 'POSITIVE' AS predicted_sentiment FROM events WHERE {READABLE}")
 def stream_enrich(t):
-    good, _ = project.split_dead_letters(staged(t, envelope(t), "offset"), "value")
-    out = ingest.drain_to_parquet(ingest.enrich(ingest.decode(good)), scratch_path(t.spark, "enriched"), scratch_path(t.spark, "checkpoint"))
+    out = ingest.drain_to_parquet(ingest.enrich(ingest.decode(readable_messages(t))), scratch_path(t.spark, "enriched"), scratch_path(t.spark, "checkpoint"))
     fields = "review_id string, reviewContent string, Product_ID string, Product_Category string, predicted_sentiment string"
     m = F.col("m")
     return out.select(F.from_json("value", fields).alias("m")).select(
@@ -75,16 +81,20 @@ def reviews_stream(t: Tables) -> DataFrame:
 
 @query(
     "stream_batches",
-    """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS product_id, count(*) AS n FROM events GROUP BY ALL)
+    """WITH c AS (SELECT CASE WHEN event_id % 97 <> 0 THEN CAST(user_id AS VARCHAR) END AS product_id, count(*) AS n FROM events GROUP BY ALL)
 SELECT product_id, 'full' AS reason, CAST(20 AS BIGINT) AS size, n // 20 AS batches FROM c WHERE n >= 20
 UNION ALL SELECT product_id, 'idle', n % 20, 1 FROM c WHERE n % 20 > 0""",
 )
 def stream_batches(t):
-    """Count-or-timeout batches of twenty per product, the rest flushed when idle."""
+    """Count-or-timeout batches of twenty per product, the rest flushed when idle. Some reviews come
+    without a product or a sequence number, and one number is far from all others."""
+    i = F.col("event_id")
+    seq = F.when(i % 101 != 0, F.when(i == 1, F.lit(1 << 60)).otherwise(i))
+    events = t.events.select(F.when(i % 97 != 0, F.col("user_id").cast("string")).alias("product_id"), i.cast("string").alias("review_id"), seq.alias("seq"))
     batches = ReviewBatches(
         t.spark, scratch_path(t.spark, "batches"), "product_id string, review_id string, seq bigint", timeout_s=24 * 3600
     )
-    run_batches(t, reviews_stream(t), lambda df, epoch: batches.process(df, epoch))
+    run_batches(t, staged(t, events, "seq"), lambda df, epoch: batches.process(df, epoch))
     batches.flush()
     return batches.summary().groupBy("product_id", "reason", "size").agg(F.count("*").alias("batches"))
 

@@ -39,7 +39,6 @@ class ReviewBatches:
         self.size, self.timeout = size, timedelta(seconds=timeout_s)
         self.rows = EpochTable(spark, path, f"{schema}, arrived timestamp, batch bigint, reason string, state string")
         self.columns = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-        self.last_epoch = -1
 
     def process(self, batch: DataFrame, epoch: int, now: datetime | None = None) -> None:
         """``foreachBatch`` body."""
@@ -47,7 +46,6 @@ class ReviewBatches:
         pending = self._open_rows(epoch).unionByName(batch.select(*self.columns, F.lit(now).alias("arrived"))).persist()
         self.rows.write(self._tag(pending, now), epoch, "state")
         pending.unpersist()
-        self.last_epoch = epoch
 
     def _flush_id(self, epoch: int) -> int:
         """Folder of the idle flush after ``epoch`` (negative, so it never meets an epoch)."""
@@ -81,10 +79,14 @@ class ReviewBatches:
         )
 
     def flush(self) -> None:
-        """The stream is idle: close what is open. Safe to repeat."""
-        left = self.rows.read_epoch(self.last_epoch).where("state = 'open'")
+        """The stream is idle: close what is open. Safe to repeat, also after a restart: the last
+        micro-batch is looked up among the folders written."""
+        last = self.rows.read().where("epoch >= 0").agg(F.max("epoch")).first()[0]
+        if last is None:
+            return
+        left = self.rows.read_epoch(last).where("state = 'open'")
         closed = left.withColumns({"batch": F.lit(0).cast("bigint"), "reason": F.lit("idle"), "state": F.lit("closed")})
-        self.rows.write(closed, self._flush_id(self.last_epoch), "state")
+        self.rows.write(closed, self._flush_id(last), "state")
 
     def read(self) -> DataFrame:
         """Closed batches: every row with its batch (unique with key and epoch) and reason."""

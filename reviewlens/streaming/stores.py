@@ -47,8 +47,8 @@ class EpochTable:
 class PredictionStore:
     """Idempotent per-product store: a review id is added once.
 
-    Rows are kept by product bucket, and both sides of the id check carry the bucket, so
-    only the id columns of the buckets in question are read.
+    Rows are kept by product bucket, and the id check reads the id columns of the
+    micro-batch's own buckets only. Columns may be of any type, maps included.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "review_id", product: str = "product_id", buckets: int = 64):
@@ -56,34 +56,23 @@ class PredictionStore:
         self.key, self.product, self.buckets = key, product, buckets
 
     def process(self, batch: DataFrame, epoch: int) -> None:
-        tagged = batch.withColumn("bucket", product_bucket(self.product, self.buckets))
-        stored = self.table.read(before=epoch).select("bucket", self.product, self.key)
+        tagged = batch.withColumn("bucket", product_bucket(self.product, self.buckets)).persist()
+        stored = self.stored(before=epoch, buckets=[r[0] for r in tagged.select("bucket").distinct().collect()])
         fresh = new_rows(stored, tagged, self.key, ["bucket", self.product])
-        # few files per bucket, and a crowded bucket still has several writers
-        salt = F.pmod(F.xxhash64(*[c for c in fresh.columns if c != "bucket"]), F.lit(8))
-        self.table.write(fresh.repartition("bucket", salt), epoch, "bucket")
+        # few files per bucket; Spark gives a crowded bucket several writers
+        self.table.write(fresh.hint("rebalance", "bucket"), epoch, "bucket")
+        tagged.unpersist()
 
-    def read(self) -> DataFrame:
-        return self.table.read().drop("bucket", "epoch")
-
-
-class FoldedStore:
-    """Epoch folders that readers fold into one current table."""
-
-    table: EpochTable
+    def stored(self, before: int, buckets: list[int]) -> DataFrame:
+        """Ids of some buckets from the micro-batches before one; other buckets' folders are not read."""
+        ids = self.table.read(before=before).where(F.col("bucket").isin(buckets))
+        return ids.select("bucket", self.product, self.key)
 
     def read(self) -> DataFrame:
-        raise NotImplementedError
-
-    def compact(self, epoch: int) -> None:
-        """Write what all epochs up to ``epoch`` fold to into a fresh folder, and go on there,
-        so that reading does not grow with the stream's age. Call between micro-batches."""
-        target = EpochTable(self.table.spark, f"{self.table.path}-c{epoch}", self.table.schema)
-        target.write(self.read(), epoch)
-        self.table = target
+        return self.table.read().drop("bucket", "epoch")
 
 
-class LatestStore(FoldedStore):
+class LatestStore:
     """Newest ``n`` rows per key: each epoch keeps its own newest ``n``, readers merge."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: Sequence[str], n: int = 50):
@@ -97,7 +86,7 @@ class LatestStore(FoldedStore):
         return latest_n(self.table.read().drop("epoch"), self.order, self.n, self.keys)
 
 
-class UpdateStore(FoldedStore):
+class UpdateStore:
     """Result of an update-mode aggregation: the newest epoch of a key holds its value."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str]):

@@ -62,13 +62,35 @@ def test_store_is_replay_safe(spark):
     assert got == [("p", "1"), ("p", "2"), ("q", ""), ("q", ""), ("q", "")]
 
 
+def test_batches_lose_no_row_without_key_or_order_or_on_restart(spark):
+    path = scratch_path(spark, "b")
+    rows = [(None, "a", 1), ("p", "b", None), (None, "c", None), ("p", "d", 1 << 60), *(("p", str(i), i) for i in range(17))]
+    ReviewBatches(spark, path, ROWS).process(spark.createDataFrame(rows, ROWS), 0)
+    again = ReviewBatches(spark, path, ROWS)  # as after a restart
+    again.flush()
+    assert sorted(r["review_id"] for r in again.read().collect()) == sorted(r[1] for r in rows)
+    assert {(r["product_id"], r["size"]) for r in again.summary().collect()} == {(None, 2), ("p", 19)}
+
+
+def test_store_takes_maps_and_reads_its_own_buckets(spark):
+    schema = "product_id string, review_id string, sentiment map<string,int>"
+    path = scratch_path(spark, "s")
+    s = stores.PredictionStore(spark, path, schema, buckets=4)
+    s.process(spark.createDataFrame([(f"p{i}", str(i), {"a": i}) for i in range(20)], schema), 0)
+    s = stores.PredictionStore(spark, path, schema, buckets=4)
+    s.process(spark.createDataFrame([("p3", "3", {"a": 9}), ("p3", "33", {"a": 33})], schema), 1)
+    assert sorted(r["sentiment"]["a"] for r in s.read().collect()) == [*range(20), 33]
+    assert {f.split("bucket=")[1].split("/")[0] for f in s.stored(1, [2]).inputFiles()} >= {"2"}
+    assert s.stored(1, [2]).select("bucket").distinct().collect()[0][0] == 2
+    plan = s.stored(1, [2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 def test_latest_store(spark):
     s = stores.LatestStore(spark, scratch_path(spark, "l"), ROWS, ["product_id"], ["seq"], 3)
     for epoch in range(3):
         s.process(reviews(spark, "p", epoch * 5, 5), epoch)
     assert sorted(r["seq"] for r in s.read().collect()) == [12, 13, 14]
-    s.compact(2)
-    assert sorted(r["seq"] for r in s.read().collect()) == [12, 13, 14]
     s.process(reviews(spark, "p", 15, 1), 3)
     assert sorted(r["seq"] for r in s.read().collect()) == [13, 14, 15]
 
@@ -78,7 +100,6 @@ def test_update_store(spark):
     s.process(spark.createDataFrame([("a", 1), ("b", 5)], "k string, n bigint"), 0)
     s.process(spark.createDataFrame([("a", 2)], "k string, n bigint"), 1)
     assert sorted(map(tuple, s.read().collect())) == [("a", 2), ("b", 5)]
-    s.compact(1)
     s.process(spark.createDataFrame([("b", 6)], "k string, n bigint"), 2)
     assert sorted(map(tuple, s.read().collect())) == [("a", 2), ("b", 6)]
 

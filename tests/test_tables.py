@@ -157,3 +157,20 @@ def test_number_within_is_exact_for_a_hot_key(spark):
     want = df.withColumn("w", F.row_number().over(W.partitionBy("k").orderBy("o")))
     assert got.join(want, ["k", "o"]).where("rn <> w").count() == 0 and got.count() == 30000
     assert number_within(df.limit(0), ["k"], "o").count() == 0
+
+
+def test_latest_n_beyond_the_bound_of_spark(spark):
+    from reviewlens.operators import sampling
+
+    df = spark.range(3000).selectExpr("id AS o", "IF(id % 3 = 0, 'a', 'b') AS k")
+    got = sampling.latest_n(df, ["o"], 1001, ["k"])
+    assert {(r[0], r[1], r[2]) for r in got.groupBy("k").agg({"o": "min", "*": "count"}).select("k", "min(o)", "count(1)").collect()} == {("a", 0, 1000), ("b", 1499, 1001)}
+
+
+def test_many_keywords_make_a_shallow_expression(spark):
+    from reviewlens.operators import lexicon
+
+    words = [f"w{i}x" for i in range(2000)]
+    df = spark.createDataFrame([("w7x and w1999x",), ("none",)], "t string")
+    got = df.select(lexicon.contains_any(df.t, words), lexicon.count_contained(df.t, words)).collect()
+    assert sorted(map(tuple, got)) == [(False, 0), (True, 2)]
