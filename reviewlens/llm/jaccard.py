@@ -286,25 +286,39 @@ def linked() -> Column:
     return 100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
+def starred(edges: DataFrame) -> bool:
+    """Whether every larger end u of the edges has one smaller neighbour v, and that has no smaller one."""
+    many = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return not many.union(chained).agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of an edge (a, b) reaches.
+    """node, root: the smallest node that each node of an edge (a, b) reaches; a root itself has no row.
 
-    Alternates two star operations until nothing changes: every node's larger neighbours, then its smaller
-    ones, are tied to the smallest node near it. Each round is written, so no lineage grows.
+    Alternates two star operations until only stars are left: every node's larger neighbours, then its
+    smaller ones, are tied to the smallest node near it. Each round is written, so no lineage grows.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        facts = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if facts == before or not facts[0]:
-            return now.toDF("node", "root")
-        before = facts
+    while not starred(now):
         both = now.union(now.select("v", "u"))
         near = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
         large = both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(least, "u").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         now = saved(small.union(least.select("u", "least")).distinct(), "edges")
+    return now.toDF("node", "root")
+
+
+def merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """``root`` (node, root) after new links (a, b): only the roots that the links tie together are looked at,
+    so a turn costs what it adds and not what was known before."""
+    at_a = root.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    at_b = root.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    ends = links.join(at_a, "a", "left").join(at_b, "b", "left")
+    tied = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = root.join(tied.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return saved(moved.union(tied), "jaccard-root")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -327,20 +341,17 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
     lists = found.join(moved, "doc", "left").select("key", F.coalesce("first", "doc").alias("doc")).distinct()
     lists = saved(divided(lists.withColumn("root", F.col("doc"))), "jaccard-open")
     known = saved(sets_by_id(few, lists), "jaccard-sets")
-    links = moved.select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    root = components(links)
+    root = components(moved.select(F.col("doc").alias("a"), F.col("first").alias("b")))  # no stars yet where a doc_id has several texts
     for turn in range(ROUNDS):
-        links = links.union(compared(partners(lists, turn), known).filter(linked()).select("a", "b"))
-        root = components(links)
+        root = merged(root, compared(partners(lists, turn), known).filter(linked()).select("a", "b"))
         lists = saved(divided(rooted(lists.drop("root"), root)), "jaccard-open")
     leads = lists.groupBy("key").agg(F.min("doc").alias("lead"))
     led = saved(lists.join(leads, "key").filter("doc <> lead"), "jaccard-led")
     stars = compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), known)
-    links = links.union(stars.filter(linked()).select("a", "b"))
-    root = components(links)
+    root = merged(root, stars.filter(linked()).select("a", "b"))
     rest = open_pairs(divided(rooted(led.drop("root"), root)), stars, known)
     last = compared(rest.filter("NOT sure").select("a", "b"), known)
-    root = components(links.union(rest.filter("sure").select("a", "b")).union(last.filter(linked()).select("a", "b")))
+    root = merged(root, rest.filter("sure").select("a", "b").union(last.filter(linked()).select("a", "b")))
     return sizes.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
