@@ -159,40 +159,42 @@ def compare_models(old: DataFrame, new: DataFrame, min_gain: float = 0.01) -> Da
     )
 
 
-def promotion_history(metrics: DataFrame, min_gain: float = 0.01, max_versions: int = 100_000) -> DataFrame:
-    """Replay the gate over every version of a model, in version order.
+def promotion_history(metrics: DataFrame, min_gain: float = 0.01, slices: int = 64) -> DataFrame:
+    """Replay the gate over every version of a model, in order of version, then score.
 
-    Each decision depends on the one before, so a model's scores are folded in order. Only
-    (version, score) pairs are gathered, and a model with more versions than
-    ``max_versions`` is an error rather than a silently heavy task.
+    Only a score above all earlier ones can be promoted: the champion is never ``min_gain`` below the best
+    score so far. So the running maximum, taken in slices of the versions, leaves a few records per model;
+    those are folded, and every version finds its champion among the few that were promoted. A version
+    without a score has no decision; of rows that repeat a version and score the first alone is promoted.
     """
-    pairs = metrics.groupBy("model").agg(
-        F.sort_array(F.collect_list(F.struct("version", "best_f1"))).alias("runs"), F.count("*").alias("n")
-    )
-    checked = pairs.withColumn(
-        "runs",
-        F.when(F.col("n") <= max_versions, F.col("runs")).otherwise(
-            F.raise_error(F.concat(F.lit("too many versions of model "), F.col("model").cast("string")))
-        ),
-    )
-    step_type = "array<struct<version:bigint,new_f1:double,old_f1:double,should_update:boolean>>"
-    start = F.struct(F.lit(0.0).alias("champion"), F.array().cast(step_type).alias("steps"))
-
-    def step(acc: Column, run: Column) -> Column:
-        better = run["best_f1"] - acc["champion"] >= min_gain
-        record = F.struct(
-            run["version"].cast("bigint").alias("version"),
-            run["best_f1"].cast("double").alias("new_f1"),
-            acc["champion"].alias("old_f1"),
-            better.alias("should_update"),
-        )
-        return F.struct(
-            F.when(better, run["best_f1"]).otherwise(acc["champion"]).alias("champion"),
-            F.array_append(acc["steps"], record).alias("steps"),
-        )
-
-    folded = F.aggregate("runs", start, step)["steps"]
-    return checked.select("model", F.explode(folded).alias("s")).select("model", "s.*")
+    runs = metrics.select("model", F.col("version").cast("bigint").alias("version"), F.col("best_f1").cast("double").alias("new_f1"))
+    at = F.col("version").cast("double")
+    cuts = runs.select(at.alias("v")).approxQuantile("v", [i / slices for i in range(1, slices)], 1 / (4 * slices))
+    passed = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < at)) if cuts else F.lit(0)
+    sliced = runs.withColumn("__rl_slice", F.when(at.isNull(), 0).otherwise(passed))
+    earlier = W.partitionBy("model").orderBy("__rl_slice").rowsBetween(W.unboundedPreceding, -1)
+    tops = sliced.groupBy("model", "__rl_slice").agg(F.max("new_f1").alias("top")).select(
+        F.col("model").alias("__rl_m"), F.col("__rl_slice").alias("__rl_s"), F.max("top").over(earlier).alias("before")
+    )
+    within = W.partitionBy("model", "__rl_slice").orderBy("version", "new_f1").rowsBetween(W.unboundedPreceding, -1)
+    best = F.greatest(F.max("new_f1").over(within), F.col("before"))
+    joined = sliced.join(tops, F.col("model").eqNullSafe(F.col("__rl_m")) & (F.col("__rl_slice") == F.col("__rl_s")))
+    records = joined.withColumn("best", best).where("new_f1 > coalesce(best, 0.0)")
+    folded = records.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("version", "new_f1"))).alias("runs"))
+    kind = "array<struct<version:bigint,new_f1:double>>"
+
+    def step(won: Column, run: Column) -> Column:
+        champion = F.coalesce(F.get(won, F.size(won) - 1)["new_f1"], F.lit(0.0))
+        return F.when(run["new_f1"] - champion >= min_gain, F.array_append(won, run)).otherwise(won)
+
+    won = folded.select(F.col("model").alias("__rl_m"), F.aggregate("runs", F.array().cast(kind), step).alias("won"))
+    repeat = F.row_number().over(W.partitionBy("model", "version", "new_f1").orderBy("model"))
+    own = F.struct("version", "new_f1")
+    first = F.col("repeat") == 1
+    past = F.filter(F.coalesce("won", F.array().cast(kind)), lambda x: (x < own) | (~first & (x == own)))
+    rows = runs.withColumn("repeat", repeat).join(won, F.col("model").eqNullSafe(F.col("__rl_m")), "left")
+    old = F.coalesce(F.get(past, F.size(past) - 1)["new_f1"], F.lit(0.0))
+    return rows.select("model", "version", "new_f1", old.alias("old_f1")).withColumn("should_update", F.col("new_f1") - F.col("old_f1") >= min_gain)
 
 
 def latest_models(metrics: DataFrame) -> DataFrame:

@@ -21,62 +21,43 @@ def reattach(scored: DataFrame, source: DataFrame, key: str, columns: Sequence[s
 
 
 def lexicon_join(df: DataFrame, text: str, ids: Sequence[str], lexicon: DataFrame) -> DataFrame:
-    """Every (row, lexicon entry) whose keyword occurs in the lower-cased text.
+    """Every (row, lexicon entry) whose keyword occurs in the lower-cased text: one output row for each row of
+    ``df`` and each entry, repeated entries included. An empty keyword occurs in every text, a null one in none.
 
     A lexicon small enough for the plan becomes an array literal filtered per row: no join
-    at all. A larger one is matched by equality on parts of the text instead, so neither
-    side has to be broadcast and nothing is crossed.
+    at all. A larger one is matched by equality on parts of the text; the rows are the same.
     """
     entries = lexicon.select("aspect", "role", "keyword")
+    prepared = df.select(*ids, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__rl_t"))
     rows = entries.take(MAX_LITERAL_KEYWORDS + 1)
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    if len(rows) <= MAX_LITERAL_KEYWORDS:
-        if not rows:
-            return df.select(*ids).join(entries, F.lit(False))
-        known = F.array(
-            *[
-                F.struct(F.lit(r["aspect"]).alias("aspect"), F.lit(r["role"]).alias("role"), F.lit(r["keyword"]).alias("keyword"))
-                for r in rows
-            ]
-        )
-        prepared = df.select(*ids, lower.alias("__rl_t"))
-        found = F.filter(known, lambda e: F.contains(F.col("__rl_t"), e["keyword"]))
-        return prepared.select(*ids, F.explode(found).alias("e")).select(*ids, "e.*")
-    return match_by_substring(df.select(*ids, lower.alias("__rl_t")), "__rl_t", ids, entries)
+    if len(rows) > MAX_LITERAL_KEYWORDS:
+        return match_by_substring(prepared, "__rl_t", ids, entries)
+    kind = "array<struct<aspect:string,role:string,keyword:string>>"
+    known = F.array(*[F.struct(*(F.lit(r[c]).alias(c) for c in entries.columns)) for r in rows]).cast(kind)
+    found = F.filter(known, lambda e: F.contains(F.col("__rl_t"), e["keyword"]))
+    return prepared.select(*ids, F.explode(found).alias("e")).select(*ids, "e.*")
 
 
-PREFIX = 3
+BROADCAST_BYTES = 32 << 20
 
 
 def match_by_substring(df: DataFrame, text: str, ids: Sequence[str], entries: DataFrame) -> DataFrame:
     """Equality form of :func:`lexicon_join` for lexicons of any size.
 
-    Keywords of three characters and more are found through their first three: every start
-    in the text gives one piece as long as the longest keyword, pieces meet keywords with
-    the same beginning and are then compared. Shorter keywords meet pieces of their length.
+    For every length that a keyword has, the distinct parts of that length of a text meet the keywords. The
+    lexicon is broadcast if its measured size allows it; otherwise both sides are shuffled, and adaptive
+    execution splits parts that occur in very many texts. The exploded text is never broadcast.
     """
-    longest = entries.agg(F.max(F.length("keyword"))).first()[0] or 1
-    t = F.col(text)
-
-    def pieces(at_least: int, at_most: int):
-        # whole characters at a time, with the characters that follow
-        found = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{at_least},{at_most}}}))."), F.lit(1))
-        return df.select(*ids, F.explode(F.array_distinct(found)).alias("piece"))
-
-    long = entries.where(F.length("keyword") >= PREFIX).withColumn("start", F.substring("keyword", 1, PREFIX))
-    hits = (
-        pieces(PREFIX, max(longest, PREFIX))
-        .withColumn("start", F.substring("piece", 1, PREFIX))
-        .join(long, "start")
-        .where(F.startswith("piece", "keyword"))
-        .select(*ids, "aspect", "role", "keyword")
-    )
-    for n in range(1, PREFIX):
-        short = entries.where(F.length("keyword") == n).withColumnRenamed("keyword", "piece")
-        hits = hits.unionByName(
-            pieces(n, n).join(short, "piece").select(*ids, "aspect", "role", F.col("piece").alias("keyword"))
-        )
-    return hits.distinct()
+    sizes = entries.where("keyword IS NOT NULL").groupBy(F.length("keyword").alias("n")).agg(F.count("*").alias("entries")).collect()
+    lengths = F.array(*[F.lit(r["n"]) for r in sizes]).cast("array<int>")  # one row per length of a keyword
+    weight = sum(r["entries"] * (4 * r["n"] + 100) for r in sizes)
+    one_length = df.select(*ids, F.col(text).alias("__rl_t"), F.explode(lengths).alias("__rl_n"))
+    # whole characters at a time, with the characters that follow
+    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("__rl_n").cast("string"), F.lit("}))."))
+    parts = F.when(F.col("__rl_n") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.regexp_extract_all("__rl_t", pattern, F.lit(1))))
+    pieces = one_length.select(*ids, F.explode(parts).alias("keyword"))
+    side = F.broadcast(entries) if weight <= BROADCAST_BYTES else entries.hint("merge")
+    return pieces.join(side, "keyword").select(*ids, "aspect", "role", "keyword")
 
 
 def completeness(expected: DataFrame, processed: DataFrame, key: str) -> DataFrame:

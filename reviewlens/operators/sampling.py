@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewlens.plans.session import scratch_path
+
 # Default sample size per rating.
 REVIEWS_PER_RATING = {1: 30, 2: 30, 3: 30, 4: 30, 5: 30}
 DEFAULT_PER_RATING = 50
@@ -88,12 +90,23 @@ def assign_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> Data
 
 
 def file_batches(df: DataFrame, file: str, size: int = 10) -> DataFrame:
-    """Number the sorted distinct files in groups of ``size`` and add ``batch`` to the rows.
+    """Number the sorted distinct files in groups of ``size`` and add ``batch`` to the rows; rows without a
+    name are one file, the first.
 
-    Ranks are taken on the distinct names only; they come back through a join Spark may
-    broadcast when the list is small.
+    The distinct names are range-partitioned and numbered within their partition; only one count per
+    partition is gathered. The numbers are written, so that a lost executor cannot move the ranges.
     """
-    names = df.select(file).distinct()
-    ranked = names.withColumn("__rl_rank", F.row_number().over(W.orderBy(file)))
-    numbered = ranked.select(file, F.ceil(F.col("__rl_rank") / size).cast("int").alias("batch"))
-    return df.join(numbered, file)
+    spark = df.sparkSession
+    path = scratch_path(spark, "file-numbers")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    names = df.select(F.col(file).alias("__rl_file")).distinct().repartitionByRange("__rl_file").sortWithinPartitions("__rl_file")
+    names.select("__rl_file", F.spark_partition_id().alias("__rl_part"), place.alias("__rl_at")).write.parquet(path)
+    placed = spark.read.parquet(path)
+    before, total = [], 0
+    for part, n in sorted(map(tuple, placed.groupBy("__rl_part").count().collect())):
+        before.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(before, "__rl_part int, __rl_before bigint")
+    batch = F.floor((F.col("__rl_before") + F.col("__rl_at")) / size).cast("int") + 1
+    numbered = placed.join(offsets, "__rl_part").select("__rl_file", batch.alias("batch"))
+    return df.join(numbered, F.col(file).eqNullSafe(F.col("__rl_file"))).drop("__rl_file")

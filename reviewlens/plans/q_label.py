@@ -117,16 +117,16 @@ def decode_sentiment(t):
 
 @query(
     "argmax_matrix",
-    """WITH m AS (SELECT vec_id, unnest(range(9)) AS i, embedding AS e FROM embeddings),
+    """WITH m AS (SELECT vec_id, unnest(range(16)) AS i, embedding AS e FROM embeddings),
 r AS (SELECT vec_id, i, list_transform(e[i * 4 + 1:i * 4 + 4], lambda x: round(CAST(x AS DOUBLE), 4)) AS v FROM m)
 SELECT vec_id, string_agg(CAST(list_position(v, list_max(v)) - 1 AS VARCHAR), ',' ORDER BY i) AS classes FROM r GROUP BY vec_id""",
 )
 def argmax_matrix(t):
-    """The first 36 numbers as nine rows of four, through JSON and back."""
+    """All 64 numbers as sixteen rows of four, through JSON and back."""
     e = F.transform("embedding", lambda x: x.cast("double"))
-    matrix = F.array(*[F.slice(e, i * 4 + 1, 4) for i in range(9)])
+    matrix = F.array(*[F.slice(e, i * 4 + 1, 4) for i in range(16)])
     encoded = t.embeddings.select("vec_id", L.encode_matrix(matrix).alias("json"))
-    return encoded.select("vec_id", F.array_join(L.argmax_matrix("json", 9), ",").alias("classes"))
+    return encoded.select("vec_id", F.array_join(L.argmax_matrix("json", 16), ",").alias("classes"))
 
 
 def logits(t: Tables):
@@ -447,13 +447,12 @@ def lexicon_join(t):
 
 @query(
     "lexicon_join_large",
-    f"""WITH {SHORT_REVIEWS}, lex(aspect, role, keyword) AS (VALUES {LEXICON_VALUES})
-SELECT review_id, aspect, role, keyword FROM short_reviews JOIN lex ON contains({low_sql()}, keyword)""",
+    LEXICON_JOIN,
 )
 def lexicon_join_large(t):
     """The equality form, used when a lexicon outgrows the plan."""
     entries = lexicon_table(t)
-    prepared = t.short_reviews().select("review_id", F.lower(F.coalesce("content", F.lit(""))).alias("x"))
+    prepared = t.reviews().select("review_id", F.lower(F.coalesce("content", F.lit(""))).alias("x"))
     return relate.match_by_substring(prepared, "x", ["review_id"], entries)
 
 

@@ -132,9 +132,22 @@ def test_lexicon_table(spark):
     lower = df.select("i", F.lower(F.coalesce("t", F.lit(""))).alias("x"))
     large = relate.match_by_substring(lower, "x", ["i"], table)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    odd = spark.createDataFrame([("a", "n", k) for k in ("p", "hi", "ship", "ship now", "😀 s", "😀")], "aspect string, role string, keyword string")
-    found = relate.match_by_substring(lower, "x", ["i"], odd).collect()
-    assert sorted(r["keyword"] for r in found) == ["hi", "p", "ship", "😀", "😀 s"]
+    odd = spark.createDataFrame([("a", "n", k) for k in ("p", "hi", "ship", "ship now", "😀 s", "😀", "", "p", None)], "aspect string, role string, keyword string")
+    found = [relate.lexicon_join(df, "t", ["i"], odd), relate.match_by_substring(lower, "x", ["i"], odd)]
+    for rows in found:
+        assert sorted(r["keyword"] for r in rows.collect()) == ["", "", "hi", "p", "p", "ship", "😀", "😀 s"]
+
+
+def test_lexicon_of_any_size(spark, monkeypatch):
+    """One answer on both sides of every size check."""
+    df = spark.createDataFrame([(1, "x word17x word2999"), (2, "word5"), (2, "word5"), (3, None)], "i int, t string")
+    big = spark.range(5000).select(F.lit("a").alias("aspect"), F.lit("n").alias("role"), F.concat(F.lit("word"), F.col("id")).alias("keyword"))
+    want = [(1, f"word{k}") for k in (1, 17, 2, 29, 299, 2999)] + [(2, "word5")] * 2
+    for limit in (relate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(relate, "BROADCAST_BYTES", limit)
+        got = relate.lexicon_join(df, "t", ["i"], big)
+        assert sorted((r["i"], r["keyword"]) for r in got.collect()) == sorted(want)
+    assert relate.lexicon_join(df, "t", ["i"], big.limit(0)).count() == 0
 
 
 def test_validation(spark):
