@@ -88,7 +88,7 @@ def sets_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         start, h = word_hashes(b"".join(parts))
         last = np.searchsorted(start, np.cumsum([len(p) for p in parts]))
         grams = h.copy()
-        for j in range(1, WORDS):
+        for j in range(1, min(WORDS, len(h))):
             grams[: len(h) - j] = mixed(grams[: len(h) - j] * U(STEP) + h[j:])
         for i_text, a, b in zip(held, [0, *last[:-1].tolist()], last.tolist(), strict=True):
             if b - a >= WORDS:
@@ -168,10 +168,11 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
         keys, owners, ids, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not keys:
+            key = np.concatenate([np.zeros(0, np.uint64), *keys])
+            if not len(key):  # no set, or only sets that are too small for lists
+                keys.clear(), owners.clear(), ids.clear()
                 return
-            key, doc = np.concatenate(keys), np.array(ids, np.int64)
-            owner = np.concatenate(owners).astype(np.uint32)
+            doc, owner = np.array(ids, np.int64), np.concatenate(owners).astype(np.uint32)
             order = np.lexsort((doc[owner], key))
             key, owner = key[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))

@@ -122,6 +122,18 @@ def test_near_groups_of_nothing(spark):
     assert jaccard.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["a b c"], ["one two"], ["one"], ["one two", "ONE two", "a b c d e f g h", "a b c d e f g h", "a b c d e f g x", None, " "]])
+def test_near_groups_of_short_texts(spark, texts):
+    rows = list(enumerate(texts))
+    got = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
+
+
+def test_shingles_of_a_short_rest():
+    long = "w " * (jaccard.CHUNK // 2)
+    assert [(i, len(s)) for i, s in jaccard.sets_of([long, "one two"])] == [(0, 1), (1, 1)]
+
+
 def test_language(spark):
     d = queries.table(spark, "/root/testdata/sf0.01", "documents")
     rows = queries.QUERIES["op1_language_spans"](spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
