@@ -34,12 +34,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays; of rows that repeat
-    a doc_id one. Rows without doc_id all stay."""
-    groups = jaccard.near_groups(docs)
-    chosen = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    some = docs.filter("doc_id IS NOT NULL").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    """Of texts that links tie together the row with the smallest doc_id stays. Rows with a doc_id in common but
+    different texts are different rows. Rows without doc_id all stay."""
+    return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

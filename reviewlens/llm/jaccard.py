@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import mixed, saved, strings, text_of
+from reviewlens.llm.common import carried, mixed, saved, strings, text_of
 
 WORDS, PERCENT = 4, 85
 CHUNK = 1 << 20  # bytes of text worked on at once
@@ -145,26 +145,32 @@ def list_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest of the set (null where it is empty) of every row."""
+def number_of(shingles: np.ndarray) -> int:
+    """The number of a set, from its elements alone; like the elements' own hashes, of 64 bits."""
+    return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
+
+
+def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, n and the number of the set (null where it is empty) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, number = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i, s in sets_of(strings(batch["text"])):
-                n[i], digest[i] = len(s), hashlib.md5(s.tobytes()).digest()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(digest, pa.binary())], ["doc_id", "n", "digest"])
+                n[i], number[i] = len(s), number_of(s)
+            columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n), pa.array(number, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n", "number"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary")
+    return docs.mapInArrow(run, f"{carried(docs, keep)}, n bigint, number bigint")
 
 
 def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
     """List entries packed by range of keys: part, keys, owner (place in ids, top bit: stands for a list kept
-    by its task), ids. A list that is long within a task is a part of its own, and only its smallest
-    document goes to the common index, so no task receives an unbounded list."""
+    by its task), ids, which are numbers of sets. A list that is long within a task is a part of its own, and only its smallest
+    set goes to the common index, so no task receives an unbounded list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         keys, owners, ids, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
             part = ((key >> U(32)) * U(ranges)) >> U(32)
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                used, place = np.unique(owner[a:b] & LOW, return_inverse=True)  # a row carries its own documents only
+                used, place = np.unique(owner[a:b] & LOW, return_inverse=True)  # a row carries its own sets only
                 rows.append((int(part[a]), key[a:b].tobytes(), (place.astype(np.uint32) | owner[a:b] & ~LOW).tobytes(), doc[used].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "keys", "owner", "ids"])
             keys.clear(), owners.clear(), ids.clear()
@@ -196,11 +202,11 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
             doc_ids = batch["doc_id"].to_pylist()
             some, who = [], []
             for i, s in sets_of(strings(batch["text"])):
-                d = hashlib.md5(s.tobytes()).digest()
-                if d not in seen and doc_ids[i] is not None:
-                    seen.add(d)
+                number = number_of(s)
+                if number not in seen and doc_ids[i] is not None:
+                    seen.add(number)
                     some.append(s)
-                    who.append(doc_ids[i])
+                    who.append(number)
                     size += len(s)
                 if some and sum(map(len, some)) > CHUNK // 4 or size > FLUSH:
                     k, o = list_keys(some)
@@ -250,19 +256,22 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sets_by_id(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, set, sketch) of the documents of ``needed`` (doc), from their whole texts."""
+def sets_by_id(docs: DataFrame, needed: DataFrame, owners: DataFrame) -> DataFrame:
+    """(id, set, sketch) of the sets of ``needed`` (doc), each from the whole text of the smallest doc_id of ``owners``
+    (doc_id, number) that has it."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            rows = [(ids[i], s.tobytes(), sketch(s)) for i, s in sets_of(strings(batch["text"]))]
+            rows = [(number_of(s), s.tobytes(), sketch(s)) for _, s in sets_of(strings(batch["text"]))]
             words = np.array([r[2] for r in rows], np.int64).reshape(-1, len(SKETCH))
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *map(pa.array, words.T)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "set", *SKETCH])
 
-    chosen = docs.join(needed.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return chosen.mapInArrow(sets, "id bigint, set binary" + "".join(f", {c} bigint" for c in SKETCH)).dropDuplicates(["id"])
+    wanted = needed.select("doc").distinct()
+    first = owners.groupBy("number").agg(F.min("doc_id").alias("doc_id")).join(wanted.withColumnRenamed("doc", "number"), "number", "left_semi")
+    chosen = docs.join(first, "doc_id", "left_semi")
+    found = chosen.mapInArrow(sets, "id bigint, set binary" + "".join(f", {c} bigint" for c in SKETCH))
+    return found.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -322,27 +331,17 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
     return saved(moved.union(tied), "jaccard-root")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    A document's set is its distinct shingles of four words; of fewer words the whole sequence; without
-    words (null text too) it is empty and linked with nothing. Repeated rows of a doc_id are one document
-    in the links, and get a row each. A null doc_id takes no part and has no component. An empty table
-    gives no rows.
-    """
-    few = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sizes = saved(measured(few), "jaccard-sizes")
+def set_groups(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, n and number, and (doc_id, number, root) of every doc_id and set of it: sets have the same
+    root if links tie them together. ``docs``: doc_id (bigint), text (not null)."""
+    sizes = saved(measured(docs), "jaccard-sizes")
     rows = sizes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, rows * 4 // 10 // RANGE)
-    first_of = sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = sizes.filter("n > 0 AND doc_id IS NOT NULL").join(first_of, "digest").select("doc_id", "first").distinct()
-    copies = saved(copies, "jaccard-copies")
-    moved = copies.filter("doc_id <> first").select(F.col("doc_id").alias("doc"), "first")
-    found = saved(lists_of(index_entries(few, ranges, heavy)), "jaccard-lists")
-    lists = found.join(moved, "doc", "left").select("key", F.coalesce("first", "doc").alias("doc")).distinct()
-    lists = saved(divided(lists.withColumn("root", F.col("doc"))), "jaccard-open")
-    known = saved(sets_by_id(few, lists), "jaccard-sets")
-    root = components(moved.select(F.col("doc").alias("a"), F.col("first").alias("b")))  # no stars yet where a doc_id has several texts
+    owners = saved(sizes.filter("number IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "number").distinct(), "jaccard-owners")
+    lists = lists_of(index_entries(docs, ranges, heavy)).distinct()
+    lists = saved(divided(saved(lists, "jaccard-lists").withColumn("root", F.col("doc"))), "jaccard-open")
+    known = saved(sets_by_id(docs, lists, owners), "jaccard-sets")
+    root = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
     for turn in range(ROUNDS):
         root = merged(root, compared(partners(lists, turn), known).filter(linked()).select("a", "b"))
         lists = saved(divided(rooted(lists.drop("root"), root)), "jaccard-open")
@@ -353,11 +352,49 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
     rest = open_pairs(divided(rooted(led.drop("root"), root)), stars, known)
     last = compared(rest.filter("NOT sure").select("a", "b"), known)
     root = merged(root, rest.filter("sure").select("a", "b").union(last.filter(linked()).select("a", "b")))
-    return sizes.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    placed = owners.join(root.withColumnRenamed("node", "number"), "number", "left")
+    return sizes, saved(placed.select("doc_id", "number", F.coalesce("root", "number").alias("root")), "jaccard-placed")
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    A document's set is its distinct shingles of four words; of fewer words the whole sequence; without
+    words (null text too) it is empty and linked with nothing. Repeated rows of a doc_id are one document
+    that has the links of all its texts, and get a row each. A null doc_id takes no part and has no
+    component. An empty table gives no rows.
+    """
+    few = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    sizes, placed = set_groups(few, heavy)
+    first = placed.groupBy("root").agg(F.min("doc_id").alias("first"))
+    named = saved(placed.join(first, "root").select("doc_id", "first").distinct(), "jaccard-named")
+    # A doc_id with several texts ties their groups together.
+    least = named.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least <> most").select("doc_id", "least")
+    tied = components(named.join(least, "doc_id").select(F.col("first").alias("a"), F.col("least").alias("b")))
+    top = named.join(tied.toDF("first", "top"), "first", "left").select("doc_id", F.coalesce("top", "first").alias("component")).distinct()
+    moved = top.filter("doc_id <> component")
+    return sizes.join(moved, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """The rows of ``docs`` (doc_id bigint, text and others) without near copies: of the rows whose texts links tie together
+    the one with the smallest doc_id stays, of several of these one, by the order of their values. Texts count,
+    not ids: rows that share a doc_id but not a text are different rows. Without words only rows of equal doc_id and
+    text are copies. Rows without doc_id all stay."""
+    few = docs.select("doc_id", text_of("text").alias("text"))
+    _, placed = set_groups(few, heavy)
+    chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "number")).alias("first")).select("first.*")
+    near = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row"), text_of("text").alias("text")), ("row",))
+    worded = rows.join(chosen, ["doc_id", "number"], "left_semi").groupBy("doc_id", "number").agg(F.min("row").alias("row"))
+    # Rows without words: none of their characters is anything but white space.
+    empty = docs.filter(~text_of("text").rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull())
+    bare = empty.groupBy("doc_id", text_of("text").alias("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return worded.select("row.*").union(bare.select("row.*")).union(docs.filter("doc_id IS NULL"))
 
 
 def rooted(lists: DataFrame, root: DataFrame) -> DataFrame:
-    """Each row with the component of its document, itself where it has none yet."""
+    """Each row with the component of its set, itself where it has none yet."""
     return lists.join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
 
 

@@ -134,6 +134,29 @@ def test_shingles_of_a_short_rest():
     assert [(i, len(s)) for i, s in jaccard.sets_of([long, "one two"])] == [(0, 1), (1, 1)]
 
 
+WORDS = [f"w{i}" for i in range(60)]
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_near_groups_of_repeated_ids(spark, back):
+    one, other, third = " ".join(WORDS), " ".join(reversed(WORDS)), " ".join(WORDS[::7] * 2)
+    rows = [(9, one), (5, one), (5, other), (7, other), (7, other), (8, third), (8, None), (3, " "), (3, third + " x")]
+    df = spark.createDataFrame(rows[::-1] if back else rows, "doc_id long, text string").repartition(3)
+    got = jaccard.near_groups(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (3, 3), (5, 5), (5, 5), (7, 5), (7, 5), (8, 3), (8, 3), (9, 5)]
+
+
+def test_stage_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as c
+
+    one, other = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(5, one, "a"), (5, other, "b"), (4, one, "c"), (4, one.upper(), "c"), (4, one, "d"), (6, other, "e"), (2, "", "f"), (2, " ", "f"), (2, "", "f"), (None, one, "g"), (None, one, "g"), (5, "short", "h")]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [(r.doc_id, r.text, r.source) for r in c.keep_one_of_each_group(spark, df, None).collect()]
+    want = [(4, one.upper(), "c"), (5, other, "b"), (5, "short", "h"), (2, "", "f"), (2, " ", "f"), (None, one, "g"), (None, one, "g")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_language(spark):
     d = queries.table(spark, "/root/testdata/sf0.01", "documents")
     rows = queries.QUERIES["op1_language_spans"](spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
