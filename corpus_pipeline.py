@@ -20,6 +20,7 @@ from reviewlens.llm.queries import END_ID, VOCABULARY
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # near copies: shingles of so many words, so much in common
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that links tie together the row with the smallest doc_id stays. Rows with a doc_id in common but
     different texts are different rows. Rows without doc_id all stay."""
-    return jaccard.one_of_each(docs.select(*COLUMNS))
+    return jaccard.one_of_each(docs.select(*COLUMNS), NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact set-similarity join of documents on word shingles, and its components.
 
-Two sets link when their Jaccard similarity is at least ``PERCENT`` / 100. A linked pair of a size level differs in at most
+Two sets link when their Jaccard similarity is at least ``percent`` / 100. A linked pair of a size level differs in at most
 D elements, so if the sets are cut by hash into more than D segments, they agree on a whole segment. The
 index has a list for every (level, segment, content); a list's key holds the place of its segment and the
 size level, so all lists that position or size rules out are skipped without being read. Segments hold
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.common import carried, mixed, saved, strings, text_of
 
-WORDS, PERCENT = 4, 85
+WORDS, PERCENT = 4, 85  # unless the caller says otherwise
 CHUNK = 1 << 20  # bytes of text worked on at once
 PIECE = 1 << 17  # bytes of text hashed at once, up to the end of a word
 FLUSH = 1 << 21  # list entries that a task holds before it sends them on
@@ -75,7 +75,7 @@ def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def sets_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+def sets_of(texts: list[str], words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """Number of each text that has words, and its distinct shingles' hashes in order."""
     held, parts, size = [], [], 0
     for i, t in enumerate(texts):
@@ -88,40 +88,40 @@ def sets_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         start, h = word_hashes(b"".join(parts))
         last = np.searchsorted(start, np.cumsum([len(p) for p in parts]))
         grams = h.copy()
-        for j in range(1, min(WORDS, len(h))):
+        for j in range(1, min(words, len(h))):
             grams[: len(h) - j] = mixed(grams[: len(h) - j] * U(STEP) + h[j:])
         for i_text, a, b in zip(held, [0, *last[:-1].tolist()], last.tolist(), strict=True):
-            if b - a >= WORDS:
-                yield i_text, np.unique(grams[a : b - WORDS + 1])
+            if b - a >= words:
+                yield i_text, np.unique(grams[a : b - words + 1])
             elif b > a:
                 yield i_text, np.frombuffer(hashlib.md5(h[a:b].tobytes()).digest()[:8], np.uint64)
         held, parts, size = [], [], 0
 
 
-@lru_cache(maxsize=1)
-def levels() -> np.ndarray:
+@lru_cache(maxsize=2)
+def levels(percent: int) -> np.ndarray:
     """Smallest size of each level; sizes that can link are of the same or of neighbouring levels."""
     out = [1, 2]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, (out[-1] - 1) * 100 // PERCENT + 1))
+        out.append(max(out[-1] + 1, (out[-1] - 1) * 100 // percent + 1))
     return np.array(out)
 
 
-def differences(level: np.ndarray) -> np.ndarray:
+def differences(level: np.ndarray, percent: int) -> np.ndarray:
     """The most elements in which a pair differs whose smaller set is of this level."""
-    return (levels()[level + 1] - 1) * (100 - PERCENT) // PERCENT
+    return (levels(percent)[level + 1] - 1) * (100 - percent) // percent
 
 
-def list_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def list_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the lists that each set goes to, and the number of the set."""
     sizes = np.array([len(s) for s in sets])
     flat = mixed(np.concatenate(sets))
     high = np.concatenate(sets) >> U(32)
     keys, owners = [], []
-    own_level = np.searchsorted(levels(), sizes, side="right") - 1
+    own_level = np.searchsorted(levels(percent), sizes, side="right") - 1
     for shift in (0, 1):
         level = own_level - shift
-        most = np.where(level >= 0, differences(np.maximum(level, 0)), 0)
+        most = np.where(level >= 0, differences(np.maximum(level, 0), percent), 0)
         joins = most > 0  # otherwise only equal sets link
         if not joins.any():
             continue
@@ -150,13 +150,13 @@ def number_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
 
 
-def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def measured(docs: DataFrame, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, n and the number of the set (null where it is empty) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, number = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            for i, s in sets_of(strings(batch["text"])):
+            for i, s in sets_of(strings(batch["text"]), words):
                 n[i], number[i] = len(s), number_of(s)
             columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n), pa.array(number, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n", "number"])
@@ -164,7 +164,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.mapInArrow(run, f"{carried(docs, keep)}, n bigint, number bigint")
 
 
-def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
+def index_entries(docs: DataFrame, ranges: int, heavy: int, words: int, percent: int) -> DataFrame:
     """List entries packed by range of keys: part, keys, owner (place in ids, top bit: stands for a list kept
     by its task), ids, which are numbers of sets. A list that is long within a task is a part of its own, and only its smallest
     set goes to the common index, so no task receives an unbounded list."""
@@ -201,7 +201,7 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
             some, who = [], []
-            for i, s in sets_of(strings(batch["text"])):
+            for i, s in sets_of(strings(batch["text"]), words):
                 number = number_of(s)
                 if number not in seen and doc_ids[i] is not None:
                     seen.add(number)
@@ -209,14 +209,14 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int) -> DataFrame:
                     who.append(number)
                     size += len(s)
                 if some and sum(map(len, some)) > CHUNK // 4 or size > FLUSH:
-                    k, o = list_keys(some)
+                    k, o = list_keys(some, percent)
                     keys.append(k), owners.append(o + len(ids)), ids.extend(who)
                     some, who = [], []
                     if size > FLUSH:
                         yield from flush()
                         size = 0
             if some:
-                k, o = list_keys(some)
+                k, o = list_keys(some, percent)
                 keys.append(k), owners.append(o + len(ids)), ids.extend(who)
         yield from flush()
 
@@ -256,15 +256,15 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sets_by_id(docs: DataFrame, needed: DataFrame, owners: DataFrame) -> DataFrame:
+def sets_by_id(docs: DataFrame, needed: DataFrame, owners: DataFrame, words: int) -> DataFrame:
     """(id, set, sketch) of the sets of ``needed`` (doc), each from the whole text of the smallest doc_id of ``owners``
     (doc_id, number) that has it."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(number_of(s), s.tobytes(), sketch(s)) for _, s in sets_of(strings(batch["text"]))]
-            words = np.array([r[2] for r in rows], np.int64).reshape(-1, len(SKETCH))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *map(pa.array, words.T)]
+            rows = [(number_of(s), s.tobytes(), sketch(s)) for _, s in sets_of(strings(batch["text"]), words)]
+            bits = np.array([r[2] for r in rows], np.int64).reshape(-1, len(SKETCH))
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *map(pa.array, bits.T)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "set", *SKETCH])
 
     wanted = needed.select("doc").distinct()
@@ -292,8 +292,8 @@ def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return saved(both.mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
 
 
-def linked() -> Column:
-    return 100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))
+def linked(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
 def starred(edges: DataFrame) -> bool:
@@ -331,41 +331,41 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
     return saved(moved.union(tied), "jaccard-root")
 
 
-def set_groups(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+def set_groups(docs: DataFrame, words: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, n and number, and (doc_id, number, root) of every doc_id and set of it: sets have the same
     root if links tie them together. ``docs``: doc_id (bigint), text (not null)."""
-    sizes = saved(measured(docs), "jaccard-sizes")
+    sizes = saved(measured(docs, words), "jaccard-sizes")
     rows = sizes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, rows * 4 // 10 // RANGE)
+    ranges = max(1, rows * 23 * (100 - percent) // (10 * percent) // RANGE)  # a set has about 2 * (100 - percent) / percent entries an element
     owners = saved(sizes.filter("number IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "number").distinct(), "jaccard-owners")
-    lists = lists_of(index_entries(docs, ranges, heavy)).distinct()
+    lists = lists_of(index_entries(docs, ranges, heavy, words, percent)).distinct()
     lists = saved(divided(saved(lists, "jaccard-lists").withColumn("root", F.col("doc"))), "jaccard-open")
-    known = saved(sets_by_id(docs, lists, owners), "jaccard-sets")
+    known = saved(sets_by_id(docs, lists, owners, words), "jaccard-sets")
     root = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
     for turn in range(ROUNDS):
-        root = merged(root, compared(partners(lists, turn), known).filter(linked()).select("a", "b"))
+        root = merged(root, compared(partners(lists, turn), known).filter(linked(percent)).select("a", "b"))
         lists = saved(divided(rooted(lists.drop("root"), root)), "jaccard-open")
     leads = lists.groupBy("key").agg(F.min("doc").alias("lead"))
     led = saved(lists.join(leads, "key").filter("doc <> lead"), "jaccard-led")
     stars = compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), known)
-    root = merged(root, stars.filter(linked()).select("a", "b"))
-    rest = open_pairs(divided(rooted(led.drop("root"), root)), stars, known)
+    root = merged(root, stars.filter(linked(percent)).select("a", "b"))
+    rest = open_pairs(divided(rooted(led.drop("root"), root)), stars, known, percent)
     last = compared(rest.filter("NOT sure").select("a", "b"), known)
-    root = merged(root, rest.filter("sure").select("a", "b").union(last.filter(linked()).select("a", "b")))
+    root = merged(root, rest.filter("sure").select("a", "b").union(last.filter(linked(percent)).select("a", "b")))
     placed = owners.join(root.withColumnRenamed("node", "number"), "number", "left")
     return sizes, saved(placed.select("doc_id", "number", F.coalesce("root", "number").alias("root")), "jaccard-placed")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
-    A document's set is its distinct shingles of four words; of fewer words the whole sequence; without
+    A document's set is its distinct shingles of ``words`` words; of fewer words the whole sequence; without
     words (null text too) it is empty and linked with nothing. Repeated rows of a doc_id are one document
     that has the links of all its texts, and get a row each. A null doc_id takes no part and has no
     component. An empty table gives no rows.
     """
     few = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    sizes, placed = set_groups(few, heavy)
+    sizes, placed = set_groups(few, words, percent, heavy)
     first = placed.groupBy("root").agg(F.min("doc_id").alias("first"))
     named = saved(placed.join(first, "root").select("doc_id", "first").distinct(), "jaccard-named")
     # A doc_id with several texts ties their groups together.
@@ -376,16 +376,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
     return sizes.join(moved, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int, percent: int, heavy: int = HEAVY) -> DataFrame:
     """The rows of ``docs`` (doc_id bigint, text and others) without near copies: of the rows whose texts links tie together
     the one with the smallest doc_id stays, of several of these one, by the order of their values. Texts count,
     not ids: rows that share a doc_id but not a text are different rows. Without words only rows of equal doc_id and
     text are copies. Rows without doc_id all stay."""
     few = docs.select("doc_id", text_of("text").alias("text"))
-    _, placed = set_groups(few, heavy)
+    _, placed = set_groups(few, words, percent, heavy)
     chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "number")).alias("first")).select("first.*")
     near = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row"), text_of("text").alias("text")), ("row",))
+    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row"), text_of("text").alias("text")), words, ("row",))
     worded = rows.join(chosen, ["doc_id", "number"], "left_semi").groupBy("doc_id", "number").agg(F.min("row").alias("row"))
     # Rows without words: none of their characters is anything but white space.
     empty = docs.filter(~text_of("text").rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull())
@@ -414,19 +414,19 @@ def partners(lists: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-def open_pairs(led: DataFrame, stars: DataFrame, known: DataFrame) -> DataFrame:
+def open_pairs(led: DataFrame, stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, sure) of a divided list that are in different components and that neither their distances
     to the list's leader nor their sketches rule out; ``sure`` where the distances prove the link."""
     far = stars.select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.col("n_b").alias("n"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
     bits = known.select(F.col("id").alias("doc"), *SKETCH)
     members = saved(led.join(far, ["lead", "doc"]).join(bits, "doc").select("key", "doc", "root", "n", "d", *SKETCH), "jaccard-members")
     x, y = (members.toDF("key", *(c if c in ("a", "b") else f"{c}_{side}" for c in (side, "root", "n", "d", *SKETCH))) for side in ("a", "b"))
-    # A link allows sizes n_a, n_b to differ in at most (100 - PERCENT) * (n_a + n_b) / (100 + PERCENT) elements.
-    most = (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
-    near = (100 + PERCENT) * F.greatest(F.abs(F.col("d_a") - F.col("d_b")), F.abs(F.col("n_a") - F.col("n_b"))) <= most
+    # A link allows sizes n_a, n_b to differ in at most (100 - percent) * (n_a + n_b) / (100 + percent) elements.
+    most = (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    near = (100 + percent) * F.greatest(F.abs(F.col("d_a") - F.col("d_b")), F.abs(F.col("n_a") - F.col("n_b"))) <= most
     flipped = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
-    both = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & ((100 + PERCENT) * flipped <= most))
-    out = both.select("a", "b", ((100 + PERCENT) * (F.col("d_a") + F.col("d_b")) <= most).alias("sure"))
+    both = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & ((100 + percent) * flipped <= most))
+    out = both.select("a", "b", ((100 + percent) * (F.col("d_a") + F.col("d_b")) <= most).alias("sure"))
     return saved(out.groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-pairs")
 
 

@@ -42,7 +42,7 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

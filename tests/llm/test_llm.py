@@ -157,6 +157,21 @@ def test_stage_keeps_other_texts_of_an_id(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_stage_drops_copies_of_five_words_and_80(spark):
+    import corpus_pipeline as c
+
+    rows = []
+    for n in range(90, 106):
+        words = [f"n{n}w{i}" for i in range(n)]
+        copy = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    # two words changed: 10 shingles of five words, so n - 14 of n + 6 are common
+    want = {i for n in range(90, 106) for i in (2 * n, 2 * n + 1)[: 1 if 100 * (n - 14) >= 80 * (n + 6) else 2]}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [r.doc_id for r in c.keep_one_of_each_group(spark, df, None).collect()]
+    assert sorted(got) == sorted(want) and 2 * 96 + 1 not in want and 2 * 93 + 1 in want
+
+
 def test_language(spark):
     d = queries.table(spark, "/root/testdata/sf0.01", "documents")
     rows = queries.QUERIES["op1_language_spans"](spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
