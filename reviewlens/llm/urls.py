@@ -2,11 +2,10 @@
 
 1. Runs of digits and long hexadecimal runs of a path become wildcards, and equal (host, shape) are counted,
    with their labelled and their bad urls: from here on the work depends on the shapes, not on the urls.
-2. Level by level, a node with more than ``FANOUT`` different children has its children put together as ``*``.
-   What lies deeper than ``LEVELS`` segments is one tail ``**``. A host then has a bounded number of templates.
-3. From the deepest level up, sibling branches whose share of bad urls does not differ from their pool by more
-   than chance (|z| <= ``Z``) are merged as ``~``.
-4. A template is rejected if its smoothed share of bad labelled urls reaches ``PURITY``. It is smoothed towards
+2. From the deepest level that has labels up, sibling branches whose share of bad urls does not differ from their
+   pool by more than chance (|z| <= ``Z``), and those without labels, are merged as ``~``; so is the end of a path.
+   Neither the number of siblings nor the depth decides: every branch that differs stays by itself.
+3. A template is rejected if its smoothed share of bad labelled urls reaches ``PURITY``. It is smoothed towards
    its host's share, and that towards the share of all.
 
 Stated rules come first: a rule is host suffix and path prefix; the longest that fits decides.
@@ -16,13 +15,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import saved
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-LEVELS, FANOUT, Z, PURITY, WEIGHT = 4, 16, 1.96, 0.5, 5.0
+Z, PURITY, WEIGHT = 1.96, 0.5, 5.0
+STEPS = 8  # joins after which a table is written and read again
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,61 +46,68 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def shape_of(path: Column) -> Column:
-    """The path's segments with variable parts as wildcards, ``LEVELS`` of them, deeper ones as a tail."""
+    """The path with its variable parts as wildcards."""
     hexes = F.regexp_replace(path, "(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{8,}(?![0-9A-Za-z])", "{h}")
-    parts = F.split(F.regexp_replace(hexes, "[0-9]+", "{n}"), "/")
-    head = F.slice(parts, 2, LEVELS)
-    padded = F.concat(head, F.array_repeat(F.lit(""), F.greatest(F.lit(LEVELS) - F.size(head), F.lit(0))))
-    return F.concat(padded, F.array(F.when(F.size(parts) > LEVELS + 1, "**").otherwise("")))
+    return F.regexp_replace(hexes, "[0-9]+", "{n}")
 
 
-def put(segments: Column, level: int, value: Column) -> Column:
-    return F.transform(segments, lambda s, i: F.when(i == level, value).otherwise(s))
+def segments_of(shape: Column) -> Column:
+    parts = F.split(shape, "/", -1)
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
-def generalised(shapes: DataFrame) -> DataFrame:
-    """``segments`` of every (host, shape), wide nodes put together from the root down."""
-    out = shapes.withColumn("segments", F.col("shape"))
-    for level in range(LEVELS):
-        parent, child = F.slice("segments", 1, level), F.get("segments", F.lit(level))
-        out = out.withColumn("parent", parent)
-        wide = out.groupBy("host", "parent", child.alias("child")).count().groupBy("host", "parent").agg(F.count("*").alias("children")).filter(F.col("children") > FANOUT).drop("children")
-        out = out.join(wide.withColumn("wide", F.lit(True)), ["host", "parent"], "left")
-        out = out.withColumn("segments", F.when(F.col("wide") & (child != ""), put(F.col("segments"), level, F.lit("*"))).otherwise(F.col("segments"))).drop("wide", "parent")
-    return out
+def at_level(rows: DataFrame, level: int) -> DataFrame:
+    """``rows`` with their branch at a level: ``head`` above it, ``here`` (empty behind the path's end)."""
+    parts = segments_of(F.col("shape"))
+    return rows.withColumns({"head": F.slice(parts, 1, level), "here": F.coalesce(F.get(parts, F.lit(level)), F.lit(""))})
 
 
-def merged(nodes: DataFrame) -> DataFrame:
-    """``template`` of every (host, segments) row, similar siblings merged from the deepest level up.
+def kept_apart(rows: DataFrame, far: DataFrame, level: int) -> DataFrame:
+    """``rows`` with ``below``, the template from ``level`` down: branches of ``far`` by name, others as ``~``; a
+    template of merged branches alone is empty."""
+    joined = at_level(rows, level).join(far.withColumn("far", F.lit(True)), ["host", "head", "here", "below"], "left")
+    merged = F.when(F.col("below") == "", "").otherwise(F.concat(F.lit("~/"), F.col("below")))
+    below = F.when(F.col("far"), F.concat(F.lit("="), F.col("here"), F.lit("/"), F.col("below"))).otherwise(merged)
+    return joined.withColumn("below", below).drop("head", "here", "far")
 
-    A host has a bounded number of rows here, so a window over one is bounded too.
-    """
-    out = nodes.withColumn("template", F.col("segments"))
-    for level in reversed(range(LEVELS)):
-        here = F.get("template", F.lit(level))
-        own = Window.partitionBy("host", "template")
-        pool = Window.partitionBy("host", put(F.col("template"), level, F.lit("?")))
-        out = out.withColumns({"own_seen": F.sum("seen").over(own), "own_bad": F.sum("bad").over(own), "all_seen": F.sum("seen").over(pool), "all_bad": F.sum("bad").over(pool)})
-        share = F.try_divide(F.col("all_bad"), F.col("all_seen"))
-        far = F.abs(F.col("own_bad") - F.col("own_seen") * share) > Z * F.sqrt(F.col("own_seen") * share * (F.lit(1.0) - share))
-        similar = (F.col("own_seen") == 0) | (F.col("all_seen") == 0) | ~far
-        out = out.withColumn("template", F.when(similar & (here != ""), put(F.col("template"), level, F.lit("~"))).otherwise(F.col("template")))
-    return out.drop("own_seen", "own_bad", "all_seen", "all_bad")
+
+def far_branches(rows: DataFrame, level: int) -> DataFrame:
+    """(host, head, here, below) of the branches whose share differs from that of their pool; only sums are joined."""
+    sums = (F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    own = at_level(rows, level).groupBy("host", "head", "below", "here").agg(*sums)
+    pool = own.groupBy("host", "head", "below").agg(*sums).filter("bad > 0 AND bad < seen")
+    both = own.join(pool.withColumnsRenamed({"seen": "all_seen", "bad": "all_bad"}), ["host", "head", "below"])
+    share = F.col("all_bad") / F.col("all_seen")
+    far = F.abs(F.col("bad") - F.col("seen") * share) > Z * F.sqrt(F.col("seen") * share * (F.lit(1.0) - share))
+    return both.filter(far).select("host", "head", "here", "below")
 
 
 def rejected(urls: DataFrame) -> DataFrame:
-    """(host, shape) of all rejected templates. ``urls``: host, shape, bad (null where there is no label)."""
+    """(host, shape) of all rejected templates. ``urls``: host, shape, bad (null where there is no label).
+
+    Branches are looked for among labelled shapes, a level a turn, as many as the deepest labelled path has.
+    """
     counted = urls.groupBy("host", "shape").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     shapes = saved(counted, "url-shapes")
-    tree = saved(generalised(shapes), "url-tree")
-    total = tree.agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
-    everywhere = (total["bad"] or 0) / total["seen"] if total["seen"] else 0.0
-    nodes = merged(tree.groupBy("host", "segments").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")))
-    host, template = Window.partitionBy("host"), Window.partitionBy("host", "template")
-    prior = (F.sum("bad").over(host) + WEIGHT * everywhere) / (F.sum("seen").over(host) + WEIGHT)
-    purity = (F.sum("bad").over(template) + WEIGHT * prior) / (F.sum("seen").over(template) + WEIGHT)
-    bad = nodes.withColumn("purity", purity).filter(F.col("purity") >= PURITY).select("host", "segments")
-    return tree.join(bad, ["host", "segments"]).select("host", "shape")
+    total = shapes.filter("seen > 0").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.max(F.size(segments_of(F.col("shape")))).alias("levels")).first()
+    everywhere = total["bad"] / total["seen"] if total["seen"] else 0.0
+    tree = shapes.withColumn("below", F.lit(""))
+    known = tree.filter("seen > 0")
+    for turn, level in enumerate(reversed(range(total["levels"] or 0)), 1):
+        far = saved(far_branches(known, level), "url-branches")
+        if far.isEmpty() and turn % STEPS:  # all merge
+            known, tree = (rows.withColumn("below", F.when(F.col("below") == "", "").otherwise(F.concat(F.lit("~/"), F.col("below")))) for rows in (known, tree))
+            continue
+        known, tree = saved(kept_apart(known, far, level), "url-labelled"), kept_apart(tree, far, level)
+        if turn % STEPS == 0:
+            tree = saved(tree, "url-tree")
+    sums = (F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    nodes = saved(tree.groupBy("host", "below").agg(*sums), "url-templates")
+    prior = (F.col("bad") + WEIGHT * everywhere) / (F.col("seen") + WEIGHT)
+    hosts = nodes.groupBy("host").agg(*sums).select("host", prior.alias("prior"))
+    purity = (F.col("bad") + WEIGHT * F.col("prior")) / (F.col("seen") + WEIGHT)
+    bad = nodes.join(hosts, "host").filter(purity >= PURITY).select("host", "below")
+    return tree.join(bad, ["host", "below"], "left_semi").select("host", "shape")
 
 
 def judge(urls: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:

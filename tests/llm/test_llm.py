@@ -202,6 +202,16 @@ def test_urls(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("below", ["", "a/b/c/d/e/"])
+def test_a_bad_branch_among_many(spark, below):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"x://bad.com/{below}spam/{i}") for i in range(30)] + [(200 + i, f"x://bad.com/{below}{letters[i % 26]}ok/{i}") for i in range(30)]
+    rows += [(300, f"x://bad.com/{below}spam/1/more/x"), (301, f"x://bad.com/{below}new/1"), (302, "x://other.com/spam/1")]
+    labels = spark.createDataFrame([(i, True) for i in range(20)] + [(200 + i, False) for i in range(30)], "page_id long, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, {}).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(30), 300}
+
+
 def test_pages(spark):
     page = '<body class="side"><nav>m</nav><div class="ad-box">buy</div><article><h1>A &amp; B</h1><p>one <b>two<br>three<p>four<form>f</form><script>"</p>"</script>tail</article><div id="comments"><article>c</article></div><footer>f</footer>'
     plain = "<body><div>Same notice</div><p>text {}</p></body>"
