@@ -221,6 +221,14 @@ def test_pages(spark):
     assert (got[2].text, got[3].text) == ("", "") and got[10].text == "text 0"  # the notice that every page repeats goes
 
 
+@pytest.mark.parametrize("tag", ["aside", "footer", "nav"])
+def test_a_teaser_does_not_claim_the_page(tag):
+    html = f"<body><div><p>the body</p></div><{tag}><article><p>a teaser</p></article></{tag}></body>"
+    assert pages.main_text(html, None) == "the body"
+    both = f"<body><{tag}><article>a teaser</article></{tag}><form><article>the body</article></form><div>more</div></body>"
+    assert pages.main_text(both, None) == "the body"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
