@@ -6,9 +6,9 @@ that they match whole words only; a document is normalised and scanned once. A h
 normalised text gives the words it covers, and the words' places in the original text are read off when
 spans are asked for.
 
-The automaton is built by each Python worker from the items' windows, which are broadcast. Their size is
-checked: items beyond ``max_bytes`` of windows are put into further automata, scanned one after the other
-over the same text, so that a worker holds one of bounded size at a time.
+The automaton is built by each Python worker from the items' windows, all of which go through the driver and are
+broadcast: the benchmark has to fit there. Items beyond ``max_bytes`` of windows are put into further automata,
+scanned one after the other over the same text, so that a worker holds one automaton of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes:
     A word is hit if it lies in any occurrence of a window: ``size`` consecutive words of an item, or all
     words of a shorter item. Null texts have no words, items without words no windows. An item that stands in
     the table twice counts once. Repeated documents are judged each. With an empty benchmark nothing is hit.
-    The items' windows are read through the driver a part at a time; documents are not.
+    The items' windows all go through the driver; documents do not.
     """
     spark = docs.sparkSession
     parts = spark.sparkContext.broadcast(windows_by_part(items.select(item_id, item_text), size, max_bytes))
