@@ -69,7 +69,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("personal_data", redact_personal_data),
     ("packing", pack_sequences),
 ]
-# Learned languages, boosted trees and token ids have no SQL; the tests hold run() against brute force.
+# Learned languages, boosted trees and token ids have no SQL. No test calls run() yet.
 ORACLE_SQL = None
 
 
