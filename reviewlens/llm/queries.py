@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from reviewlens.llm import chat, decontaminate, jaccard, language, packing, pages, pii, runs, shards, tokens, topk, urls
+from reviewlens.llm import align, chat, decontaminate, jaccard, language, packing, pages, pii, runs, shards, tokens, topk, urls
 from reviewlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op11_suffix_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.find_runs(table(spark, sf_dir, "documents"), planted=True, whole=False)
 
 
+def op12_spill_counted_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), 8)
 
@@ -78,5 +82,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_spans, op2_voronoi_top_k, op3_path_template_tree, op4_candidate_boosted_pii, op5_harmonic_packing, op6_set_relation_join, op7_site_style_tree, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts, op11_suffix_automaton_runs, op13_differencing_shards, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_spans, op2_voronoi_top_k, op3_path_template_tree, op4_candidate_boosted_pii, op5_harmonic_packing, op6_set_relation_join, op7_site_style_tree, op8_event_sourced_chat, op9_benchmark_decontamination, op10_token_counts, op11_suffix_automaton_runs, op12_spill_counted_alignment, op13_differencing_shards, pipeline)}
 ORACLES: dict[str, str] = {"op2_voronoi_top_k": topk.SQL, "op6_set_relation_join": jaccard.SQL, "op8_event_sourced_chat": chat.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
