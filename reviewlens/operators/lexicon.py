@@ -99,8 +99,36 @@ def balanced(columns: Sequence[Column], join: Callable[[Column, Column], Column]
     return join(balanced(columns[:half], join, empty), balanced(columns[half:], join, empty))
 
 
+def trie_pattern(keywords: Sequence[str]) -> str:
+    """One pattern for "any of the keywords", shaped like their trie: keywords with the same beginning share it, so at
+    each place of a text only one way is tried."""
+    trie: dict[str, dict] = {}
+    for k in minimal(keywords):
+        node = trie
+        for ch in k:
+            node = node.setdefault(ch, {})
+
+    def written(node: dict[str, dict]) -> str:
+        # minimal keywords: none begins another, so a node without children is an end
+        ends = [ch for ch, rest in node.items() if not rest]
+        ways = [re.escape(ch) + written(rest) for ch, rest in node.items() if rest]
+        if len(ends) > 1:
+            ways.append("[" + "".join(map(re.escape, ends)) + "]")
+        elif ends:
+            ways.append(re.escape(ends[0]))
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+    return written(trie)
+
+
+TRIE_FROM = 64  # so many keywords take longer one by one than in one pattern
+
+
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    return balanced([F.contains(text, F.lit(k)) for k in minimal(keywords)], operator.or_, F.lit(False))
+    kept = minimal(keywords)
+    if len(kept) >= TRIE_FROM and kept[0]:
+        return text.rlike("(?s)" + trie_pattern(kept))
+    return balanced([F.contains(text, F.lit(k)) for k in kept], operator.or_, F.lit(False))
 
 
 def count_contained(text: Column, keywords: Sequence[str]) -> Column:

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.operators.lexicon import MAX_LITERAL_KEYWORDS
-
 
 def join_pred_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Predictions beside truth by id (positions mean nothing after a shuffle)."""
@@ -20,44 +18,77 @@ def reattach(scored: DataFrame, source: DataFrame, key: str, columns: Sequence[s
     return scored.join(source.select(key, *columns), key, "left")
 
 
+FEW = 64  # entries up to which each is looked for in every text
+GRAM = 3  # characters of the longest index gram
+BITS = 1 << 18  # of the filter over index grams
+SAMPLE = 2_000  # texts whose grams are counted to tell rare ones; decides about speed only
+BROADCAST_BYTES = 32 << 20
+
+
 def lexicon_join(df: DataFrame, text: str, ids: Sequence[str], lexicon: DataFrame) -> DataFrame:
     """Every (row, lexicon entry) whose keyword occurs in the lower-cased text: one output row for each row of
     ``df`` and each entry, repeated entries included. An empty keyword occurs in every text, a null one in none.
 
-    A lexicon small enough for the plan becomes an array literal filtered per row: no join
-    at all. A larger one is matched by equality on parts of the text; the rows are the same.
+    A handful of entries becomes an array literal filtered per row: no join at all. More of them are found
+    through an index of their grams; the rows are the same.
     """
     entries = lexicon.select("aspect", "role", "keyword")
     prepared = df.select(*ids, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__rl_t"))
-    rows = entries.take(MAX_LITERAL_KEYWORDS + 1)
-    if len(rows) > MAX_LITERAL_KEYWORDS:
-        return match_by_substring(prepared, "__rl_t", ids, entries)
+    rows = entries.take(FEW + 1)
+    if len(rows) > FEW:
+        return match_by_gram(prepared, "__rl_t", ids, entries)
     kind = "array<struct<aspect:string,role:string,keyword:string>>"
     known = F.array(*[F.struct(*(F.lit(r[c]).alias(c) for c in entries.columns)) for r in rows]).cast(kind)
     found = F.filter(known, lambda e: F.contains(F.col("__rl_t"), e["keyword"]))
     return prepared.select(*ids, F.explode(found).alias("e")).select(*ids, "e.*")
 
 
-BROADCAST_BYTES = 32 << 20
+def grams(text: Column, n: int) -> Column:
+    """All parts of ``n`` characters, in order: whole characters at a time, with those that follow."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
+def slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BITS)).cast("int")
+
+
+def gram_index(texts: Column, sample: DataFrame, entries: DataFrame) -> DataFrame:
+    """``entries`` with the ``gram`` they are found by: of a keyword's parts of ``GRAM`` characters (of a shorter keyword,
+    all of it) the one that fewest of the sampled texts hold. An empty keyword has the empty gram."""
+    words = entries.select("keyword").where("keyword <> ''").distinct()
+    parts = words.select("keyword", F.explode(F.array_distinct(F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(grams(F.col("keyword"), GRAM)))).alias("gram"))
+    known = sample.select(F.explode(F.array_distinct(grams(texts, GRAM))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rated = parts.join(known, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy("keyword").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    blank = entries.where("keyword = ''").withColumn("gram", F.lit(""))
+    return entries.join(rarest, "keyword").unionByName(blank).select("gram", "aspect", "role", "keyword")
+
+
+def gram_filter(index: DataFrame) -> Column:
+    """A set of bits, one or more of them on for the index's grams, as an array of at most ``BITS`` / 64 numbers."""
+    on = [0] * (BITS // 64)
+    for (s,) in index.select(slot(F.col("gram"))).distinct().collect():  # at most BITS numbers
+        on[s // 64] |= 1 << (s % 64)
+    return F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint") for x in on])
 
 
-def match_by_substring(df: DataFrame, text: str, ids: Sequence[str], entries: DataFrame) -> DataFrame:
-    """Equality form of :func:`lexicon_join` for lexicons of any size.
+def match_by_gram(df: DataFrame, text: str, ids: Sequence[str], entries: DataFrame) -> DataFrame:
+    """Index form of :func:`lexicon_join` for lexicons of any size.
 
-    For every length that a keyword has, the distinct parts of that length of a text meet the keywords. The
-    lexicon is broadcast if its measured size allows it; otherwise both sides are shuffled, and adaptive
-    execution splits parts that occur in very many texts. The exploded text is never broadcast.
+    A text's distinct grams are cut down to those that may be in the index before anything is exploded; what is
+    left meets the index by equality, and the whole keyword is then looked for. Each entry has one gram, so no row comes
+    twice. The index is broadcast if its measured size allows it; otherwise both sides are shuffled.
     """
-    sizes = entries.where("keyword IS NOT NULL").groupBy(F.length("keyword").alias("n")).agg(F.count("*").alias("entries")).collect()
-    lengths = F.array(*[F.lit(r["n"]) for r in sizes]).cast("array<int>")  # one row per length of a keyword
-    weight = sum(r["entries"] * (4 * r["n"] + 100) for r in sizes)
-    one_length = df.select(*ids, F.col(text).alias("__rl_t"), F.explode(lengths).alias("__rl_n"))
-    # whole characters at a time, with the characters that follow
-    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("__rl_n").cast("string"), F.lit("}))."))
-    parts = F.when(F.col("__rl_n") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.regexp_extract_all("__rl_t", pattern, F.lit(1))))
-    pieces = one_length.select(*ids, F.explode(parts).alias("keyword"))
-    side = F.broadcast(entries) if weight <= BROADCAST_BYTES else entries.hint("merge")
-    return pieces.join(side, "keyword").select(*ids, "aspect", "role", "keyword")
+    t = F.col(text)
+    index = gram_index(t, df.select(text).limit(SAMPLE), entries).persist()
+    size = index.agg(F.sum(F.length("keyword") * 4 + 150).alias("bytes"), F.collect_set(F.length("gram")).alias("lengths")).first()
+    lengths = sorted(size["lengths"])
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(t, n) if n else F.array(F.lit("")) for n in lengths]))
+    bits = gram_filter(index)
+    likely = F.filter(every, lambda g: F.get(bits, F.shiftright(slot(g), 6)).bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), slot(g).bitwiseAND(F.lit(63)))) != 0)
+    met = df.select(*ids, text, F.explode(likely).alias("gram"))
+    side = F.broadcast(index) if (size["bytes"] or 0) <= BROADCAST_BYTES else index.hint("merge")
+    return met.join(side, "gram").where(F.contains(t, F.col("keyword"))).select(*ids, "aspect", "role", "keyword")
 
 
 def completeness(expected: DataFrame, processed: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from reviewlens.operators import project
 from reviewlens.plans.q_text import URLS, strip, urls
 from reviewlens.plans.registry import query
 from reviewlens.plans.session import scratch_path
-from reviewlens.plans.views import REVIEWS, SHORT_REVIEWS, Tables, sql_text
+from reviewlens.plans.views import REVIEWS, Tables, sql_text
 from reviewlens.sources import readers, writers
 
 # -------------------------------------------------------------------------- sources
@@ -26,10 +26,21 @@ def src_csv(t):
     # spaces at the ends belong to the text
     quoted = df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
     quoted.option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
-    back = readers.read_csv(t.spark, path, "review_id bigint, product_id string, rating int, content string")
+    back = readers.read_large_csv(t.spark, path, "review_id bigint, product_id string, rating int, content string")
     return back.withColumn("content", F.nullif("content", F.lit("")))
 
 
+@query("csv_bom", f"WITH {REVIEWS} SELECT review_id, product_id, rating, nullif(content, '') AS content, 1 AS marks FROM reviews")
+def csv_bom(t):
+    """The review buffer as CSV with a byte order mark, and back; every file has its mark."""
+    path = scratch_path(t.spark, "csv-bom")
+    writers.write_csv_bom(t.reviews().select("review_id", "product_id", "rating", "content"), path)
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    marks = files.agg(F.min((F.hex(F.substring("content", 1, 3)) == "EFBBBF").cast("int"))).scalar()
+    back = readers.read_large_csv(t.spark, path, "review_id bigint, product_id string, rating int, content string")
+    return back.withColumn("content", F.nullif("content", F.lit(""))).withColumn("marks", marks)
+
+
 @query("sink_roundtrip", f"WITH {REVIEWS} SELECT review_id, product_id, rating, content FROM reviews")
 def sink_roundtrip(t):
     """Labelled table export, one folder per group of products, and back."""
@@ -67,12 +78,8 @@ def src_json_docs(t):
         F.create_map("event_type", (F.col("event_id") % 3 - 1).cast("int")).alias("sentiment"),
     )
     writers.gathered(docs, "product_id").write.partitionBy("product_id").json(path)
-    back = t.spark.read.schema(readers.PREDICTION).option("recursiveFileLookup", True).json(path)
-    return back.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"product_id=([^/]+)/", 1).alias("product_id"),
-        "review_id",
-        F.explode("sentiment").alias("aspect", "label"),
-    )
+    back = readers.read_prediction_lines(t.spark, path)
+    return back.select("product_id", "review_id", F.explode("sentiment").alias("aspect", "label"))
 
 
 @query("src_url_list", f"WITH {URLS} SELECT trim(trim({strip('u')}, '\"'), '''') AS url FROM urls WHERE {strip('u')} <> ''")
@@ -148,10 +155,11 @@ def review_payload(t):
 
 @query(
     "search_payload",
-    """SELECT p_partkey // 20 AS page, CAST(p_partkey % 20 AS INTEGER) AS position, CASE WHEN p_partkey % 6 = 0 THEN 'Unknown' ELSE p_name END AS name,
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS place FROM part)
+SELECT p_partkey // 20 AS page, CAST(place AS INTEGER) AS position, CASE WHEN p_partkey % 6 = 0 THEN 'Unknown' ELSE p_name END AS name,
   CASE WHEN p_partkey % 4 = 0 THEN 'N/A' ELSE CAST(p_partkey AS VARCHAR) || ' ₫' END AS price,
   'https://shop.example/products/p-i' || p_partkey || '.html' AS url, CAST(p_partkey AS VARCHAR) AS item_id
-FROM part WHERE p_partkey % 20 < 15 AND p_partkey // 20 * 20 >= (SELECT min(p_partkey) FROM part)""",
+FROM p WHERE place < 15""",
 )
 def search_payload(t):
     """Search pages of twenty parts each, the first fifteen of a page kept."""
@@ -163,12 +171,11 @@ def search_payload(t):
         F.when(k % 2 == 0, k.cast("string")).alias("itemId"),
     )
     pages = t.part.groupBy(F.floor(k / 20).cast("bigint").alias("page")).agg(
-        F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("l"), F.min("p_partkey").alias("first")
+        F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("l")
     )
-    low = t.part.agg(F.min("p_partkey")).scalar()
     payload = F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["item"]).alias("listItems")).alias("mods")))
-    full = pages.where(F.col("page") * 20 >= low).select("page", payload.alias("payload"))
-    return readers.products_from_search(full, "payload", ["page"], 15).select("page", "position", "name", "price", "url", "item_id")
+    landed_pages = pages.select("page", payload.alias("payload"))
+    return readers.products_from_search(landed_pages, "payload", ["page"], 15).select("page", "position", "name", "price", "url", "item_id")
 
 
 @query(
@@ -236,12 +243,12 @@ def dead_letter(t):
 
 @query(
     "encode_message",
-    f"WITH {SHORT_REVIEWS} SELECT product_id AS key, product_id, review_id, rating, content AS review_content FROM short_reviews",
+    f"WITH {REVIEWS} SELECT product_id AS key, product_id, review_id, rating, content AS review_content FROM reviews",
 )
 def encode_message(t):
     """Reviews as (key, value) messages, the value parsed again."""
     fields = ["product_id", F.col("content").alias("review_content"), "rating", F.col("review_id").cast("string").alias("review_id")]
-    sent = project.encode_message(t.short_reviews(), "product_id", fields)
+    sent = project.encode_message(t.reviews(), "product_id", fields)
     m = project.decode_message("value")
     return sent.select("key", m.alias("m")).select(
         "key",

@@ -17,7 +17,6 @@ from reviewlens.plans.views import (
     LABELLED_WIDE,
     REVIEWS,
     SCORED,
-    SHORT_REVIEWS,
     Tables,
     sql_list,
     sql_text,
@@ -129,15 +128,19 @@ def argmax_matrix(t):
     return encoded.select("vec_id", F.array_join(L.argmax_matrix("json", 16), ",").alias("classes"))
 
 
+# All 64 numbers of a vector: one mention and three sentiments for each of sixteen aspects.
+SIXTEEN = [*ASPECTS, *(f"Khía cạnh {i}" for i in range(10, 17))]
+
+
 def logits(t: Tables):
     e = F.transform("embedding", lambda x: x.cast("double") * 10)
-    return t.embeddings.select("vec_id", F.slice(e, 1, 9).alias("m"), F.slice(e, 10, 27).alias("s"))
+    return t.embeddings.select("vec_id", F.slice(e, 1, 16).alias("m"), F.slice(e, 17, 48).alias("s"))
 
 
-LOGITS = f"""lg AS (SELECT vec_id, i, {sql_list(ASPECTS)}[i + 1] AS aspect,
+LOGITS = f"""lg AS (SELECT vec_id, i, {sql_list(SIXTEEN)}[i + 1] AS aspect,
   1.0 / (1.0 + exp(-(CAST(embedding[i + 1] AS DOUBLE) * 10))) AS pm,
-  list_transform(embedding[10 + 3 * i:12 + 3 * i], lambda x: CAST(x AS DOUBLE) * 10) AS s
-  FROM (SELECT vec_id, embedding, unnest(range(9)) AS i FROM embeddings))"""
+  list_transform(embedding[17 + 3 * i:19 + 3 * i], lambda x: CAST(x AS DOUBLE) * 10) AS s
+  FROM (SELECT vec_id, embedding, unnest(range(16)) AS i FROM embeddings))"""
 
 
 @query(
@@ -146,7 +149,7 @@ LOGITS = f"""lg AS (SELECT vec_id, i, {sql_list(ASPECTS)}[i + 1] AS aspect,
   ELSE ['-1', '1', '0'][list_position(s, list_max(s))] END AS label FROM lg""",
 )
 def logits_to_labels(t):
-    labels = L.logits_to_labels("m", "s", ASPECTS)
+    labels = L.logits_to_labels("m", "s", SIXTEEN)
     return logits(t).select("vec_id", F.explode(labels).alias("r")).select("vec_id", "r.*")
 
 
@@ -159,7 +162,7 @@ SELECT vec_id, aspect, CASE WHEN pm <= 0.6 THEN '2' WHEN len(hits) = 0 THEN '0'
   ELSE '[' || array_to_string(hits, ',') || ']' END AS label FROM h""",
 )
 def logits_to_multi_labels(t):
-    labels = L.logits_to_labels("m", "s", ASPECTS, threshold=0.6, multi=True)
+    labels = L.logits_to_labels("m", "s", SIXTEEN, threshold=0.6, multi=True)
     return logits(t).select("vec_id", F.explode(labels).alias("r")).select("vec_id", "r.*")
 
 
@@ -198,14 +201,14 @@ def reply_case(aspect: str, otherwise: str) -> str:
 
 @query(
     "parse_reply",
-    f"WITH {SHORT_REVIEWS} " + " UNION ALL ".join(
-        f"SELECT review_id, {sql_text(a)} AS aspect, {reply_case(a, 'NULL')} AS label FROM short_reviews "
+    f"WITH {REVIEWS} " + " UNION ALL ".join(
+        f"SELECT review_id, {sql_text(a)} AS aspect, {reply_case(a, 'NULL')} AS label FROM reviews "
         f"WHERE (rating + review_id) % {len(REPLIES)} IN ({', '.join(map(str, READ))})"
         for a in ASPECTS
     ),
 )
 def parse_reply(t):
-    parsed = with_reply(t.short_reviews()).select("review_id", P.reply_labels("reply", ASPECTS).alias("m"))
+    parsed = with_reply(t.reviews()).select("review_id", P.reply_labels("reply", ASPECTS).alias("m"))
     return parsed.select("review_id", F.explode("m").alias("aspect", "label"))
 
 
@@ -295,26 +298,32 @@ def rules_mention_gated(t):
     return wide(rules.rules_mention_gated(t.reviews(), "content"))
 
 
-# Lexicons of the context engines are parameters; this one mixes review words with
-# syllables of the corpus, so that long texts exercise the windows too.
-CONTEXT = Lexicon(
-    aspects={
-        "Chất lượng sản phẩm": AspectWords(
-            nouns=("chất lượng", "hàng", "áo", "thle", "quar"), positive=("đẹp", "tốt", "rhea"), negative=("mỏng", "kém", "thất vọng", "whou")
-        ),
-        "Vận chuyển": AspectWords(
-            nouns=("giao", "ship", "erand", "ionen"), positive=("nhanh", "đúng hẹn", "bleed"), negative=("chậm", "trễ", "ndnd")
-        ),
-        "Đóng gói": AspectWords(nouns=("đóng gói", "hộp", "ouver"), positive=("cẩn thận", "stst"), negative=("móp", "bẹp", "menté")),
-        "Dịch vụ & Thái độ Shop": AspectWords(
-            nouns=("shop", "seller", "geit"), positive=("nhiệt tình", "ok", "cióna"), negative=("không trả lời", "lừa", "ichau")
-        ),
-    },
-    positive=("tốt", "đẹp", "ok", "ổn", "nhanh", "rhea", "erre"),
-    negative=("kém", "chậm", "mỏng", "thất vọng", "whou", "ndnd"),
-    neutral=("tạm", "bình thường", "cũng được", "oron"),
-    contrast=("nhưng", "tuy nhiên", "mặc dù", "with"),
-)
+# Lexicons of the context engines are parameters; this one takes the mention-gated words of all nine aspects and
+# adds syllables of the corpus, so that long texts exercise the windows too.
+SYLLABLES = {
+    "Chất lượng sản phẩm": (("thle", "quar"), ("rhea",), ("whou",)),
+    "Vận chuyển": (("erand", "ionen"), ("bleed",), ("ndnd",)),
+    "Đóng gói": (("ouver",), ("stst",), ("menté",)),
+    "Dịch vụ & Thái độ Shop": (("geit",), ("cióna",), ("ichau",)),
+}
+
+
+def context_lexicon(contrast: list[str]) -> Lexicon:
+    aspects = {}
+    for a, w in lx.GATED.aspects.items():
+        nouns, positive, negative = SYLLABLES.get(a, ((), (), ()))
+        aspects[a] = AspectWords(nouns=w.nouns + nouns, positive=w.positive + positive, negative=w.negative + negative)
+    return Lexicon(
+        aspects=aspects,
+        positive=(*lx.SIMPLE.positive, "nhanh", "rhea", "erre"),
+        negative=(*lx.SIMPLE.negative, "kém", "chậm", "mỏng", "whou", "ndnd"),
+        neutral=("tạm", "bình thường", "cũng được", "oron"),
+        contrast=(*contrast, "with"),
+    )
+
+
+CONTEXT = context_lexicon(lx.CONTEXT_V1_CONTRAST)
+CONTEXT_V2 = context_lexicon(lx.CONTEXT_V2_CONTRAST)
 CONTEXT_ASPECTS = list(CONTEXT.aspects)
 
 
@@ -358,7 +367,7 @@ def rules_context_v1(t):
 def context_v2_sql() -> str:
     """The engine as first described: every window's sentiment, then the decision table."""
     mentions, sentiments, labels = [], [], {}
-    for i, (a, w) in enumerate(CONTEXT.aspects.items()):
+    for i, (a, w) in enumerate(CONTEXT_V2.aspects.items()):
         # positions from the lengths of the pieces between hits; no noun overlaps itself
         at = (
             f"list_transform(range(1, len(string_split(x, k))), lambda i: "
@@ -368,7 +377,7 @@ def context_v2_sql() -> str:
         p, n = any_of("x", w.positive), any_of("x", w.negative)
         mentions.append(f"CASE WHEN len({found}) > 0 THEN {found} WHEN {p} OR {n} THEN [CAST(0 AS BIGINT)] ELSE [] END AS m{i}")
         window = "substr(x, greatest(q - 60, 0) + 1, q + 60 - greatest(q - 60, 0))"
-        cp, cn, ct = any_of("c", w.positive), any_of("c", w.negative), any_of("c", CONTEXT.contrast)
+        cp, cn, ct = any_of("c", w.positive), any_of("c", w.negative), any_of("c", CONTEXT_V2.contrast)
         verdict = (
             f"CASE WHEN {cp} AND {cn} THEN 'mixed' WHEN {ct} AND ({cp} OR {cn}) THEN 'mixed' "
             f"WHEN {cp} THEN 'positive' WHEN {cn} THEN 'negative' ELSE 'neutral' END"
@@ -393,7 +402,7 @@ SELECT review_id, CASE WHEN {all_open} AND length({strip('raw')}) < 15 THEN {gue
 
 @query("rules_context_v2", context_v2_sql())
 def rules_context_v2(t):
-    return rules.rules_context_v2(t.reviews(), "content", CONTEXT).select("review_id", *CONTEXT_ASPECTS)
+    return rules.rules_context_v2(t.reviews(), "content", CONTEXT_V2).select("review_id", *CONTEXT_ASPECTS)
 
 
 def cascade_sql() -> str:
@@ -445,15 +454,28 @@ def lexicon_join(t):
     return relate.lexicon_join(t.reviews(), "content", ["review_id"], lexicon_table(t))
 
 
+BENCHMARK_WORDS = """words AS (SELECT CAST(item_id AS VARCHAR) AS aspect, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS keyword FROM benchmark),
+lex AS (SELECT aspect, 'word' AS role, keyword FROM words UNION ALL SELECT aspect, 'ending', right(keyword, 2) FROM words UNION ALL SELECT aspect, 'letter', left(keyword, 1) FROM words
+  UNION ALL SELECT 'all', 'empty', '')"""
+
+
 @query(
     "lexicon_join_large",
-    LEXICON_JOIN,
+    f"""WITH {REVIEWS}, {BENCHMARK_WORDS},
+k AS MATERIALIZED (SELECT keyword, count(*) AS n, count(*) FILTER (role = 'word') AS words FROM lex GROUP BY keyword)
+SELECT review_id, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(words) AS BIGINT) AS words, CAST(sum(n * length(keyword)) AS BIGINT) AS letters
+FROM reviews JOIN k ON contains({low_sql()}, keyword) GROUP BY review_id""",
 )
 def lexicon_join_large(t):
-    """The equality form, used when a lexicon outgrows the plan."""
-    entries = lexicon_table(t)
-    prepared = t.reviews().select("review_id", F.lower(F.coalesce("content", F.lit(""))).alias("x"))
-    return relate.match_by_substring(prepared, "x", ["review_id"], entries)
+    """All words of the benchmark items, the last two letters and the first letter of each, and an empty
+    keyword: thousands of entries, many of them repeated, found through the gram index and counted per review."""
+    words = t.benchmark.select(F.col("item_id").cast("string").alias("aspect"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    kinds = {"word": F.col("w"), "ending": F.right("w", F.lit(2)), "letter": F.left("w", F.lit(1))}
+    entries = t.spark.createDataFrame([("all", "empty", "")], "aspect string, role string, keyword string")
+    for role, keyword in kinds.items():
+        entries = entries.unionByName(words.select("aspect", F.lit(role).alias("role"), keyword.alias("keyword")))
+    found = relate.lexicon_join(t.reviews(), "content", ["review_id"], entries)
+    return found.groupBy("review_id").agg(F.count("*").alias("entries"), F.count_if(F.col("role") == "word").alias("words"), F.sum(F.length("keyword")).alias("letters"))
 
 
 # -------------------------------------------------------------------------- validation

@@ -8,10 +8,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.text import WORD
 from reviewlens.operators import learn
 from reviewlens.operators.sampling import assign_split
 from reviewlens.plans.registry import query
-from reviewlens.plans.session import spread
+from reviewlens.plans.session import scratch_path, spread
 from reviewlens.plans.views import Tables
 
 
@@ -50,6 +51,36 @@ def ml_naive_bayes(t):
     return fit_and_score(t, learn.naive_bayes("text", "quality", vocabulary=1 << 13, top=500), "quality")
 
 
+CLASSES = [0, 1, 2]
+
+
+def folds_sql() -> str:
+    def each(text: str) -> str:
+        return ", ".join(text.replace("#", str(i)) for i in CLASSES)
+
+    score = "[" + each("round(CASE WHEN d# = 0 THEN '-infinity'::DOUBLE ELSE ln(d# / docs) END + l#, 6)") + "]"
+    terms = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^{WORD}]+'), lambda x: x <> '')"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, CAST(CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold,
+  CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS label, {terms} AS terms FROM documents JOIN labels USING (doc_id)),
+c AS MATERIALIZED (SELECT doc_id, fold, label, term, count(*) AS tf FROM (SELECT doc_id, fold, label, unnest(terms) AS term FROM d) GROUP BY ALL),
+tests AS (SELECT DISTINCT fold FROM d),
+n AS MATERIALIZED (SELECT tests.fold, term, {each('coalesce(sum(tf) FILTER (label = #), 0) AS n#')} FROM c JOIN tests ON c.fold <> tests.fold GROUP BY ALL),
+t AS (SELECT fold, {each('sum(n#) + count(*) AS t#')} FROM n GROUP BY fold),
+p AS (SELECT tests.fold, CAST(count(*) AS DOUBLE) AS docs, {each('count(*) FILTER (label = #) AS d#')} FROM d JOIN tests ON d.fold <> tests.fold GROUP BY ALL),
+s AS (SELECT doc_id, {each('sum(tf * ln((coalesce(n#, 0) + 1) / t#)) AS l#')} FROM c JOIN t USING (fold) LEFT JOIN n USING (fold, term) GROUP BY doc_id),
+r AS (SELECT doc_id, fold, label, {score} AS scores FROM d JOIN p USING (fold) LEFT JOIN (SELECT doc_id, {each('l#')} FROM s) USING (doc_id))
+SELECT doc_id, fold, label, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS prediction FROM r"""
+
+
+@query("ml_naive_bayes_folds", folds_sql())
+def ml_naive_bayes_folds(t):
+    """Every labelled document judged by the naive Bayes model of the other four folds, out of one count of terms."""
+    rows = labelled(t).select("doc_id", "text", F.col("sentiment").cast("int").alias("label"))
+    path = scratch_path(t.spark, "term-counts")
+    learn.term_counts(rows, "doc_id", "text", "label", 5).write.parquet(path)
+    return learn.naive_bayes_folds(t.spark.read.parquet(path), "doc_id", CLASSES)
+
+
 @query("ml_kfold")
 def ml_kfold(t):
     return learn.cross_validate(labelled(t), "doc_id", "quality", lambda: learn.mention_model("text", "quality", size=1 << 12))

@@ -13,13 +13,14 @@ from reviewlens.plans.views import LABELS_LONG, Tables
 from reviewlens.streaming import ingest, stores, windows
 from reviewlens.streaming.batches import ReviewBatches
 
-FILES = 4
+FILES = 4  # at least; more for larger tables
+ROWS_PER_FILE = 250_000
 
 
 def staged(t: Tables, df: DataFrame, order: str) -> DataFrame:
     """``df`` written as a few files in order, read as a stream of one file per micro-batch."""
     path = scratch_path(t.spark, "stream")
-    df.repartitionByRange(FILES, order).write.parquet(path)
+    df.repartitionByRange(max(FILES, df.count() // ROWS_PER_FILE), order).write.parquet(path)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return ingest.file_stream(t.spark, path, schema)
 
@@ -116,7 +117,7 @@ def stream_upsert(t):
     store = stores.PredictionStore(t.spark, scratch_path(t.spark, "store"), "product_id string, review_id string", buckets=8)
     path = scratch_path(t.spark, "stream")
     for half in (0, 1):
-        e.where(F.col("half") == half).drop("half").coalesce(1).write.mode("append").parquet(path)
+        e.where(F.col("half") == half).drop("half").write.mode("append").parquet(path)
     stream = ingest.file_stream(t.spark, path, "product_id string, review_id string")
     run_batches(t, stream, lambda df, epoch: store.process(df, epoch))
     return store.read()
@@ -163,8 +164,12 @@ def readable(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, form) for c in ("window_start", "window_end")})
 
 
-# A watermark longer than the data: nothing is late, so the result is that of a batch.
-WHOLE = "60 days"
+def whole(t: Tables) -> str:
+    """A watermark as long as the data: nothing is late, so the result is that of a batch."""
+    span = t.events.agg(F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0]
+    return f"{(span or 0) + 1} seconds"
+
+
 STAMP = "'%Y-%m-%d %H:%M:%S'"
 
 
@@ -174,7 +179,7 @@ STAMP = "'%Y-%m-%d %H:%M:%S'"
 SELECT strftime(s, {STAMP}) AS window_start, strftime(s + INTERVAL 1 HOUR, {STAMP}) AS window_end, aspect, n FROM w""",
 )
 def stream_tumbling(t):
-    counts = windows.windowed_counts(labels_stream(t), "ts", "1 hour", keys=["aspect"], watermark=WHOLE)
+    counts = windows.windowed_counts(labels_stream(t), "ts", "1 hour", keys=["aspect"], watermark=whole(t))
     return windows_table(t, counts, "aspect string, ", ["aspect"])
 
 
@@ -185,7 +190,7 @@ w AS (SELECT s, count(*) AS n FROM e GROUP BY ALL)
 SELECT strftime(s, {STAMP}) AS window_start, strftime(s + INTERVAL 1 DAY, {STAMP}) AS window_end, n FROM w""",
 )
 def stream_sliding(t):
-    counts = windows.windowed_counts(labels_stream(t), "ts", "1 day", "6 hours", watermark=WHOLE)
+    counts = windows.windowed_counts(labels_stream(t), "ts", "1 day", "6 hours", watermark=whole(t))
     return windows_table(t, counts, "", [])
 
 
@@ -196,7 +201,7 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id AS product_id, epoch_us(min(ts)) AS window_start, epoch_us(max(ts) + INTERVAL 8 HOUR) AS window_end, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def stream_session(t):
-    sessions = windows.session_counts(labels_stream(t), "ts", "8 hours", ["product_id"], watermark=WHOLE)
+    sessions = windows.session_counts(labels_stream(t), "ts", "8 hours", ["product_id"], watermark=whole(t))
     store = stores.EpochTable(t.spark, scratch_path(t.spark, "sessions"), "window_start timestamp, window_end timestamp, product_id bigint, n bigint")
     last: list[int] = []
 
@@ -211,5 +216,5 @@ def stream_session(t):
 @query("stream_dedup", "SELECT DISTINCT event_id // 3 AS review_id FROM events")
 def stream_dedup(t):
     stream = labels_stream(t).withColumn("review_id", F.floor(F.col("review_id") / 3).cast("bigint")).select("review_id", "ts")
-    kept = windows.dedup_by_id(stream, "ts", ["review_id"], watermark=WHOLE).select("review_id")
+    kept = windows.dedup_by_id(stream, "ts", ["review_id"], watermark=whole(t)).select("review_id")
     return ingest.drain_to_parquet(kept, scratch_path(t.spark, "unique"), scratch_path(t.spark, "checkpoint"))

@@ -15,7 +15,6 @@ from reviewlens.plans.views import (
     LABELS_LONG,
     REVIEWS,
     SCORED,
-    SHORT_REVIEWS,
     Tables,
     sql_text,
 )
@@ -219,9 +218,9 @@ def merge_keep_last(t):
     return dedup.merge_keep_last(old, new, "content", "review_id")
 
 
-RAW_IDS = f"""{SHORT_REVIEWS}, raw AS (SELECT review_id AS seq, content,
+RAW_IDS = f"""{REVIEWS}, raw AS (SELECT review_id AS seq, content,
   CASE WHEN rating = 1 THEN NULL WHEN rating = 2 THEN '' ELSE CAST(review_id // 4 AS VARCHAR) END AS rate_id,
-  CASE WHEN rating = 2 THEN '0' ELSE CAST(review_id // 3 AS VARCHAR) END AS id FROM short_reviews)"""
+  CASE WHEN rating = 2 THEN '0' ELSE CAST(review_id // 3 AS VARCHAR) END AS id FROM reviews)"""
 
 
 @query(
@@ -232,7 +231,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM k) S
 )
 def dedup_by_id(t):
     q = F.floor(F.col("review_id") / 4).cast("bigint").cast("string")
-    raw = t.short_reviews().select(
+    raw = t.reviews().select(
         F.col("review_id").alias("seq"),
         "content",
         F.when(F.col("rating") == 1, None).when(F.col("rating") == 2, "").otherwise(q).alias("rate_id"),
@@ -314,9 +313,9 @@ def hash_sample(t):
     return sampling.hash_sample(t.events, "event_id", 500).select("event_id", "event_type")
 
 
-@query("head_limit", f"WITH {SHORT_REVIEWS} SELECT review_id, content FROM short_reviews ORDER BY review_id LIMIT 100")
+@query("head_limit", f"WITH {REVIEWS} SELECT review_id, content FROM reviews ORDER BY review_id LIMIT 100")
 def head_limit(t):
-    return sampling.head_limit(t.short_reviews().select("review_id", "content"), "review_id", 100)
+    return sampling.head_limit(t.reviews().select("review_id", "content"), "review_id", 100)
 
 
 @query("latest_n", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

@@ -182,9 +182,12 @@ LEN = "len(content)"
 ), docs AS (
   SELECT doc_id, k, string_split(text, k) AS parts FROM documents,
        (SELECT unnest({sql_list([w for w in POSITION_WORDS if w != "aa"])}) AS k) WHERE contains(text, k)
+), pairs AS (
+  SELECT doc_id, parts, unnest(range(1, len(parts) - 1)) AS i FROM (SELECT doc_id, string_split(text, 'a') AS parts FROM documents WHERE contains(text, 'aa'))
 ), doc_hits AS (
   SELECT doc_id, list_sum(list_transform(parts[1:i], lambda s: length(s))) + (i - 1) * length(k) AS p
   FROM (SELECT doc_id, k, parts, unnest(range(1, len(parts))) AS i FROM docs)
+  UNION ALL SELECT doc_id, list_sum(list_transform(parts[1:i], lambda s: length(s))) + i - 1 FROM pairs WHERE parts[i + 1] = ''
 )
 SELECT review_id, count(DISTINCT p) AS n, CAST(sum(DISTINCT p) AS BIGINT) AS total, CAST(max(p) AS BIGINT) AS last
 FROM hits WHERE substr(content, p + 1, length(k)) = k GROUP BY review_id
@@ -208,9 +211,7 @@ def positions(t):
             F.array_max("p").cast("bigint").alias("last"),
         )
 
-    both = found(t.short_reviews().select("review_id", "content"), POSITION_WORDS).unionByName(
-        found(docs, [w for w in POSITION_WORDS if w != "aa"])
-    )
+    both = found(t.short_reviews().select("review_id", "content"), POSITION_WORDS).unionByName(found(docs, POSITION_WORDS))
     return sums(both).where("last IS NOT NULL")
 
 

@@ -129,9 +129,9 @@ class Tables:
         )
 
     def labelled_wide(self) -> DataFrame:
-        """review_id, file, content and one label column per aspect, from short reviews."""
+        """review_id, file, content and one label column per aspect, for all reviews."""
         choices = F.array(*[F.lit(c) for c in WIDE_LABELS])
-        r = self.short_reviews()
+        r = self.reviews()
         labels = {
             a: F.element_at(choices, ((F.col("review_id") * (i + 3) + F.col("rating") * i) % len(WIDE_LABELS) + 1).cast("int"))
             for i, a in enumerate(ASPECTS)
@@ -186,10 +186,10 @@ SCORED = f"""scored AS (
          {_cut('(value + (event_id % 4) * 30 - 30)')} AS pred
   FROM events)"""
 
-LABELLED_WIDE = f"""{SHORT_REVIEWS},
+LABELLED_WIDE = f"""{REVIEWS},
 labelled_wide AS (
   SELECT review_id, product_id AS file, content, """ + ", ".join(
     f"{sql_list(WIDE_LABELS)}[(review_id * {i + 3} + rating * {i}) % {len(WIDE_LABELS)} + 1] AS \"{a}\""
     for i, a in enumerate(ASPECTS)
 ) + """
-  FROM short_reviews)"""
+  FROM reviews)"""

@@ -51,12 +51,50 @@ def read_workbook_remote(spark: SparkSession, path: str, columns: Sequence[str],
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
-    """Header CSV with quoted line breaks; without a schema every column is text. Line breaks
-    inside cells keep a file from being split, so keep single files small."""
+    """Header CSV with quoted line breaks; without a schema every column is text. Each file is read by one task: for
+    large files use :func:`read_large_csv`."""
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (r.schema(schema) if schema else r).csv(path if isinstance(path, str) else list(path))
 
 
+def csv_records(spark: SparkSession, path: str | Sequence[str], quote: str = '"') -> DataFrame:
+    """(file, record, text) of the records of large CSV files whose cells may hold line breaks.
+
+    The files are read as lines, in as many splits as their size asks for. A line break ends a record if the
+    quotes before it are even in number. So each split counts its quotes, the sums of the splits before it say
+    whether it begins inside a cell, and the same way the splits' record ends number the records. A record that crosses
+    splits is put together at the end. Only one row of sums per split is gathered by file.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
+    block = ["file", "split"]
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), "value"
+    ).withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit(""))))
+    before = W.partitionBy(*block).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    odd = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    # whether a line starts a record depends on the split's own beginning: count both cases
+    sums = odd.groupBy(*block).agg(F.sum("quotes").alias("quotes"), F.count_if(F.col("odd") == 0).alias("even_starts"), F.count_if(F.col("odd") == 1).alias("odd_starts"))
+    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2
+    starts = sums.withColumn("inside", inside).withColumn("starts", F.when(F.col("inside") == 0, F.col("even_starts")).otherwise(F.col("odd_starts")))
+    offsets = starts.select(*block, "inside", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("offset"))
+    placed = odd.join(offsets, block)
+    begins = (F.col("odd") == F.col("inside")).cast("bigint")
+    number = F.col("offset") + F.sum(begins).over(W.partitionBy(*block).orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    numbered = placed.select("file", "split", "line", "value", number.alias("record"))
+    whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["value"]), "\n")
+    return whole.select("file", (F.col("record") - 1).alias("record"), F.regexp_replace(text, r"\r\z", "").alias("text"))
+
+
+def read_large_csv(spark: SparkSession, path: str | Sequence[str], schema: str, **options: str) -> DataFrame:
+    """Header CSV with quoted line breaks, one large file read by many tasks. Columns are taken by place. The rows are those
+    of :func:`read_csv`; blank lines between records are left out."""
+    records = csv_records(spark, path).where((F.col("record") > 0) & (F.col("text") != ""))
+    parsed = F.from_csv("text", schema, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", **options})
+    return records.select(parsed.alias("r")).select("r.*")
+
+
 def read_folder(
     spark: SparkSession, path: str, pattern: str, fmt: str = "csv", recursive: bool = False, exclude_prefix: str | None = None, **options: str
 ) -> DataFrame:
@@ -86,6 +124,12 @@ def read_prediction_documents(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("product_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", ""))
 
 
+def read_prediction_lines(spark: SparkSession, path: str, product: str = "product_id") -> DataFrame:
+    """JSON lines in one folder per product (``product_id=...``), which large products need."""
+    df = spark.read.schema(PREDICTION).option("recursiveFileLookup", True).json(path)
+    return df.withColumn("product_id", F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), f"{product}=([^/]+)/", 1)))
+
+
 def header_row(cells: DataFrame, row: str, marker: str, preview: int | None = None, file: str | None = None) -> DataFrame:
     """Index of the first row holding ``marker`` (trimmed), per file; 0 when there is none.
 

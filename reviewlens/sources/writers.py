@@ -22,6 +22,18 @@ def write_labelled(df: DataFrame, path: str, fmt: str = "parquet", file: str | N
     (w.partitionBy(file) if file else w).save(path)
 
 
+BOM = "\ufeff"
+
+
+def write_csv_bom(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV whose files begin with a byte order mark, as spreadsheet programs expect of UTF-8: the mark is put before the name of the
+    first column, which every file starts with."""
+    first, *rest = df.columns
+    named = df.toDF(BOM + first, *rest)
+    w = named.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "")
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def write_groups(df: DataFrame, path: str, group: str, fmt: str = "parquet", max_rows: int = 5_000_000) -> None:
     """One folder per group; a huge group is written by several tasks, in several files."""
     w = gathered(df, group).write.mode("overwrite").option("maxRecordsPerFile", max_rows)
