@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
@@ -27,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,8 +46,19 @@ DOC_BITS = 24  # documents of a chunk
 CHUNKS = 1 << 24  # chunk numbers are task number * CHUNKS + count within the task
 
 
+# Fixed value: the splitting rule of byte-level vocabularies.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Characters on whose kind (letter, number, white space) all versions of Unicode agree.
+AGREED = regex.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ǃΑ-ΡΣ-ωА-я‐-―‘-‟…ぁ-ゖァ-ヺ一-龥가-힣]*+")
+REMEMBERED = 500_000  # pre-tokens; beyond this the memory starts anew
+
+
 class Pair:
-    """Both tokenizers, opened once per Python worker."""
+    """Both tokenizers, opened once per Python worker.
+
+    A pre-token of A always has the same ids, so each is merged once and remembered. That is done only in texts of
+    characters that are split here as the library splits them for certain; other texts go to the library whole.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,7 +70,14 @@ class Pair:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            raw = json.load(f)
+        split = raw["pre_tokenizer"]
+        # only these rules are known here
+        self.known_rules = split["type"] == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not raw["normalizer"]
+        self.remembered: dict[str, list[int]] = {}
         byte_of, count = byte_of_mark(), self.a.get_vocab_size()
+        self.marks = {b: c for c, b in byte_of.items()}
         entry = [self.a.id_to_token(i) or "" for i in range(count)]
         self.bytes_a = [bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else t.encode() for t in entry]
         self.bytes_b = [self._bytes_of_piece(i) for i in range(self.b.get_piece_size())]
@@ -75,13 +95,26 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def ids_of(self, text: str) -> list[int]:
+        """The A ids of a text."""
+        if not (self.known_rules and (text.isascii() and text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() or AGREED.fullmatch(text))):
+            return self.a.encode(text, add_special_tokens=False).ids
+        parts = SPLIT.findall(text)
+        try:
+            return list(chain.from_iterable(map(self.remembered.__getitem__, parts)))
+        except KeyError:
+            if len(self.remembered) > REMEMBERED:
+                self.remembered.clear()
+            for p in set(parts) - self.remembered.keys():
+                self.remembered[p] = [t.id for t in self.a.model.tokenize("".join(map(self.marks.__getitem__, p.encode())))]
+            return list(chain.from_iterable(map(self.remembered.__getitem__, parts)))
+
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """A and B ids of each text; none where the bytes of either differ from a space and the text."""
         spaced = [" " + t for t in texts]
-        of_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
         out = []
-        for t, s, a, b in zip(texts, spaced, of_a, self.b.encode(texts, num_threads=1), strict=True):
-            want, ids = s.encode(), a.ids
+        for t, s, ids, b in zip(texts, spaced, map(self.ids_of, spaced), self.b.encode(texts, num_threads=1), strict=True):
+            want = s.encode()
             same = t and b"".join(map(self.bytes_a.__getitem__, ids)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
             out.append((ids, b) if same else ([], []))
         return out
