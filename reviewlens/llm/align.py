@@ -105,7 +105,7 @@ class Pair:
         except KeyError:
             if len(self.remembered) > REMEMBERED:
                 self.remembered.clear()
-            for p in set(parts) - self.remembered.keys():
+            for p in {p for p in parts if p not in self.remembered}:
                 self.remembered[p] = [t.id for t in self.a.model.tokenize("".join(map(self.marks.__getitem__, p.encode())))]
             return list(chain.from_iterable(map(self.remembered.__getitem__, parts)))
 
