@@ -41,16 +41,17 @@ def fold(events: DataFrame) -> DataFrame:
 
     ``seq`` of a message is that of its first event, its role that of its last event with one. Null text
     counts as empty, null kind as ``append``; a message whose events are all thrown away is empty. Events
-    of the same sequence number are taken in the order of kind and text. Repeated events count each.
+    of the same sequence number are taken in the order of kind and text: deltas, then edits, of which the last one
+    stays, then regenerations, which throw all of that number away. Of roles given under one number the last by
+    kind, text and name stays. Repeated events count each. A null sequence number comes before all others.
     """
-    resets = F.col("kind").isin("edit", "regenerate")
     place = F.struct("seq", F.coalesce("kind", F.lit("append")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = F.sort_array(F.collect_list(place))
-    last = F.coalesce(F.max(F.when(resets, F.col("seq"))), F.min("seq"))
-    kept = F.filter("parts", lambda p: (p["seq"] >= F.col("last")) & (p["kind"] != "regenerate"))
+    role_place = F.when(F.col("role").isNotNull(), F.struct(place.alias("place"), "role"))
+    last = F.coalesce(F.array_max(F.transform("parts", lambda p, i: F.when(p["kind"].isin("edit", "regenerate"), i))), F.lit(0))
+    kept = F.filter("parts", lambda p, i: (i >= last) & (p["kind"] != "regenerate"))
     return (
         events.groupBy("conv_id", "message")
-        .agg(parts.alias("parts"), last.alias("last"), F.min("seq").alias("seq"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"))
+        .agg(F.sort_array(F.collect_list(place)).alias("parts"), F.min("seq").alias("seq"), F.max(role_place)["role"].alias("role"))
         .select("conv_id", "message", "seq", "role", F.array_join(F.transform(kept, lambda p: p["text"]), "").alias("text"))
     )
 

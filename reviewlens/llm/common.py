@@ -19,7 +19,20 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     lineage, so a lost executor costs no recomputation of what came before."""
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`saved` that later steps have superseded, and lets Spark's cleaner delete the shuffle files of
+    finished steps, which it does when the driver's JVM collects garbage. No plan may read them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(conf).delete(path, True)
+    if tables:
+        jvm.System.gc()
 
 
 def text_of(name: str = "text") -> Column:

@@ -6,23 +6,27 @@ that they match whole words only; a document is normalised and scanned once. A h
 normalised text gives the words it covers, and the words' places in the original text are read off when
 spans are asked for.
 
-The automaton is built by each Python worker from the items' windows, all of which go through the driver and are
-broadcast: the benchmark has to fit there. Items beyond ``max_bytes`` of windows are put into further automata,
-scanned one after the other over the same text, so that a worker holds one automaton of bounded size at a time.
+The windows are made and parted by hash with Spark and written to the shared folder, so that a part holds about
+``max_bytes`` at most. Part after part goes to the workers, each of which builds its automaton once, and is scanned over
+the documents; between parts the rows, with their hits so far, are written. Neither the driver nor a worker ever holds
+more than one part. A benchmark below ``max_bytes`` of windows is one part: one scan, nothing is written.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import carried, strings, text_of
+from reviewlens.llm.common import carried, saved, strings, text_of
 
 # Bytes outside a-z, 0-9 and non-ASCII are gaps; A-Z become a-z. UTF-8 never has an ASCII byte inside a
 # longer character, so working on bytes is working on characters.
@@ -46,25 +50,35 @@ def windows_of(text: str, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
 
 
-def windows_by_part(items: DataFrame, size: int, max_bytes: int) -> list[dict[bytes, list[int]]]:
-    """Window -> numbers of the items that have it, in parts of at most ``max_bytes`` (one window at least)."""
-    parts, now, held = [], {}, 0
-    for item, text in items.toLocalIterator():
-        for w in windows_of(text or "", size):
-            if w not in now and held + len(w) > max_bytes and now:
-                parts.append(now)
-                now, held = {}, 0
-            held += len(w) * (w not in now)
-            owners = now.setdefault(w, [])
-            if item not in owners:
-                owners.append(item)
-    return [*parts, now] if now else parts
+def windows_by_part(items: DataFrame, size: int, max_bytes: int) -> tuple[DataFrame, int]:
+    """(part, window, item) of the different windows of each item, written, and the number of parts. ``items``: item
+    (text), text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), strings(batch["text"]), strict=True):
+                found = list(set(windows_of(text, size)))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], ["window", "item"])
+
+    windows = saved(items.mapInArrow(run, "window binary, item string").distinct(), "benchmark-windows")
+    total = windows.agg(F.sum(F.length("window") + F.length("item"))).first()[0] or 0
+    parts = -(-total // max_bytes)
+    return windows.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(max(parts, 1)))), parts
 
 
-def automaton_of(windows: dict[bytes, list[int]]) -> ahocorasick.Automaton:
+BUILT = [0]  # automata that this worker has built
+
+
+@lru_cache(maxsize=1)
+def automaton_of(key: str, windows: Broadcast) -> ahocorasick.Automaton:
+    """The automaton of a part, built once per worker; ``key`` names the part."""
+    BUILT[0] += 1
+    owners: dict[bytes, list[str]] = {}
+    for w, item in windows.value:
+        owners.setdefault(w, []).append(item)
     out = ahocorasick.Automaton()
-    for w, owners in windows.items():
-        out.add_word(w.decode("latin-1"), (len(w), owners))
+    for w, who in owners.items():
+        out.add_word(w.decode("latin-1"), (len(w), who))
     out.make_automaton()
     return out
 
@@ -79,7 +93,7 @@ def original_places(text: str) -> list[tuple[int, int]]:
     return [(int(point[a]), int(point[b])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def find_hits(automaton: ahocorasick.Automaton, line: bytes) -> tuple[np.ndarray, set[int]] | None:
+def find_hits(automaton: ahocorasick.Automaton, line: bytes) -> tuple[np.ndarray, set[str]] | None:
     """Which words of a normalised text are hit, and the items found; None without a hit."""
     found = list(automaton.iter(line.decode("latin-1")))
     if not found:
@@ -93,45 +107,69 @@ def find_hits(automaton: ahocorasick.Automaton, line: bytes) -> tuple[np.ndarray
     return np.cumsum(change)[: len(gaps) - 1] > 0, {item for _, (_, owners) in found for item in owners}
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", with_spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, the columns of ``keep``, n_words, n_hit, n_items, items_sha256, contaminated; with
     ``with_spans`` also the hit stretches of the original text as (start, end) code points, end exclusive.
 
     A word is hit if it lies in any occurrence of a window: ``size`` consecutive words of an item, or all
     words of a shorter item. Null texts have no words, items without words no windows. An item that stands in
-    the table twice counts once. Repeated documents are judged each. With an empty benchmark nothing is hit.
-    The items' windows all go through the driver; documents do not.
+    the table twice counts once; items without id count as one, whose id is written ``null``. Repeated documents are judged
+    each. With an empty benchmark nothing is hit.
     """
     spark = docs.sparkSession
-    parts = spark.sparkContext.broadcast(windows_by_part(items.select(item_id, item_text), size, max_bytes))
+    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), text_of(item_text).alias("text"))
+    windows, parts = windows_by_part(named, size, max_bytes)
     few = docs.select(F.col(doc_id).alias("doc_id"), *keep, text_of(text).alias("text"))
+    state = few.select("*", F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__found"))
+    for part in range(parts):
+        rows = [(bytes(r["window"]), r["item"]) for r in windows.filter(F.col("part") == part).select("window", "item").collect()]  # max_bytes, about
+        if rows:
+            state = scanned(state, spark.sparkContext.broadcast(rows))
+        if rows and part < parts - 1:
+            state = saved(state, "benchmark-hits")
+    return summed_up(state, few, keep, with_spans)
+
+
+def scanned(state: DataFrame, windows: Broadcast) -> DataFrame:
+    """``state`` with the hits of one part added: ``__hit``, a byte for each word, and ``__found``, the items."""
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(key, windows)
+        for batch in batches:
+            hits, items = batch["__hit"].to_pylist(), batch["__found"].to_pylist()
+            for i, text in enumerate(strings(batch["text"])):
+                if got := find_hits(automaton, normalised(text)):
+                    before = np.frombuffer(hits[i], bool) if hits[i] else False
+                    hits[i] = (got[0] | before).tobytes()
+                    items[i] = list({*got[1], *(items[i] or ())})
+            columns = [pa.array(hits, pa.binary()) if c == "__hit" else pa.array(items, pa.list_(pa.string())) if c == "__found" else batch[c] for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return state.mapInArrow(run, state.schema)
+
+
+def summed_up(state: DataFrame, few: DataFrame, keep: tuple[str, ...], with_spans: bool) -> DataFrame:
+    """The result's columns out of the hits of all parts."""
     schema = f"{carried(few, keep)}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", spans array<struct<start:int,end:int>>" * with_spans
     names = ["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["spans"] * with_spans]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = automaton_of(parts.value[0]) if len(parts.value) == 1 else None
         for batch in batches:
             texts = strings(batch["text"])
-            lines = [normalised(t) for t in texts]
-            n_words = [line.count(b" ") - 1 for line in lines]
-            hit: list[np.ndarray | None] = [None] * len(lines)
-            found: list[set[int]] = [set() for _ in lines]
-            for part in parts.value:
-                automaton = whole or automaton_of(part)
-                for i, line in enumerate(lines):
-                    if got := find_hits(automaton, line):
-                        hit[i] = got[0] if hit[i] is None else hit[i] | got[0]
-                        found[i].update(got[1])
+            n_words = [normalised(t).count(b" ") - 1 for t in texts]
+            hit = [np.frombuffer(h, bool) if h else None for h in batch["__hit"].to_pylist()]
+            found = [f or [] for f in batch["__found"].to_pylist()]
             n_hit = [0 if h is None else int(h.sum()) for h in hit]
-            digest = [hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest() if s else none for s in found]
+            digest = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() if s else none for s in found]
             columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_hit], pa.bool_())]
             if with_spans:
                 columns.append(pa.array([[] if h is None else stretches(t, h) for t, h in zip(texts, hit, strict=True)], span))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return few.mapInArrow(run, schema)
+    return state.mapInArrow(run, schema)
 
 
 def stretches(text: str, hit: np.ndarray) -> list[dict]:

@@ -6,14 +6,14 @@ index has a list for every (level, segment, content); a list's key holds the pla
 size level, so all lists that position or size rules out are skipped without being read. Segments hold
 several shingles, so passages that many documents share do not make long lists.
 
-Set relations save the rest. Equal sets are one. For ``ROUNDS`` rounds every set that shares a list with
+Set relations save the rest. Equal sets are one. In rounds, for as long as these find links, every set that shares a list with
 another component is compared with one member of such a list, so the work of a round grows with the sets and
 not with their pairs; groups of near copies come together here, and a list within one component needs no
-further look. In the lists that are left, what each set differs from the list's leader by settles most
+further look. In the lists that are left, what each set differs from the list's leader by settles many
 pairs: the triangle inequality of set differences proves or excludes a link without a look at either set.
-A second bound excludes most of the others: every element flips one bit of a set's sketch, so two sketches
-never differ in more bits than their sets do in elements. Only pairs that are in different components, and
-that both bounds leave open, are compared at last. No pair that may link is left out.
+Before any two sets are brought together their sizes and sketches are: every element flips one bit of a set's
+sketch, so two sketches never differ in more bits than their sets do in elements. Only pairs that are in different
+components, and that all bounds leave open, are compared at last. No pair that may link is left out.
 """
 
 from __future__ import annotations
@@ -24,19 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import carried, mixed, saved, strings, text_of
+from reviewlens.llm.common import carried, mixed, removed, saved, strings, text_of
 
 WORDS, PERCENT = 4, 85  # unless the caller says otherwise
 CHUNK = 1 << 20  # bytes of text worked on at once
 PIECE = 1 << 17  # bytes of text hashed at once, up to the end of a word
 FLUSH = 1 << 21  # list entries that a task holds before it sends them on
 RANGE = 1 << 19  # entries that one task of the index receives, about
-ROUNDS = 3
 SKETCH = tuple(f"s{i}" for i in range(8))  # columns of 64 bits
-HEAVY = 256  # entries of one list in one task beyond which the task keeps them together
+HEAVY = 64  # entries of one list in one task beyond which the task keeps them together
 # Fixed conversion: A-Z to a-z, white space to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 9 <= b <= 13 else b for b in range(256))
 STEP = 0x9E3779B97F4A7C15
@@ -257,25 +256,42 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets_by_id(docs: DataFrame, needed: DataFrame, owners: DataFrame, words: int) -> DataFrame:
-    """(id, set, sketch) of the sets of ``needed`` (doc), each from the whole text of the smallest doc_id of ``owners``
+    """(id, set, n, sketch) of the sets of ``needed`` (doc), each from the whole text of the smallest doc_id of ``owners``
     (doc_id, number) that has it."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(number_of(s), s.tobytes(), sketch(s)) for _, s in sets_of(strings(batch["text"]), words)]
-            bits = np.array([r[2] for r in rows], np.int64).reshape(-1, len(SKETCH))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *map(pa.array, bits.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "set", *SKETCH])
+            rows = [(number_of(s), s.tobytes(), len(s), sketch(s)) for _, s in sets_of(strings(batch["text"]), words)]
+            bits = np.array([r[3] for r in rows], np.int64).reshape(-1, len(SKETCH))
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), *map(pa.array, bits.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set", "n", *SKETCH])
 
     wanted = needed.select("doc").distinct()
     first = owners.groupBy("number").agg(F.min("doc_id").alias("doc_id")).join(wanted.withColumnRenamed("doc", "number"), "number", "left_semi")
     chosen = docs.join(first, "doc_id", "left_semi")
-    found = chosen.mapInArrow(sets, "id bigint, set binary" + "".join(f", {c} bigint" for c in SKETCH))
+    found = chosen.mapInArrow(sets, "id bigint, set binary, n bigint" + "".join(f", {c} bigint" for c in SKETCH))
     return found.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of both sets and of their intersection."""
+def close(a: Column, b: Column, percent: int, *distances: Column) -> Column:
+    """Whether two sets, as rows with ``n`` and the sketch, may link: a link allows a pair to differ in at most
+    (100 - percent) * (n_a + n_b) / (100 + percent) elements, and sizes, sketches and ``distances`` never
+    differ in more than the sets do."""
+    flipped = sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in SKETCH[1:]), F.bit_count(a[SKETCH[0]].bitwiseXOR(b[SKETCH[0]])))
+    most = (100 - percent) * (a["n"] + b["n"])
+    return (100 + percent) * F.greatest(F.abs(a["n"] - b["n"]), flipped, *distances) <= most
+
+
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave open; sets themselves are not moved for that."""
+    facts = known.select("id", F.struct("n", *SKETCH).alias("f"))
+    both = pairs.join(facts.toDF("a", "f_a"), "a").join(facts.toDF("b", "f_b"), "b")
+    return saved(both.filter(close(F.col("f_a"), F.col("f_b"), percent)).select("a", "b"), "jaccard-plausible")
+
+
+def compared(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a, b) with the sizes of both sets and of their intersection. Only sets of such pairs are moved, and
+    of each pair its own two."""
 
     def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,10 +302,12 @@ def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 n[:, i] = len(x), len(y), int((y[at] == x).sum())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *map(pa.array, n)], ["a", "b", "n_a", "n_b", "common"])
 
-    sets = known.select("id", "set")
-    with_b = pairs.join(sets.toDF("b", "set_b"), "b")
-    both = with_b.join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-    return saved(both.mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
+    open_ones = plausible(pairs, known, percent)
+    ends = open_ones.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    both = ends.join(known.select("id", "set"), "id").groupBy("a", "b").agg(F.min_by("set", F.col("id") == F.col("b")).alias("set_a"), F.max_by("set", F.col("id") == F.col("b")).alias("set_b"))
+    out = saved(both.mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
+    removed(open_ones)
+    return out
 
 
 def linked(percent: int) -> Column:
@@ -304,20 +322,22 @@ def starred(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of an edge (a, b) reaches; a root itself has no row.
+    """u, v, written: the smallest node v that each node u of an edge (a, b) reaches; a smallest node itself has no row.
 
     Alternates two star operations until only stars are left: every node's larger neighbours, then its
     smaller ones, are tied to the smallest node near it. Each round is written, so no lineage grows.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while not starred(now):
+        before = now
         both = now.union(now.select("v", "u"))
         near = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
         large = both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(least, "u").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         now = saved(small.union(least.select("u", "least")).distinct(), "edges")
-    return now.toDF("node", "root")
+        removed(before)
+    return now
 
 
 def merged(root: DataFrame, links: DataFrame) -> DataFrame:
@@ -328,7 +348,9 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(at_a, "a", "left").join(at_b, "b", "left")
     tied = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
     moved = root.join(tied.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return saved(moved.union(tied), "jaccard-root")
+    out = saved(moved.union(tied), "jaccard-root")
+    removed(tied, *([root] if hasattr(root, "saved_at") else []))
+    return out
 
 
 def set_groups(docs: DataFrame, words: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
@@ -338,22 +360,37 @@ def set_groups(docs: DataFrame, words: int, percent: int, heavy: int) -> tuple[D
     rows = sizes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, rows * 23 * (100 - percent) // (10 * percent) // RANGE)  # a set has about 2 * (100 - percent) / percent entries an element
     owners = saved(sizes.filter("number IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "number").distinct(), "jaccard-owners")
-    lists = lists_of(index_entries(docs, ranges, heavy, words, percent)).distinct()
-    lists = saved(divided(saved(lists, "jaccard-lists").withColumn("root", F.col("doc"))), "jaccard-open")
+    every = saved(lists_of(index_entries(docs, ranges, heavy, words, percent)).distinct(), "jaccard-lists")
+    lists = saved(divided(every.withColumn("root", F.col("doc"))), "jaccard-open")
+    removed(every)
     known = saved(sets_by_id(docs, lists, owners, words), "jaccard-sets")
     root = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
-    for turn in range(ROUNDS):
-        root = merged(root, compared(partners(lists, turn), known).filter(linked(percent)).select("a", "b"))
-        lists = saved(divided(rooted(lists.drop("root"), root)), "jaccard-open")
+
+    def narrowed(root: DataFrame, lists: DataFrame) -> DataFrame:
+        out = saved(divided(rooted(lists.drop("root"), root)), "jaccard-open")
+        removed(lists)
+        return out
+
+    turn, productive = 0, True
+    while productive:
+        found = compared(partners(lists, turn), known, percent)
+        links = found.filter(linked(percent)).select("a", "b")
+        productive = links.count() * 20 > lists.select("doc").distinct().count()  # else the last step is cheaper than rounds
+        root = merged(root, links)
+        lists = narrowed(root, lists)
+        removed(found)
+        turn += 1
     leads = lists.groupBy("key").agg(F.min("doc").alias("lead"))
     led = saved(lists.join(leads, "key").filter("doc <> lead"), "jaccard-led")
-    stars = compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), known)
+    stars = compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), known, percent)
     root = merged(root, stars.filter(linked(percent)).select("a", "b"))
     rest = open_pairs(divided(rooted(led.drop("root"), root)), stars, known, percent)
-    last = compared(rest.filter("NOT sure").select("a", "b"), known)
+    last = compared(rest.filter("NOT sure").select("a", "b"), known, percent)
     root = merged(root, rest.filter("sure").select("a", "b").union(last.filter(linked(percent)).select("a", "b")))
     placed = owners.join(root.withColumnRenamed("node", "number"), "number", "left")
-    return sizes, saved(placed.select("doc_id", "number", F.coalesce("root", "number").alias("root")), "jaccard-placed")
+    out = saved(placed.select("doc_id", "number", F.coalesce("root", "number").alias("root")), "jaccard-placed")
+    removed(lists, led, known, stars, rest, last, owners, root)
+    return sizes, out
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -414,20 +451,33 @@ def partners(lists: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
+FIRST_KEYS = 24  # of a set's lists, by key, that tell whether a pair has met in an earlier list
+
+
 def open_pairs(led: DataFrame, stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sure) of a divided list that are in different components and that neither their distances
-    to the list's leader nor their sketches rule out; ``sure`` where the distances prove the link."""
-    far = stars.select(F.col("a").alias("lead"), F.col("b").alias("doc"), F.col("n_b").alias("n"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
-    bits = known.select(F.col("id").alias("doc"), *SKETCH)
-    members = saved(led.join(far, ["lead", "doc"]).join(bits, "doc").select("key", "doc", "root", "n", "d", *SKETCH), "jaccard-members")
-    x, y = (members.toDF("key", *(c if c in ("a", "b") else f"{c}_{side}" for c in (side, "root", "n", "d", *SKETCH))) for side in ("a", "b"))
-    # A link allows sizes n_a, n_b to differ in at most (100 - percent) * (n_a + n_b) / (100 + percent) elements.
-    most = (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    near = (100 + percent) * F.greatest(F.abs(F.col("d_a") - F.col("d_b")), F.abs(F.col("n_a") - F.col("n_b"))) <= most
-    flipped = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
-    both = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near & ((100 + percent) * flipped <= most))
-    out = both.select("a", "b", ((100 + percent) * (F.col("d_a") + F.col("d_b")) <= most).alias("sure"))
-    return saved(out.groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-pairs")
+    """Pairs (a, b, sure) of a divided list that are in different components and that neither sizes, sketches nor their
+    distances to the list's leader rule out; ``sure`` where the distances prove the link.
+
+    Sets that share many lists meet in the first of them only: a row carries the first of its set's lists, and a
+    pair is passed over where these have an earlier list in common. In the first list that they share they have
+    none, so every pair is met at least once.
+    """
+    far = stars.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("key"))
+    firsts = led.select("doc", "key").distinct().withColumn("place", place).filter(F.col("place") <= FIRST_KEYS).groupBy("doc").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    facts = known.select(F.col("id").alias("doc"), "n", *SKETCH)
+    members = saved(led.join(far, ["lead", "doc"], "left").join(facts, "doc").join(firsts, "doc").select("key", F.struct("doc", "root", "d", "keys", "n", *SKETCH).alias("m")), "jaccard-members")
+    both = members.toDF("key", "a").join(members.toDF("key", "b"), "key")
+    a, b = F.col("a"), F.col("b")
+    # a distance that was not measured excludes and proves nothing
+    apart = F.coalesce(F.abs(a["d"] - b["d"]), F.lit(0))
+    met = F.coalesce(F.array_min(F.array_intersect(a["keys"], b["keys"])) < F.col("key"), F.lit(False))
+    open_ones = both.filter((a["doc"] < b["doc"]) & (a["root"] != b["root"]) & close(a, b, percent, apart) & ~met)
+    sure = F.coalesce((100 + percent) * (a["d"] + b["d"]) <= (100 - percent) * (a["n"] + b["n"]), F.lit(False))
+    out = open_ones.select(a["doc"].alias("a"), b["doc"].alias("b"), sure.alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    out = saved(out, "jaccard-pairs")
+    removed(members)
+    return out
 
 
 SQL = """

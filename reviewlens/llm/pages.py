@@ -5,11 +5,13 @@ id (digits made alike), a node by the names on its way from the root. Over the h
 node has two entropies: of what it says (content) and of how its children look (presentation). A branch
 that looks and reads alike everywhere says nothing about its page; one that differs is what the page is for.
 A branch's importance is the mean of both entropies, content weighing more, times a prior of what its names
-mean: nothing for menus, adverts, forms, comments and the like; a branch inside the page's own article or main
-element keeps its importance whatever it repeats. Branches below ``LOW`` are left out.
+mean: nothing for menus, adverts, forms, comments and the like, and nothing beside the page's own article or main
+element where it has one. Branches below ``LOW`` are left out, inside an article too: a line that all articles of
+a host end with goes. Pages with the same text of their own count as one page, so copies of an article do not look
+like such a line.
 
 Two passes: the first gives each page's nodes (one row each, summed over the host before anything is
-shuffled twice), the second cuts the pages with their host's list of unimportant nodes.
+shuffled twice), the second cuts the pages with their host's unimportant nodes, numbers of 64 bits.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ LOW, CONTENT_WEIGHT, LEAST_PAGES = 0.3, 0.9, 5
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "own", "chatter", "beside")
+    __slots__ = ("tag", "path", "noise", "own", "chatter", "beside", "doubtful")
 
     def __init__(self, tag: str, names: list[str], above: Element | None):
         parts = {p.lower() for n in names for p in PARTS.findall(n)}
@@ -68,7 +70,9 @@ class Element:
         self.own = bool(above and above.own) or (tag in OWN or "main" in names) and not self.chatter and not self.beside and not parts & NOISE_NAMES
         named = tag not in ("html", "body") and bool(parts & NOISE_NAMES)
         outer = tag == "header" and not (above and above.own)
-        starts = self.own and not (above and above.own)  # an article inside, say, a "sidebar layout" counts
+        starts = self.own and not (above and above.own)
+        # an article inside a "sidebar": a teaser, or the page itself in a layout of that name
+        self.doubtful = self.own and bool(above and (above.doubtful if above.own else above.noise))
         self.noise = not starts and bool(above and above.noise) or tag in NOISE_TAGS or named or outer or self.chatter
 
 
@@ -140,36 +144,51 @@ def blocks_of(html: str) -> list[tuple[Element, str]]:
     return out
 
 
-def nodes_of(html: str) -> Iterator[tuple[str, int, int]]:
-    """Every style node of a page that the tree may judge: path, hash of its texts, hash of its looks."""
+def claimed(html: str) -> list[tuple[Element, str]]:
+    """The blocks whose prior is not nothing: those of the page's own article or main element, else all that no
+    name tells to be noise. An article in a branch of such a name claims the page if it is the larger part of it."""
+    blocks = [(e, t) for e, t in blocks_of(html) if not e.noise]
+    own = [(e, t) for e, t in blocks if e.own and not e.doubtful]
+    if own:
+        return own
+    inside, rest = ([b for b in blocks if b[0].own == x] for x in (True, False))
+    return inside if sum(len(t) for _, t in inside) > sum(len(t) for _, t in rest) else rest
+
+
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def nodes_of(html: str) -> Iterator[tuple[int, int, int, int]]:
+    """Every style node of a page that the tree judges: hash of its path, of its texts, its looks (number of
+    texts), and the hash of all of the page's texts."""
     said: dict[str, list[str]] = {}
-    for e, text in blocks_of(html):
-        if not e.noise and not e.own:
-            said.setdefault(e.path, []).append(text)
+    blocks = claimed(html)
+    page = hash_of("\n".join(t for _, t in blocks))
+    for e, text in blocks:
+        said.setdefault(e.path, []).append(text)
     for path, texts in said.items():
-        yield path, xxhash.xxh64_intdigest("\n".join(texts)) >> 1, len(texts)
+        yield hash_of(path), hash_of("\n".join(texts)), len(texts), page
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
-    """host, paths: the style nodes of low importance, from (host, html).
+    """host, paths: the hashes of its style nodes of low importance, from (host, html).
 
-    Equal pages count as one, so copies of an article do not make it look like boilerplate. A node that
-    fewer than ``LEAST_PAGES`` pages have is not judged.
+    Pages of equal text count as one. A node that fewer than ``LEAST_PAGES`` of them have is not judged.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (host, path, content, looks, page)
+                (host, *node)
                 for host, html in zip(batch["host"].to_pylist(), strings(batch["html"]), strict=True)
-                for page in [xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) >> 1]
-                for path, content, looks in nodes_of(html)
+                for node in nodes_of(html)
             ]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            types = [pa.string(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "path", "content", "looks", "page"])
 
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, path string, content bigint, looks bigint, page bigint")
+    nodes = pages.select("host", "html").mapInArrow(run, "host string, path bigint, content bigint, looks bigint, page bigint")
     different = nodes.groupBy("host", "path", "content", "looks", "page").count()
 
     def entropy(of: str, name: str) -> DataFrame:
@@ -184,14 +203,12 @@ def unimportant(pages: DataFrame) -> DataFrame:
     return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
-def main_text(html: str, low: list[str] | None) -> str:
-    """The blocks of important branches, one a line. A page with its own article or main element consists of
-    that; another of all that is neither noise by its names nor unimportant on its host."""
-    blocks = [(e, t) for e, t in blocks_of(html) if not e.noise]
-    if any(e.own for e, _ in blocks):
-        return "\n".join(t for e, t in blocks if e.own)
-    dropped = set(low or ())
-    return "\n".join(t for e, t in blocks if e.path not in dropped)
+def main_text(html: str, low: list[int] | None) -> str:
+    """The blocks of important branches, one a line; ``low`` has the hashes of the host's others."""
+    blocks = claimed(html)
+    if low:
+        blocks = [(e, t) for e, t in blocks if hash_of(e.path) not in low]
+    return "\n".join(t for _, t in blocks)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -2,11 +2,14 @@
 
 ``BASE`` patterns with their checks always count. Beside them, generators of high recall (``LOOSE``) propose
 spans that may overlap: addresses written with "(at)", numbers without a plus, dotted groups and long digit
-runs. Gradient-boosted trees score every candidate by its format (digits, separators, groups) and context
-(the characters and words around it). They are fitted to the corpus itself: a candidate that a checked base
-span covers is a positive, any other a negative, and no feature repeats a base check, so a candidate can
-look like personal data without passing it. On the documents kept out of fitting the smallest score with
-enough precision is found for each kind; candidates above it are added.
+runs. Gradient-boosted trees score every candidate by its format (digits, separators, groups, check digit) and context
+(the characters and words around it).
+
+They are fitted to the corpus itself, by examples that the base patterns do not find (:func:`examples`): every base span is
+written anew in the loose formats. As such it is a positive, cards and phones only behind a word that announces them; behind
+a word for orders, versions and keys, or with a broken check digit, it is a negative. So are the corpus'
+own candidates that no base span covers and no word announces. On examples kept out of fitting the smallest score with
+enough precision is found for each kind; candidates above it are added. A candidate that a base span covers is never added.
 
 Training takes a sample of bounded size (``max_training``); everything else covers all rows. The fitted trees become one Column
 expression, so scoring stays inside the row: no Python, no explode and no shuffle on the main path.
@@ -14,7 +17,7 @@ expression, so scoring stays inside the row: no Python, no explode and no shuffl
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -50,7 +53,9 @@ CUES = {
     "phone": r"(?i)tel|phone|call|fax|mobile",
 }
 OTHERWISE = r"(?i)key|token|secret|password|isbn|order|version|invoice|sku"
-FORMAT = ("n_length", "n_digits", "n_letters", "n_gaps", "n_dots", "n_at", "n_distinct", "plus", "first_digit", "longest_run")
+ANNOUNCED = {"email": "contact: ", "ip": "host ", "card": "credit card ", "phone": "call "}
+UNRELATED = ("order ", "version ", "invoice key ")
+FORMAT = ("valid", "n_length", "n_digits", "n_letters", "n_gaps", "n_dots", "n_at", "n_distinct", "plus", "first_digit", "longest_run")
 CONTEXT = ("glued_before", "glued_after", "at_end", "cue", "other_cue")
 FEATURES = (*(f"is_{k}" for k in KINDS), *FORMAT, *CONTEXT)
 SPAN = "array<struct<at:int,stop:int,hit:string,before:string,after:string>>"
@@ -100,12 +105,62 @@ def passes(kind: str, hit: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def features(kind: str, c: Column, base: Column) -> Column:
+def valid(kind: str, hit: Column) -> Column:
+    """What a number of this kind keeps in every format."""
+    if kind == "card":
+        return F.coalesce(luhn(digits(hit)), F.lit(False))
+    if kind == "ip":
+        return F.forall(F.split(hit, "[^0-9]+"), lambda x: F.coalesce(x.try_cast("int"), F.lit(999)) <= 255)
+    return F.length(digits(hit)).between(8, 15) if kind == "phone" else F.lit(True)
+
+
+def rewritten(kind: str, hit: Column) -> Column:
+    """A base span in loose formats."""
+    number = digits(hit)
+    if kind == "email":
+        name, host = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
+        return F.array(F.concat(name, F.lit("(at)"), F.replace(host, F.lit("."), F.lit("(dot)"))), F.concat(name, F.lit(" [at] "), host))
+    if kind == "ip":
+        return F.array(F.replace(hit, F.lit("."), F.lit("[.]")), F.replace(hit, F.lit("."), F.lit("(.)")))
+    if kind == "card":
+        return F.array(F.regexp_replace(number, "(.{4})(?=.)", "$1."), F.regexp_replace(number, "(.{4})(?=.)", "$1_"))
+    bare = F.regexp_replace(hit, r"^\+", "")
+    return F.array(number, bare, F.regexp_replace(bare, "[ ()-]+", "."))
+
+
+def broken(kind: str, hit: Column) -> Column:
+    """A rewritten span whose check fails: another last digit, a part that is too large."""
+    if kind == "card":
+        last = F.right(hit, F.lit(1)).cast("int")
+        return F.concat(F.left(hit, F.length(hit) - 1), F.pmod(last + 1, F.lit(10)).cast("string"))
+    return F.concat(F.lit("9"), hit, F.lit("99"))
+
+
+def examples(kind: str, m: Column) -> Column:
+    """(candidate features, label) of what a base span ``m`` teaches."""
+    plain = kind in ("email", "ip")
+
+    def one(hit: Column, before: Column, label: float) -> Column:
+        c = F.struct(m["at"].alias("at"), m["stop"].alias("stop"), hit.alias("hit"), before.alias("before"), m["after"].alias("after"))
+        return F.struct(features(kind, c, None).alias("c"), F.lit(label).alias("label"))
+
+    def of_hit(hit: Column) -> Column:
+        rows = [one(hit, F.concat(m["before"], F.lit(ANNOUNCED[kind])), 1.0)]
+        rows += [one(hit, m["before"], 1.0)] if plain else []
+        rows += [one(hit, F.concat(m["before"], F.lit(w)), 0.0) for w in UNRELATED] if not plain else []
+        rows += [one(broken(kind, hit), F.concat(m["before"], F.lit(ANNOUNCED[kind])), 0.0)] if kind in ("card", "ip") else []
+        return F.array(*rows)
+
+    return F.flatten(F.transform(rewritten(kind, m["hit"]), of_hit))
+
+
+def features(kind: str, c: Column, base: Column | None) -> Column:
     """What the trees see of a candidate, and whether a base span of its kind overlaps it."""
     number = digits(c["hit"])
     longest = F.array_max(F.transform(F.split(c["hit"], "[^0-9]+"), lambda r: F.length(r)))
     values = {
         **{f"is_{k}": F.lit(float(k == kind)) for k in KINDS},
+        "valid": valid(kind, c["hit"]),
         "n_length": F.length(c["hit"]),
         "n_digits": F.length(number),
         "n_letters": F.length(F.regexp_replace(c["hit"], "[^A-Za-z]", "")),
@@ -122,7 +177,7 @@ def features(kind: str, c: Column, base: Column) -> Column:
         "cue": c["before"].rlike(CUES[kind]),
         "other_cue": c["before"].rlike(OTHERWISE),
     }
-    overlaps = F.exists(base, lambda b: (b["at"] < c["stop"]) & (c["at"] < b["stop"]))
+    overlaps = F.lit(False) if base is None else F.exists(base, lambda b: (b["at"] < c["stop"]) & (c["at"] < b["stop"]))
     return F.struct(c["at"].alias("at"), c["stop"].alias("stop"), overlaps.alias("known"), *(values[f].cast("double").alias(f) for f in FEATURES))
 
 
@@ -136,8 +191,11 @@ def propose(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...]) -> D
         out = out.withColumn(f"loose_{k}", F.when(F.col("text").rlike(NEEDS[k]), located(F.col("text"), LOOSE[k])).otherwise(empty))
     out = out.drop("text")
     for k in KINDS:
-        spans = F.transform(F.filter(f"found_{k}", lambda m: passes(k, m["hit"])), lambda m: F.struct(m["at"], m["stop"]))
-        out = out.withColumn(f"base_{k}", spans).drop(f"found_{k}")
+        out = out.withColumn(f"found_{k}", F.filter(f"found_{k}", lambda m: passes(k, m["hit"])))
+    taught = [F.flatten(F.transform(f"found_{k}", partial(examples, k))) for k in KINDS]
+    out = out.withColumn("examples", F.concat(*taught))
+    for k in KINDS:
+        out = out.withColumn(f"base_{k}", F.transform(f"found_{k}", lambda m: F.struct(m["at"], m["stop"]))).drop(f"found_{k}")
     for k in KINDS:
         out = out.withColumn(f"loose_{k}", F.transform(f"loose_{k}", lambda c: features(k, c, F.col(f"base_{k}"))))
     return out
@@ -159,12 +217,15 @@ def score(model: GBTClassificationModel, candidate: Column) -> Column:
 
 
 def candidates_of(proposed: DataFrame) -> DataFrame:
+    """The examples of base spans, and the corpus' candidates that no base span covers and no word announces."""
     every = F.concat(*(F.col(f"loose_{k}") for k in KINDS))
-    return proposed.select("doc_id", F.explode(every).alias("c")).select("doc_id", "c", "c.*").withColumn("label", F.col("known").cast("double"))
+    others = F.transform(F.filter(every, lambda c: ~c["known"] & (c["cue"] == 0)), lambda c: F.struct(c.alias("c"), F.lit(0.0).alias("label")))
+    rows = proposed.select("doc_id", F.explode(F.concat("examples", others)).alias("e"))
+    return rows.select("doc_id", "e.c", "e.label", "e.c.*")
 
 
 def held_out() -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.col("c.at")), F.lit(5)) == 0
+    return F.pmod(F.xxhash64("doc_id", "c"), F.lit(5)) == 0
 
 
 def fit(proposed: DataFrame, max_training: int, seed: int = 7) -> GBTClassificationModel | None:
@@ -175,7 +236,7 @@ def fit(proposed: DataFrame, max_training: int, seed: int = 7) -> GBTClassificat
     if len(counts) < 2:
         return None
     rate = min(1.0, max_training / sum(counts.values()))
-    taken = rows.filter(F.pmod(F.xxhash64("doc_id", F.col("c.at"), F.lit(seed)), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20))))
+    taken = rows.filter(F.pmod(F.xxhash64("doc_id", "c", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20))))
     points = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(taken.select("label", *FEATURES)).select("label", "x")
     return GBTClassifier(featuresCol="x", labelCol="label", maxDepth=3, maxIter=8, maxBins=32, stepSize=0.3, seed=seed).fit(points)
 

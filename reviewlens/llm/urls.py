@@ -4,7 +4,8 @@
    with their labelled and their bad urls: from here on the work depends on the shapes, not on the urls.
 2. From the deepest level that has labels up, sibling branches whose share of bad urls does not differ from their
    pool by more than chance (|z| <= ``Z``), and those without labels, are merged as ``~``; so is the end of a path.
-   Neither the number of siblings nor the depth decides: every branch that differs stays by itself.
+   Neither the number of siblings nor the depth decides: every branch that differs stays by itself. A level at which
+   no node has two branches and mixed labels merges without a look, so the turns follow the branching, not the depth.
 3. A template is rejected if its smoothed share of bad labelled urls reaches ``PURITY``. It is smoothed towards
    its host's share, and that towards the share of all.
 
@@ -82,21 +83,42 @@ def far_branches(rows: DataFrame, level: int) -> DataFrame:
     return both.filter(far).select("host", "head", "here", "below")
 
 
+def branching_levels(known: DataFrame) -> list[int]:
+    """The levels, deepest first, at which labelled paths part and have labels of both kinds. At all others no branch
+    can differ from its pool. One number per level comes to the driver."""
+    parts = segments_of(F.col("shape"))
+    rows = known.select("host", "seen", "bad", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts))).alias("level"))
+    head, here = F.xxhash64(F.slice("parts", F.lit(1), F.col("level"))), F.xxhash64(F.coalesce(F.get("parts", F.col("level")), F.lit("")))
+    nodes = rows.groupBy("host", "level", head.alias("head")).agg(F.min(here).alias("low"), F.max(here).alias("high"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    found = nodes.filter("low <> high AND bad > 0 AND bad < seen").select("level").distinct().collect()
+    return sorted((r["level"] for r in found), reverse=True)
+
+
+def all_merged(rows: DataFrame, levels: int) -> DataFrame:
+    """``rows`` with that many levels more merged into their template."""
+    return rows.withColumn("below", F.when(F.col("below") == "", "").otherwise(F.concat(F.lit("~/" * levels), F.col("below")))) if levels else rows
+
+
 def rejected(urls: DataFrame) -> DataFrame:
     """(host, shape) of all rejected templates. ``urls``: host, shape, bad (null where there is no label).
 
-    Branches are looked for among labelled shapes, a level a turn, as many as the deepest labelled path has.
+    Branches are looked for among labelled shapes, a branching level a turn.
     """
     counted = urls.groupBy("host", "shape").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     shapes = saved(counted, "url-shapes")
-    total = shapes.filter("seen > 0").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.max(F.size(segments_of(F.col("shape")))).alias("levels")).first()
+    total = shapes.filter("seen > 0").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
     everywhere = total["bad"] / total["seen"] if total["seen"] else 0.0
     tree = shapes.withColumn("below", F.lit(""))
     known = tree.filter("seen > 0")
-    for turn, level in enumerate(reversed(range(total["levels"] or 0)), 1):
+    above = None  # the level looked at before
+    for turn, level in enumerate([*branching_levels(known), -1], 1):
+        passed = above - level - 1 if above is not None else 0
+        known, tree, above = all_merged(known, passed), all_merged(tree, passed), level
+        if level < 0:
+            break
         far = saved(far_branches(known, level), "url-branches")
-        if far.isEmpty() and turn % STEPS:  # all merge
-            known, tree = (rows.withColumn("below", F.when(F.col("below") == "", "").otherwise(F.concat(F.lit("~/"), F.col("below")))) for rows in (known, tree))
+        if far.isEmpty() and turn % STEPS:
+            known, tree = all_merged(known, 1), all_merged(tree, 1)
             continue
         known, tree = saved(kept_apart(known, far, level), "url-labelled"), kept_apart(tree, far, level)
         if turn % STEPS == 0:
