@@ -121,7 +121,7 @@ def trie_pattern(keywords: Sequence[str]) -> str:
     return written(trie)
 
 
-TRIE_FROM = 64  # so many keywords take longer one by one than in one pattern
+TRIE_FROM = 100  # so many keywords take longer one by one than in one pattern
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:

@@ -18,7 +18,7 @@ def reattach(scored: DataFrame, source: DataFrame, key: str, columns: Sequence[s
     return scored.join(source.select(key, *columns), key, "left")
 
 
-FEW = 64  # entries up to which each is looked for in every text
+FEW = 128  # entries up to which each is looked for in every text
 GRAM = 3  # characters of the longest index gram
 BITS = 1 << 18  # of the filter over index grams
 SAMPLE = 2_000  # texts whose grams are counted to tell rare ones; decides about speed only
@@ -69,7 +69,8 @@ def gram_filter(index: DataFrame) -> Column:
     on = [0] * (BITS // 64)
     for (s,) in index.select(slot(F.col("gram"))).distinct().collect():  # at most BITS numbers
         on[s // 64] |= 1 << (s % 64)
-    return F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint") for x in on])
+    numbers = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in on)
+    return F.split(F.lit(numbers), ",").cast("array<bigint>")  # one literal, worked out once
 
 
 def match_by_gram(df: DataFrame, text: str, ids: Sequence[str], entries: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def match_by_gram(df: DataFrame, text: str, ids: Sequence[str], entries: DataFra
     lengths = sorted(size["lengths"])
     every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(t, n) if n else F.array(F.lit("")) for n in lengths]))
     bits = gram_filter(index)
-    likely = F.filter(every, lambda g: F.get(bits, F.shiftright(slot(g), 6)).bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), slot(g).bitwiseAND(F.lit(63)))) != 0)
+    likely = F.filter(every, lambda g: F.getbit(F.get(bits, F.shiftright(slot(g), 6)), slot(g).bitwiseAND(F.lit(63))) == 1)
     met = df.select(*ids, text, F.explode(likely).alias("gram"))
     side = F.broadcast(index) if (size["bytes"] or 0) <= BROADCAST_BYTES else index.hint("merge")
     return met.join(side, "gram").where(F.contains(t, F.col("keyword"))).select(*ids, "aspect", "role", "keyword")

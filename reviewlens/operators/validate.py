@@ -90,6 +90,13 @@ def validate_labels(
 
     A narrow transformation: the rule lists are literals, so there is no join and no shuffle.
     """
+    return with_issues(df, text, aspects, rules, checks).select(*ids, F.explode("rl_issues").alias("issue")).select(*ids, "issue.*")
+
+
+def with_issues(
+    df: DataFrame, text: str, aspects: Sequence[str] = ASPECTS, rules: Lexicon = VALIDATION, checks: Sequence[str] = ("keyword", "contrast")
+) -> DataFrame:
+    """``df`` with the array of its issues in ``rl_issues``."""
     t = F.coalesce(F.col(text), F.lit(""))
     lower = F.col("__rl_lower")
     labels = {a: F.col(f"`{a}`").cast("string") for a in aspects if a in df.columns}
@@ -98,8 +105,19 @@ def validate_labels(
         parts += [keyword_issues(t, lower, a, labels[a], rules) for a in aspects if a in labels and a in rules.aspects]
     if "contrast" in checks:
         parts.append(contrast_issues(t, lower, labels, rules.contrast))
-    found = df.withColumn("__rl_lower", F.lower(t))
-    return found.select(*ids, F.explode(F.concat(*parts)).alias("issue")).select(*ids, "issue.*")
+    return df.withColumn("__rl_lower", F.lower(t)).withColumn("rl_issues", F.concat(*parts)).drop("__rl_lower")
+
+
+def report_of_samples(samples: DataFrame, file: str, text: str, **rules) -> DataFrame:
+    """:func:`validation_report` straight from the samples, each (file, row) once: they are read in one pass, issues are counted
+    before anything is exploded, and only the distinct file names are shuffled."""
+    counted = with_issues(samples.select("*"), text, **rules).select(F.col(file).alias("file"), F.size("rl_issues").alias("n"))
+    total = counted.agg(
+        F.count_distinct("file").alias("total_files"), F.count("*").alias("total_samples"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_issues"), F.count_if(F.col("n") > 0).alias("samples_with_issues"),
+    )
+    rate = F.when(F.col("total_samples") > 0, F.col("total_issues") / F.col("total_samples") * 100).otherwise(0.0)
+    return total.select("total_files", "total_samples", "total_issues", F.round(rate, 2).alias("issue_rate_percent"), "samples_with_issues")
 
 
 def validation_report(samples: DataFrame, issues: DataFrame, file: str, row: str) -> DataFrame:

@@ -172,11 +172,11 @@ def stream_completeness(t):
 
 @query(
     "stream_late_split",
-    f"""WITH a AS (SELECT event_id, ts, CASE WHEN event_id % 31 <> 0 THEN ts END AS at, least({STEP_SQL} + CASE WHEN event_id % 50 < 3 THEN event_id % 50 ELSE 0 END, {STEPS - 1}) AS step FROM events),
-h AS (SELECT step, max(at) AS high FROM a GROUP BY step),
+    f"""WITH a AS (SELECT event_id, ts, CASE WHEN event_id % 31 <> 0 THEN ts END AS stamp, least({STEP_SQL} + CASE WHEN event_id % 50 < 3 THEN event_id % 50 ELSE 0 END, {STEPS - 1}) AS step FROM events),
+h AS (SELECT step, max(stamp) AS high FROM a GROUP BY step),
 w AS (SELECT step, max(high) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 6 HOUR AS mark FROM h),
-f AS (SELECT a.*, at IS NULL OR coalesce(at < mark, false) AS late FROM a JOIN w USING (step))
-SELECT strftime(time_bucket(INTERVAL 1 DAY, at), '%Y-%m-%d') AS day, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late FROM f GROUP BY ALL""",
+f AS (SELECT a.*, stamp IS NULL OR coalesce(stamp < mark, false) AS late FROM a JOIN w USING (step))
+SELECT strftime(time_bucket(INTERVAL 1 DAY, stamp), '%Y-%m-%d') AS day, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late FROM f GROUP BY ALL""",
 )
 def stream_late_split(t):
     """Some rows arrive one or two steps after their time, some have no time: those behind the watermark are stored
@@ -197,9 +197,9 @@ def stream_late_split(t):
 
 CLEANED = f"coalesce({strip(rx(rx('lower(content)', text_functions.TAG, ''), WS_CLASS + '+', ' '))}, '')"
 AT_SQL = "(SELECT min(ts) FROM events) + to_minutes(review_id % 40000)"
-CHAIN = f"""WITH {REVIEWS}, l AS (SELECT product_id, {AT_SQL} AS at, lower({CLEANED}) AS x FROM reviews),
-labelled AS (SELECT coalesce(product_id, 'unknown') AS product_id, strftime(time_bucket(INTERVAL 1 DAY, at), '%Y-%m-%d') AS day, {columns(simple_labels('x', lx.SIMPLE))} FROM l),
-long AS (UNPIVOT labelled ON {', '.join(chr(34) + a + chr(34) for a in ASPECTS)} INTO NAME aspect VALUE label)
+CHAIN = f"""WITH {REVIEWS}, l AS (SELECT product_id, {AT_SQL} AS stamp, lower({CLEANED}) AS x FROM reviews),
+labelled AS (SELECT coalesce(product_id, 'unknown') AS product_id, strftime(time_bucket(INTERVAL 1 DAY, stamp), '%Y-%m-%d') AS day, {columns(simple_labels('x', lx.SIMPLE))} FROM l),
+long AS (SELECT * FROM (UNPIVOT labelled ON {', '.join(chr(34) + a + chr(34) for a in ASPECTS)} INTO NAME aspect VALUE label))
 SELECT product_id, day, aspect, count(*) FILTER (label = '1') AS positive, count(*) FILTER (label = '-1') AS negative, count(*) FILTER (label = '0') AS neutral
 FROM long WHERE label IN ('1', '-1', '0') GROUP BY ALL"""
 

@@ -23,7 +23,7 @@ def labelled_messages(envelope: DataFrame, delay: str, lexicon: Lexicon = SIMPLE
 
     Reviews without an id are told apart by their place in the topic, so none is lost.
     """
-    decoded = ingest.decode(envelope).withColumn("rl_id", F.coalesce("review_id", F.concat_ws("-", "partition", "offset")))
+    decoded = ingest.decode(envelope).withColumn("rl_id", F.coalesce(F.nullif("review_id", F.lit("")), F.concat_ws("-", "partition", "offset")))
     unique = decoded.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["rl_id"]).drop("rl_id")
     return rules_simple(unique.withColumn("review_content", clean_stream("review_content")), "review_content", lexicon)
 

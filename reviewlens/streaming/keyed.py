@@ -190,6 +190,6 @@ def trend_alerts(windows: DataFrame, keys: Sequence[str], jump: float = 0.1) ->
     come in order, as an append-mode aggregation hands them out."""
     columns = [AT, "n", "negatives", "negative_share"]
     stamped = windows.withColumn(AT, F.unix_micros("window_start")).select(*keys, *columns)
-    result = stamped.schema.add("alert", "boolean")
+    result = StructType([*stamped.schema.fields]).add("alert", "boolean")
     out = stamped.groupBy(*keys).transformWithStateInPandas(TrendWatch(keys, columns, jump), result, "Append", "None")
     return out.select(*keys, F.timestamp_micros(AT).alias("window_start"), "n", "negatives", "negative_share", "alert")

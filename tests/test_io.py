@@ -1,3 +1,4 @@
+import random
 import json
 import zipfile
 from xml.sax.saxutils import escape
@@ -125,3 +126,37 @@ def test_batch_predictor(spark):
     total = batch_predictor(load, 3, DoubleType())
     df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([0.5, 0.5, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(total("v").alias("x")).collect()] == [6.0, 1.0]
+
+
+def test_large_csv_over_many_splits(spark):
+    """Line breaks, quotes and carriage returns in cells, records across splits, several files; the rows of the whole-file reader."""
+    from reviewlens.plans.session import scratch_path
+    from reviewlens.sources import readers
+
+    rng = random.Random(5)
+    cells = [None, "plain", 'say "yes"', "two\nlines", "\n\n", '"', 'a,b', "tab\tend ", 'x"\ny"', "long " * 300, "r\r\nn"]
+    rows = [(i, rng.choice(cells), rng.choice(cells)) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").repartition(2)
+    path = scratch_path(spark, "large-csv")
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        records = readers.csv_records(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        got = readers.read_large_csv(spark, path, "i int, a string, b string").collect()
+        assert records.count() == len(rows) + 2  # two files with a header each
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda r: (r[0], str(r[1]), str(r[2]))
+    assert sorted(map(tuple, got), key=key) == sorted(rows, key=key)
+
+
+def test_csv_with_byte_order_mark(spark):
+    from reviewlens.plans.session import scratch_path
+    from reviewlens.sources import writers
+
+    path = scratch_path(spark, "bom")
+    writers.write_csv_bom(spark.createDataFrame([(1, "đẹp, tốt"), (2, None)], "i int, t string").coalesce(1), path)
+    content = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).first()["content"])
+    assert content.startswith(b"\xef\xbb\xbfi,t\n") and content.decode("utf-8-sig") == 'i,t\n1,"đẹp, tốt"\n2,\n'

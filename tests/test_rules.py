@@ -130,10 +130,10 @@ def test_lexicon_table(spark):
     df = spark.createDataFrame([(1, "Áo đẹp 😀 ship"), (2, None)], "i int, t string")
     small = relate.lexicon_join(df, "t", ["i"], table)
     lower = df.select("i", F.lower(F.coalesce("t", F.lit(""))).alias("x"))
-    large = relate.match_by_substring(lower, "x", ["i"], table)
+    large = relate.match_by_gram(lower, "x", ["i"], table)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     odd = spark.createDataFrame([("a", "n", k) for k in ("p", "hi", "ship", "ship now", "😀 s", "😀", "", "p", None)], "aspect string, role string, keyword string")
-    found = [relate.lexicon_join(df, "t", ["i"], odd), relate.match_by_substring(lower, "x", ["i"], odd)]
+    found = [relate.lexicon_join(df, "t", ["i"], odd), relate.match_by_gram(lower, "x", ["i"], odd)]
     for rows in found:
         assert sorted(r["keyword"] for r in rows.collect()) == ["", "", "hi", "p", "p", "ship", "😀", "😀 s"]
 
@@ -161,3 +161,37 @@ def test_validation(spark):
     assert (by_row[0]["severity"], by_row[0]["expected"], by_row[0]["actual"]) == ("high", "NEG", "NOT_MENTIONED")
     assert by_row[2]["type"] == "missing_multi_polarity" and by_row[2]["aspects"] == [CL, VC][:1]
     assert (by_row[3]["severity"], by_row[3]["actual"]) == ("medium", "NEG")
+
+
+def test_trie_pattern_finds_what_contains_finds(spark, monkeypatch):
+    from reviewlens.operators import lexicon
+
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("ab.[|*đ\n") for _ in range(rng.randint(1, 5))) for _ in range(60)})
+    texts = ["".join(rng.choice("abc.[|*đ\n") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for chosen in (words, words[:9], ["b"], ["ab", "ac"], ["a.b", "a[b"]):
+        monkeypatch.setattr(lexicon, "TRIE_FROM", 1)
+        got = [r[0] for r in df.select(lexicon.contains_any(F.col("t"), chosen)).collect()]
+        assert got == [any(k in t for k in chosen) for t in texts]
+    assert df.select(lexicon.contains_any(F.col("t"), [""])).where("NOT `%s`" % df.select(lexicon.contains_any(F.col("t"), [""])).columns[0]).count() == 0
+
+
+def test_gram_index_equals_plain_search(spark, monkeypatch):
+    """Repeats, empty, null and short keywords, characters outside the basic plane, broadcast and shuffled."""
+    rng = random.Random(12)
+    letters = "abcđ😀"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, ""]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(200)] + ["", "", None, "A"]
+    entries = [(f"a{i % 7}", "r", w) for i, w in enumerate(words)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table = spark.createDataFrame(entries, "aspect string, role string, keyword string")
+    want = sorted((i, a, w) for i, t in enumerate(texts) for a, _, w in entries if w is not None and w in (t or "").lower())
+    for bound in (32 << 20, 0):
+        monkeypatch.setattr(relate, "BROADCAST_BYTES", bound)
+        found = relate.lexicon_join(rows, "t", ["i"], table)
+        assert sorted((r.i, r.aspect, r.keyword) for r in found.collect()) == want
+    # the text is cut down to index grams before anything is exploded
+    assert "getbit" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    none = spark.createDataFrame([], table.schema)
+    assert relate.match_by_gram(rows.withColumn("t", F.coalesce("t", F.lit(""))), "t", ["i"], none).count() == 0
