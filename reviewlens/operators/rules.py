@@ -291,9 +291,9 @@ def label_with_limit(
     The cut is the ``limit``-th order value, found by a top-k and compared with each row, so
     nothing is shuffled but that one value. ``order`` must be unique and not null.
     """
+    cut = first_rows(df.select(order).where(F.col(order).isNotNull()), order, limit).agg(F.max(order)).scalar()
     if not keep_rest:
-        return rules(first_rows(df, order, limit), text)
-    cut = first_rows(df.select(order), order, limit).agg(F.max(order)).scalar()
+        return rules(df.where(F.col(order) <= cut), text)
     chosen = F.coalesce(F.col(order) <= cut, F.lit(False))
     scoped = df.withColumn("rl_chosen", chosen).withColumn("rl_scope", F.when(F.col("rl_chosen"), F.col(text)))
     labels = {a: F.when(F.col("rl_chosen"), F.col(f"`{a}`")).otherwise(NOT_MENTIONED) for a in aspects}

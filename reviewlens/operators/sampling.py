@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewlens.operators.dedup import identity_key
 from reviewlens.plans.session import scratch_path
 
 # Default sample size per rating.
@@ -20,6 +21,17 @@ SPARK_CUTS = 1000  # Spark's own default bound of groups cut before a shuffle
 SLICES = 64
 
 
+def cut_groups(df: DataFrame, keys: Sequence[str], by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """Rows that may be among the first ``n`` of their group. Spark cuts groups before the shuffle up to ``SPARK_CUTS`` rows;
+    beyond that each group is cut in slices first, so that a huge one is sorted by many tasks and only ``n`` rows of a
+    slice meet afterwards. Slices are made by the columns ``by``, which tell a group's rows apart."""
+    if n <= SPARK_CUTS:
+        return df
+    slices = [*keys, F.pmod(F.xxhash64(*by), F.lit(SLICES))]
+    ranked = df.withColumn("__rl_rank", F.row_number().over(W.partitionBy(*slices).orderBy(*order)))
+    return ranked.where(F.col("__rl_rank") <= n).drop("__rl_rank")
+
+
 def balanced_sample(
     df: DataFrame,
     product: str,
@@ -30,8 +42,8 @@ def balanced_sample(
 ) -> DataFrame:
     """The first n rows of each product and rating.
 
-    The constant upper bound beside the per-rating one lets Spark cut the groups before the
-    shuffle, so a huge group never meets in one task.
+    The constant upper bound beside the per-rating one lets the groups be cut before they
+    meet, so a huge group is never in one task (:func:`cut_groups`).
     """
     wanted = F.lit(default)
     for r, n in per_rating.items():
@@ -39,13 +51,25 @@ def balanced_sample(
     most = max([default, *per_rating.values()])
     rank = F.row_number().over(W.partitionBy(product, rating).orderBy(order))
     return (
-        df.withColumn("__rl_rank", rank)
+        cut_groups(df, [product, rating], [order], [F.col(order)], most)
+        .withColumn("__rl_rank", rank)
         .where(F.col("__rl_rank") <= most)
         .where(F.col("__rl_rank") <= wanted)
         .drop("__rl_rank")
     )
 
 
+def balanced_unique(
+    df: DataFrame, product: str, rating: str, order: str, ids: Sequence[str], content: str, per_rating: Mapping[int, int] = REVIEWS_PER_RATING, default: int = DEFAULT_PER_RATING
+) -> DataFrame:
+    """:func:`balanced_sample`, then each review of a product once: ratings are gone through from the lowest, and a
+    review that was seen (first usable id of ``ids``, else the content) is left out. As in a crawl, what is left out
+    is not made up for. The pass sees the sample only, a bounded number of rows per product."""
+    sample = balanced_sample(df, product, rating, order, per_rating, default)
+    seen = W.partitionBy(product, identity_key(ids, content)).orderBy(F.col(rating), F.col(order))
+    return sample.withColumn("__rl_rank", F.row_number().over(seen)).where(F.col("__rl_rank") == 1).drop("__rl_rank")
+
+
 def hash_unit(key: Column | str, seed: int = 42) -> Column:
     """Eight hex digits of the md5 of seed and id: a repeatable random key."""
     k = F.col(key) if isinstance(key, str) else key
@@ -71,11 +95,8 @@ def latest_n(df: DataFrame, order: Sequence[str], n: int = 50, keys: Sequence[st
     newest = [F.col(o).desc() for o in order]
     if not keys:
         return df.orderBy(*newest).limit(n)
-    if n > SPARK_CUTS:
-        slices = [*keys, F.pmod(F.xxhash64(*order), F.lit(SLICES))]
-        df = df.withColumn("__rl_rank", F.row_number().over(W.partitionBy(*slices).orderBy(*newest))).where(F.col("__rl_rank") <= n)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*newest))
-    return df.withColumn("__rl_rank", rank).where(F.col("__rl_rank") <= n).drop("__rl_rank")
+    return cut_groups(df, keys, order, newest, n).withColumn("__rl_rank", rank).where(F.col("__rl_rank") <= n).drop("__rl_rank")
 
 
 def assign_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 42) -> DataFrame:

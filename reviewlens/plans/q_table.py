@@ -308,6 +308,20 @@ def balanced_sample(t):
     return sampling.balanced_sample(r, "product_id", "rating", "review_id", {1: 5, 2: 3, 3: 30, 4: 2}, default=8)
 
 
+@query(
+    "balanced_unique",
+    f"""WITH {REVIEWS}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id, rating ORDER BY review_id) AS k,
+  CASE WHEN review_id % 3 = 0 THEN '' ELSE CAST(review_id % 40 AS VARCHAR) END AS rate_id FROM reviews),
+s AS (SELECT *, CASE WHEN rate_id NOT IN ('', '0') THEN 'i' || rate_id ELSE 't' || coalesce(content, '') END AS key FROM r WHERE k <= 20),
+u AS (SELECT *, row_number() OVER (PARTITION BY product_id, key ORDER BY rating, review_id) AS n FROM s) SELECT review_id, product_id, rating FROM u WHERE n = 1""",
+)
+def balanced_unique(t):
+    i = F.col("review_id")
+    r = t.reviews().withColumn("rate_id", F.when(i % 3 == 0, "").otherwise((i % 40).cast("string")))
+    kept = sampling.balanced_unique(r, "product_id", "rating", "review_id", ["rate_id"], "content", {}, default=20)
+    return kept.select("review_id", "product_id", "rating")
+
+
 @query("hash_sample", "SELECT event_id, event_type FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 500")
 def hash_sample(t):
     return sampling.hash_sample(t.events, "event_id", 500).select("event_id", "event_type")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.payloads import review_fields, review_items, search_fields, search_items
 from reviewlens.functions.text import clean_url, strip_ws
+from reviewlens.operators.sampling import cut_groups
 from reviewlens.sources.workbook import WorkbookSource, read_rows
 
 
@@ -189,6 +190,7 @@ def reviews_from_pages(
     if limit is not None:
         order = [F.col(c) for c in ([page] if page else []) + ["pos"]]
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        items = cut_groups(items, keys, [*([page] if page else []), "pos"], order, limit)
         items = items.withColumn("rank", rank).where(F.col("rank") <= limit)
     fields: list[Column] = review_fields(F.col("item")) if project else [F.col("item.*")]
     return items.select(*keys, *fields)

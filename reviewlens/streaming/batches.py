@@ -38,11 +38,18 @@ class ReviewBatches:
         self.spark, self.key, self.order = spark, key, order
         self.size, self.timeout = size, timedelta(seconds=timeout_s)
         self.rows = EpochTable(spark, path, f"{schema}, arrived timestamp, batch bigint, reason string, state string")
+        self.times = EpochTable(spark, f"{path}-times", "now timestamp")
         self.columns = [f.name for f in spark.createDataFrame([], schema).schema.fields]
 
     def process(self, batch: DataFrame, epoch: int, now: datetime | None = None) -> None:
-        """``foreachBatch`` body."""
-        now = now or datetime.now(timezone.utc)
+        """``foreachBatch`` body. The time of a micro-batch is that of its first attempt, noted on disk, so a
+        micro-batch that is run again closes the same batches."""
+        noted = self.times.read_epoch(epoch).first()
+        if noted is None:
+            now = now or datetime.now(timezone.utc)
+            self.times.write(self.spark.createDataFrame([(now,)], self.times.schema), epoch)
+        else:
+            now = noted["now"]
         pending = self._open_rows(epoch).unionByName(batch.select(*self.columns, F.lit(now).alias("arrived"))).persist()
         self.rows.write(self._tag(pending, now), epoch, "state")
         pending.unpersist()
