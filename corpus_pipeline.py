@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import decontaminate, jaccard, language, packing, pii
-from reviewlens.llm.common import saved, table
+from reviewlens.llm.common import removed, saved, table
 from reviewlens.llm.queries import END_ID, VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -69,12 +69,16 @@ STAGES: list[tuple[str, Stage]] = [
     ("personal_data", redact_personal_data),
     ("packing", pack_sequences),
 ]
-# Learned languages, boosted trees and token ids have no SQL. No test calls run() yet.
+# Learned languages, boosted trees and token ids have no SQL; a test holds run() on the smallest tables against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            removed(before)
+        before = docs
     return docs
