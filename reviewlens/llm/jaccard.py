@@ -4,7 +4,9 @@ Two sets link when their Jaccard similarity is at least ``percent`` / 100. A lin
 D elements, so if the sets are cut by hash into more than D segments, they agree on a whole segment. The
 index has a list for every (level, segment, content); a list's key holds the place of its segment and the
 size level, so all lists that position or size rules out are skipped without being read. Segments hold
-several shingles, so passages that many documents share do not make long lists.
+several shingles, so passages that many documents share make few long lists. There are some segments more than D + 1, so
+linked sets share several lists: a set that can share ``room`` of them with any set that it links to leaves its longest
+``room`` - 1 lists (:func:`shortened`), which are those that a common passage makes, and still meets all of these.
 
 Set relations save the rest. Equal sets are one. In rounds, for as long as these find links, every set that shares a list with
 another component is compared with one member of such a list, so the work of a round grows with the sets and
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +44,7 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 9 <= b <= 13 else b for b
 STEP = 0x9E3779B97F4A7C15
 U = np.uint64
 LOW = np.uint32((1 << 31) - 1)
+EVEN = U((1 << 64) - 2)
 
 
 @lru_cache(maxsize=2)
@@ -111,35 +115,63 @@ def differences(level: np.ndarray, percent: int) -> np.ndarray:
     return (levels(percent)[level + 1] - 1) * (100 - percent) // percent
 
 
-def list_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the lists that each set goes to, and the number of the set."""
+@dataclass
+class Cut:
+    """Sets cut into the segments of one level each: the level, the most differences of a linked pair (0: only equal sets
+    link, no lists), the number of segments, and the filled segments by owner, place and first shingle."""
+
+    level: np.ndarray
+    most: np.ndarray
+    segments: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    filled: np.ndarray
+
+
+def cuts_of(sets: list[np.ndarray], percent: int) -> Iterator[Cut]:
+    """Every set at its own level and at the one below, where it can be the larger of a pair."""
     sizes = np.array([len(s) for s in sets])
-    flat = mixed(np.concatenate(sets))
     high = np.concatenate(sets) >> U(32)
-    keys, owners = [], []
     own_level = np.searchsorted(levels(percent), sizes, side="right") - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)
     for shift in (0, 1):
         level = own_level - shift
         most = np.where(level >= 0, differences(np.maximum(level, 0), percent), 0)
-        joins = most > 0  # otherwise only equal sets link
-        if not joins.any():
+        if not most.any():
             continue
-        segments = np.where(joins, most + 2 + most // 50, 1)
-        owner = np.repeat(np.arange(len(sets)), sizes)
+        segments = np.where(most > 0, most + 6 + most // 16, 1)
         place = (high * segments[owner].astype(np.uint64)) >> U(32)  # in order within a set
         first = np.flatnonzero(np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(place.astype(np.int64)) != 0))))
-        content = np.add.reduceat(flat, first)
-        who, where = owner[first], place[first]
-        tag = mixed((level[who].astype(np.uint64) + U(1)) * U(STEP) ^ (where << U(32)))
-        kept = joins[who]
-        keys.append(mixed(content + tag)[kept])
-        owners.append(who[kept])
+        yield Cut(level, most, segments, owner[first], place[first], first, np.bincount(owner[first], minlength=len(sets)))
+
+
+def rooms(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """How many lists each set shares at least with any set that it links to, at its levels of even and of odd number."""
+    out = np.zeros((2, len(sets)), np.int64)
+    for c in cuts_of(sets, percent) if sets else ():
+        # differences spoil at most ``most`` segments; a set with too few filled ones has lists for its empty ones too
+        room = np.where(c.most > 0, np.where(c.filled > c.most, c.filled, c.segments) - c.most, 0)
+        np.put(out, (c.level & 1) * len(sets) + np.arange(len(sets)), np.where(c.most > 0, room, out[c.level & 1, np.arange(len(sets))]))
+    return out
+
+
+def list_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lists that each set goes to, their last bit that of the level, and the number of the set."""
+    flat = mixed(np.concatenate(sets))
+    keys, owners = [], []
+    for c in cuts_of(sets, percent):
+        content = np.add.reduceat(flat, c.first)
+        tag = mixed((c.level[c.owner].astype(np.uint64) + U(1)) * U(STEP) ^ (c.place << U(32)))
+        kept = c.most[c.owner] > 0
+        odd = (c.level & 1).astype(np.uint64)
+        keys.append((mixed(content + tag) & EVEN | odd[c.owner])[kept])
+        owners.append(c.owner[kept])
         # A set with too few filled segments may agree with another such set on empty ones alone.
-        filled = np.bincount(who, minlength=len(sets))
-        for i in np.flatnonzero(joins & (filled <= most)):
-            empty = np.setdiff1d(np.arange(segments[i], dtype=np.uint64), where[who == i])
-            tag = mixed((level[i : i + 1].astype(np.uint64) + U(1)) * U(STEP) ^ (empty << U(32)))
-            keys.append(mixed(tag + U(1)))
+        for i in np.flatnonzero((c.most > 0) & (c.filled <= c.most)):
+            empty = np.setdiff1d(np.arange(c.segments[i], dtype=np.uint64), c.place[c.owner == i])
+            tag = mixed((c.level[i : i + 1].astype(np.uint64) + U(1)) * U(STEP) ^ (empty << U(32)))
+            keys.append(mixed(tag + U(1)) & EVEN | odd[i])
             owners.append(np.full(len(empty), i))
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -149,18 +181,29 @@ def number_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
 
 
-def measured(docs: DataFrame, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, n and the number of the set (null where it is empty) of every row."""
+def measured(docs: DataFrame, words: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, n, the number of the set (null where it is empty) and its rooms of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, number = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            room = np.zeros((2, batch.num_rows), np.int64)
+            some, who = [], []
+
+            def measure() -> None:
+                room[:, who] = rooms(some, percent)
+                some.clear(), who.clear()
+
             for i, s in sets_of(strings(batch["text"]), words):
                 n[i], number[i] = len(s), number_of(s)
-            columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n), pa.array(number, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n", "number"])
+                some.append(s), who.append(i)
+                if sum(map(len, some)) > CHUNK // 4:
+                    measure()
+            measure()
+            columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n), pa.array(number, pa.int64()), *map(pa.array, room)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n", "number", "room_0", "room_1"])
 
-    return docs.mapInArrow(run, f"{carried(docs, keep)}, n bigint, number bigint")
+    return docs.mapInArrow(run, f"{carried(docs, keep)}, n bigint, number bigint, room_0 bigint, room_1 bigint")
 
 
 def index_entries(docs: DataFrame, ranges: int, heavy: int, words: int, percent: int) -> DataFrame:
@@ -223,7 +266,8 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int, words: int, percent:
 
 
 def lists_of(entries: DataFrame) -> DataFrame:
-    """(key, doc) of the lists that hold two documents or more; of lists that hold the same ones, one."""
+    """(key, doc, weight) of the lists that hold two documents or more; of lists of a level that hold the same ones, one,
+    which weighs as many as they are."""
 
     def run(table: pa.Table) -> pa.Table:
         key, doc, flag = [], [], []
@@ -240,13 +284,28 @@ def lists_of(entries: DataFrame) -> DataFrame:
         members = np.add.reduceat(mixed(doc.astype(np.uint64) * U(STEP) + U(1)), first)
         flagged = np.add.reduceat(flag, first) > 0
         members[flagged] ^= key[first][flagged]
-        _, one = np.unique(np.stack([members, length.astype(np.uint64)]), axis=1, return_index=True)
-        chosen = np.zeros(len(first), bool)
-        chosen[one] = True
-        keep = np.repeat(chosen & ((length > 1) | flagged), length)
-        return pa.table({"key": pa.array(key[keep].view(np.int64)), "doc": pa.array(doc[keep])})
+        _, one, alike = np.unique(np.stack([members, length.astype(np.uint64), key[first] & U(1)]), axis=1, return_index=True, return_counts=True)
+        weight = np.zeros(len(first), np.int64)
+        weight[one] = alike
+        keep = np.repeat((weight > 0) & ((length > 1) | flagged), length)
+        return pa.table({"key": pa.array(key[keep].view(np.int64)), "doc": pa.array(doc[keep]), "weight": pa.array(np.repeat(weight, length)[keep])})
+
+    return entries.groupBy("part").applyInArrow(run, "key bigint, doc bigint, weight bigint")
+
 
-    return entries.groupBy("part").applyInArrow(run, "key bigint, doc bigint")
+def shortened(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, doc) of ``lists`` without the longest lists of each set, as many as it can spare at each of its two levels.
+
+    Linked sets share lists of a total weight of at least either one's room. Lists are left from the longest
+    on (ties: by key), by every set in the same order, so of a pair's common lists the shortest stays in both.
+    """
+    room = sizes.filter("number IS NOT NULL").groupBy(F.col("number").alias("doc")).agg(F.first("room_0").alias("room_0"), F.first("room_1").alias("room_1"))
+    length = lists.groupBy("key").agg(F.count("*").alias("length"))
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    rows = lists.join(length, "key").join(room, "doc").withColumn("odd", odd)
+    spent = F.sum("weight").over(Window.partitionBy("doc", "odd").orderBy(F.desc("length"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.withColumn("spent", spent).filter(F.col("spent") >= F.when(F.col("odd") == 0, F.col("room_0")).otherwise(F.col("room_1")))
+    return kept.select("key", "doc")
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -356,12 +415,12 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
 def set_groups(docs: DataFrame, words: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, n and number, and (doc_id, number, root) of every doc_id and set of it: sets have the same
     root if links tie them together. ``docs``: doc_id (bigint), text (not null)."""
-    sizes = saved(measured(docs, words), "jaccard-sizes")
+    sizes = saved(measured(docs, words, percent), "jaccard-sizes")
     rows = sizes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, rows * 23 * (100 - percent) // (10 * percent) // RANGE)  # a set has about 2 * (100 - percent) / percent entries an element
     owners = saved(sizes.filter("number IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "number").distinct(), "jaccard-owners")
     every = saved(lists_of(index_entries(docs, ranges, heavy, words, percent)).distinct(), "jaccard-lists")
-    lists = saved(divided(every.withColumn("root", F.col("doc"))), "jaccard-open")
+    lists = saved(divided(shortened(every, sizes).withColumn("root", F.col("doc"))), "jaccard-open")
     removed(every)
     known = saved(sets_by_id(docs, lists, owners, words), "jaccard-sets")
     root = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
@@ -422,7 +481,7 @@ def one_of_each(docs: DataFrame, words: int, percent: int, heavy: int = HEAVY) -
     _, placed = set_groups(few, words, percent, heavy)
     chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "number")).alias("first")).select("first.*")
     near = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row"), text_of("text").alias("text")), words, ("row",))
+    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row"), text_of("text").alias("text")), words, percent, ("row",))
     worded = rows.join(chosen, ["doc_id", "number"], "left_semi").groupBy("doc_id", "number").agg(F.min("row").alias("row"))
     # Rows without words: none of their characters is anything but white space.
     empty = docs.filter(~text_of("text").rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull())

@@ -8,7 +8,8 @@ largest inner products are the nearest neighbours, so distances and their bounds
 2. From these summaries each query cell gets a bound on the distance of its k-th neighbour, and from it, for
    every data cell, the interval of pivot distances outside which no neighbour can lie.
 3. Queries are grouped by cell, large cells split by hash; a data row is sent only to the groups whose
-   interval it lies in, in slices by hash, so that a task has a bounded number of either kind.
+   interval it lies in, in slices by hash, so that a task has a bounded number of either kind. A group has as many
+   slices, and its queries as many copies, as the rows that are left for it ask for.
 4. Every task finds the k best of its slice; a query's lists are merged.
 """
 
@@ -117,6 +118,12 @@ def routes(queries: list, data: list, pivots: np.ndarray, largest: int, k: int)
     return to_group, needed
 
 
+def remaining(points: DataFrame, intervals: DataFrame) -> dict[int, int]:
+    """Group -> how many data rows lie in its intervals; only cells and distances are read."""
+    left = points.filter("NOT query").select("cell", "dist").join(intervals.select("task_group", "cell", "low", "high"), "cell")
+    return {r["task_group"]: r["n"] for r in left.filter(F.col("dist").between(F.col("low"), F.col("high"))).groupBy("task_group").agg(F.count("*").alias("n")).collect()}
+
+
 def solve(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
     """The k best rows of ``data`` for every query: largest score, then smallest id, never the query's own id."""
     width = max([0, *(len(v) for t in (queries, data) for v in t["v"].combine_chunks())]) if queries.num_rows and data.num_rows else 0
@@ -147,7 +154,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, factor: int = 64, vec_
 
     Vectors that are null or hold null or non-finite components take no part; vectors of fewer components
     count as filled with zeros. Rows with the query's own id are not its candidates. A query without
-    candidates has no rows; a table without vectors gives none. Of equal scores the smaller ids come first.
+    candidates has no rows; a table without vectors gives none. Of equal scores the smaller ids come first. Rows that
+    share an id are candidates each, so an id can stand in a list more than once; as queries they are one, whose list has the
+    best scores of all of them. Squared norms and products beyond 2 ** 63 end the job with an arithmetic error.
     """
     spark = rows.sparkSession
     source = rows.filter(valid(F.col(vector)) & F.col(vec_id).isNotNull())
@@ -162,19 +171,23 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, factor: int = 64, vec_
     pivots = np.unique(matrix(chosen["v"], width), axis=0)
     points = saved(assigned(vectors, pivots, largest), "voronoi-cells")
     to_group, needed = routes(*summaries(points, k), pivots, largest, k)
-    slices = -(-facts["n"] // ROWS_PER_SLICE)
+    intervals = spark.createDataFrame(needed, "task_group int, salts int, cell int, low double, high double")
+    left = remaining(points, intervals)
+    slices = spark.createDataFrame([(g, -(-n // ROWS_PER_SLICE)) for g, n in left.items()], "task_group int, slices long")  # a row per group
     query_side = (
         points.filter("query")
         .join(spark.createDataFrame(to_group, "cell int, task_group int, salts int"), "cell")
+        .join(slices, "task_group")
         .withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     )
     data_side = (
         points.filter("NOT query")
-        .join(spark.createDataFrame(needed, "task_group int, salts int, cell int, low double, high double"), "cell")
+        .join(intervals, "cell")
         .filter(F.col("dist").between(F.col("low"), F.col("high")))
+        .join(slices, "task_group")
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
-        .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices).cast("long")))
+        .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")))
     )
     keys = ("task_group", "salt", "slice")
     columns = (*keys, "vec_id", "v")
