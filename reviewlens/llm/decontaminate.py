@@ -70,8 +70,8 @@ BUILT = [0]  # automata that this worker has built
 
 
 @lru_cache(maxsize=1)
-def automaton_of(key: str, windows: Broadcast) -> ahocorasick.Automaton:
-    """The automaton of a part, built once per worker; ``key`` names the part."""
+def automaton_of(key: str, windows: Broadcast) -> ahocorasick.Automaton | None:
+    """The automaton of a part, built once per worker; ``key`` names the part. None for a part without windows."""
     BUILT[0] += 1
     owners: dict[bytes, list[str]] = {}
     for w, item in windows.value:
@@ -80,7 +80,7 @@ def automaton_of(key: str, windows: Broadcast) -> ahocorasick.Automaton:
     for w, who in owners.items():
         out.add_word(w.decode("latin-1"), (len(w), who))
     out.make_automaton()
-    return out
+    return out if owners else None
 
 
 def original_places(text: str) -> list[tuple[int, int]]:
@@ -123,45 +123,56 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, max_bytes:
     state = few.select("*", F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__found"))
     for part in range(parts):
         rows = [(bytes(r["window"]), r["item"]) for r in windows.filter(F.col("part") == part).select("window", "item").collect()]  # max_bytes, about
+        shared = spark.sparkContext.broadcast(rows)
+        if part == parts - 1:
+            return summed_up(state, shared, few, keep, with_spans)
         if rows:
-            state = scanned(state, spark.sparkContext.broadcast(rows))
-        if rows and part < parts - 1:
-            state = saved(state, "benchmark-hits")
-    return summed_up(state, few, keep, with_spans)
+            state = saved(scanned(state, shared), "benchmark-hits")
+    return summed_up(state, spark.sparkContext.broadcast([]), few, keep, with_spans)
+
+
+def with_hits(batch: pa.RecordBatch, automaton: ahocorasick.Automaton | None, lines: list[bytes]) -> tuple[list, list]:
+    """The hits of a batch, a byte for each word, and the items found, with those of one part more."""
+    hits, items = batch["__hit"].to_pylist(), batch["__found"].to_pylist()
+    for i, line in enumerate(lines) if automaton else ():
+        if got := find_hits(automaton, line):
+            before = np.frombuffer(hits[i], bool) if hits[i] else False
+            hits[i] = (got[0] | before).tobytes()
+            items[i] = list({*got[1], *(items[i] or ())})
+    return hits, items
 
 
 def scanned(state: DataFrame, windows: Broadcast) -> DataFrame:
-    """``state`` with the hits of one part added: ``__hit``, a byte for each word, and ``__found``, the items."""
+    """``state`` with the hits of one part added: ``__hit`` and ``__found``."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of(key, windows)
         for batch in batches:
-            hits, items = batch["__hit"].to_pylist(), batch["__found"].to_pylist()
-            for i, text in enumerate(strings(batch["text"])):
-                if got := find_hits(automaton, normalised(text)):
-                    before = np.frombuffer(hits[i], bool) if hits[i] else False
-                    hits[i] = (got[0] | before).tobytes()
-                    items[i] = list({*got[1], *(items[i] or ())})
+            hits, items = with_hits(batch, automaton, [normalised(t) for t in strings(batch["text"])])
             columns = [pa.array(hits, pa.binary()) if c == "__hit" else pa.array(items, pa.list_(pa.string())) if c == "__found" else batch[c] for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return state.mapInArrow(run, state.schema)
 
 
-def summed_up(state: DataFrame, few: DataFrame, keep: tuple[str, ...], with_spans: bool) -> DataFrame:
-    """The result's columns out of the hits of all parts."""
+def summed_up(state: DataFrame, windows: Broadcast, few: DataFrame, keep: tuple[str, ...], with_spans: bool) -> DataFrame:
+    """The result's columns out of the hits of all parts; the last part is scanned on the way."""
+    key = uuid.uuid4().hex
     schema = f"{carried(few, keep)}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", spans array<struct<start:int,end:int>>" * with_spans
     names = ["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["spans"] * with_spans]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(key, windows)
         for batch in batches:
             texts = strings(batch["text"])
-            n_words = [normalised(t).count(b" ") - 1 for t in texts]
-            hit = [np.frombuffer(h, bool) if h else None for h in batch["__hit"].to_pylist()]
-            found = [f or [] for f in batch["__found"].to_pylist()]
+            lines = [normalised(t) for t in texts]
+            n_words = [line.count(b" ") - 1 for line in lines]
+            hits, items = with_hits(batch, automaton, lines)
+            hit = [np.frombuffer(h, bool) if h else None for h in hits]
+            found = [f or [] for f in items]
             n_hit = [0 if h is None else int(h.sum()) for h in hit]
             digest = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() if s else none for s in found]
             columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_hit], pa.bool_())]
