@@ -136,3 +136,31 @@ def test_chat_with_clashing_columns(spark):
     one, two = (chat.digest(chat.conversations(chat.fold(chat.log_of(df)))) for df in (plain, clash))
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert {r.conv_id: r.n_turns for r in one.collect()} == {1: 3, None: 1}
+
+
+def test_pipeline_stages_on_awkward_documents(spark):
+    """Each stage on nulls in every column, empty and very long texts, repeated rows, ties, extra columns with names of the
+    stages' own, and on no rows: no row gets lost that the stage does not drop by its rule."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"the{i % 977} and" for i in range(40_000))
+    texts = [(1, None, None), (2, "", "en"), (3, "the and of to in that", "en"), (3, "the and of to in that", "en"), (None, "the and of it", None), (4, long, "en"), (4, "another text of that number", "en"), (5, "mail a@b.com or 10.0.0.1 and the end", "en"), (6, "12 34", "en")]
+    odd = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    for n in ("row", "spans", "score", "number", "n", "root", "key", "contaminated", "start", "ids"):
+        odd = odd.withColumn(n, F.lit(3))
+    many = {"language": {"12 34", "", None}, "near_duplicates": set(), "benchmark": set(), "personal_data": set(), "packing": set()}
+    for name, stage in c.STAGES:
+        out = stage(spark, odd, SMALL)
+        rows = out.collect()
+        assert stage(spark, odd.limit(0), SMALL).count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in rows} == {i for i, _, _ in texts}
+            continue
+        assert out.columns == list(c.COLUMNS)
+        want = sorted(str((i, t)) for i, t, _ in texts if t not in many[name])
+        if name == "near_duplicates":
+            want.remove(str((3, "the and of to in that")))
+        got = sorted(str((r.doc_id, r.text)) for r in rows)
+        if name == "personal_data":
+            want = [w.replace("a@b.com", "[email]").replace("10.0.0.1", "[ip]") for w in want]
+        assert got == sorted(want), name
