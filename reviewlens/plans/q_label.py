@@ -474,8 +474,9 @@ def lexicon_join_large(t):
     entries = t.spark.createDataFrame([("all", "empty", "")], "aspect string, role string, keyword string")
     for role, keyword in kinds.items():
         entries = entries.unionByName(words.select("aspect", F.lit(role).alias("role"), keyword.alias("keyword")))
-    found = relate.lexicon_join(t.reviews(), "content", ["review_id"], entries)
-    return found.groupBy("review_id").agg(F.count("*").alias("entries"), F.count_if(F.col("role") == "word").alias("words"), F.sum(F.length("keyword")).alias("letters"))
+    each = entries.groupBy("keyword").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "word").alias("n_words"))
+    found = relate.lexicon_join(t.reviews(), "content", ["review_id"], each, ["n", "n_words"])
+    return found.groupBy("review_id").agg(F.sum("n").alias("entries"), F.sum("n_words").alias("words"), F.sum(F.col("n") * F.length("keyword")).alias("letters"))
 
 
 # -------------------------------------------------------------------------- validation

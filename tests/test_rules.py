@@ -195,3 +195,18 @@ def test_gram_index_equals_plain_search(spark, monkeypatch):
     assert "getbit" in found._jdf.queryExecution().optimizedPlan().toString().lower()
     none = spark.createDataFrame([], table.schema)
     assert relate.match_by_gram(rows.withColumn("t", F.coalesce("t", F.lit(""))), "t", ["i"], none).count() == 0
+
+
+def test_counts_of_repeated_entries_move_with_the_keyword(spark):
+    """One entry per keyword with its counts gives the sums of all repeated entries; a long keyword is found by a long gram."""
+    rows = spark.createDataFrame([(1, "abcdefgh ab"), (2, "xyabcdef"), (3, None)], "i int, t string")
+    words = ["ab", "abcdefg", "bcdef", "", "h ab", "zz", None] * 30
+    table = spark.createDataFrame([(str(i), "r", w) for i, w in enumerate(words)], "aspect string, role string, keyword string")
+    plain = relate.lexicon_join(rows, "t", ["i"], table).groupBy("i").agg(F.count("*").alias("n"), F.sum(F.length("keyword")).alias("m"))
+    counts = table.groupBy("keyword").agg(F.count("*").alias("k"))
+    many = counts.unionByName(spark.range(200).select(F.concat(F.lit("none"), F.col("id")).alias("keyword"), F.lit(1).cast("bigint").alias("k")))
+    for lexicon in (counts, many):
+        each = relate.lexicon_join(rows, "t", ["i"], lexicon, ["k"])
+        summed = each.groupBy("i").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.length("keyword")).alias("m"))
+        assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, plain.collect())) == [(1, 150, 540), (2, 90, 210), (3, 30, 0)]
+        assert each.count() == 9
