@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.labels import ASPECTS, decode_label, to_int
 from reviewlens.operators.lexicon import VALIDATION, Lexicon, contains_any
+from reviewlens.operators.relate import exploded
 
 SUGGESTION = "Review contains contrast words but no multi-polarity labels"
 
@@ -90,7 +91,7 @@ def validate_labels(
 
     A narrow transformation: the rule lists are literals, so there is no join and no shuffle.
     """
-    return with_issues(df, text, aspects, rules, checks).select(*ids, F.explode("rl_issues").alias("issue")).select(*ids, "issue.*")
+    return exploded(with_issues(df, text, aspects, rules, checks).select(*ids, "rl_issues"), "rl_issues").select(*ids, "rl_issues.*")
 
 
 def with_issues(

@@ -210,3 +210,13 @@ def test_counts_of_repeated_entries_move_with_the_keyword(spark):
         summed = each.groupBy("i").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.length("keyword")).alias("m"))
         assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, plain.collect())) == [(1, 150, 540), (2, 90, 210), (3, 30, 0)]
         assert each.count() == 9
+
+
+def test_arrays_are_not_worked_out_again_below_the_spread(spark):
+    """Spark tests an exploded array for emptiness before the shuffle that spreads the rows, in one task."""
+    rows = spark.createDataFrame([(1, "vải mỏng", "2")], ["i", "t", CL]).repartition(3)
+    table = spark.createDataFrame([("a", "r", f"k{i}") for i in range(300)], "aspect string, role string, keyword string")
+    frames = [validate.validate_labels(rows, ["i"], "t"), relate.lexicon_join(rows, "t", ["i"], table), relate.lexicon_join(rows, "t", ["i"], table.limit(3))]
+    for df in frames:
+        below = df._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[1].splitlines()[1]
+        assert "Filter" not in below
