@@ -83,7 +83,8 @@ def ml_naive_bayes_folds(t):
 
 @query("ml_kfold")
 def ml_kfold(t):
-    return learn.cross_validate(labelled(t), "doc_id", "quality", lambda: learn.mention_model("text", "quality", size=1 << 12))
+    path = scratch_path(t.spark, "fold-features")
+    return learn.cross_validate(labelled(t), "doc_id", "quality", lambda: learn.mention_model("text", "quality", size=1 << 12), path=path)
 
 
 @query("ml_score")

@@ -194,3 +194,18 @@ def test_many_keywords_make_a_shallow_expression(spark):
     df = spark.createDataFrame([("w7x and w1999x",), ("none",)], "t string")
     got = df.select(lexicon.contains_any(df.t, words), lexicon.count_contained(df.t, words)).collect()
     assert sorted(map(tuple, got)) == [(False, 0), (True, 2)]
+
+
+def test_folds_from_stored_features_equal_plain_folds(spark, tmp_path):
+    """The stages that learn nothing run once, into a table of features by fold; the figures stay the same."""
+    from reviewlens.operators import learn
+
+    texts = ["tốt đẹp", "xấu tệ", "tốt lắm", "tệ quá", "đẹp quá", "xấu lắm"]
+    df = spark.createDataFrame([(i, texts[i % 6], float(i % 2)) for i in range(60)], "i bigint, t string, y double")
+    make = lambda: learn.mention_model("t", "y", size=1 << 8, iterations=3)
+    path = str(tmp_path / "features")
+    stored = learn.cross_validate(df, "i", "y", make, folds=3, path=path)
+    plain = learn.cross_validate(df, "i", "y", make, folds=3)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+    features = spark.read.parquet(path)
+    assert sorted(features.columns) == ["fold", "i", "tf", "y"] and features.count() == 60
