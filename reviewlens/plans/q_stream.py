@@ -17,12 +17,24 @@ FILES = 4  # at least; more for larger tables
 ROWS_PER_FILE = 250_000
 
 
-def staged(t: Tables, df: DataFrame, order: str) -> DataFrame:
-    """``df`` written as a few files in order, read as a stream of one file per micro-batch."""
-    path = scratch_path(t.spark, "stream")
-    df.repartitionByRange(max(FILES, df.count() // ROWS_PER_FILE), order).write.parquet(path)
+def files_per_batch(files: int, cores: int) -> int:
+    """A file for every core, but at least ``FILES`` micro-batches: what a micro-batch costs besides its rows is then paid once for
+    the work of all cores, and not once per file."""
+    return max(1, min(files // FILES, cores))
+
+
+def written(t: Tables, df: DataFrame, order: str) -> tuple[str, str, int]:
+    """``df`` written as files in order: their folder, schema and number per micro-batch."""
+    path, files = scratch_path(t.spark, "stream"), max(FILES, df.count() // ROWS_PER_FILE)
+    df.repartitionByRange(files, order).write.parquet(path)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return ingest.file_stream(t.spark, path, schema)
+    return path, schema, files_per_batch(files, t.spark.sparkContext.defaultParallelism)
+
+
+def staged(t: Tables, df: DataFrame, order: str) -> DataFrame:
+    """``df`` as a stream of a few files per micro-batch."""
+    path, schema, each = written(t, df, order)
+    return ingest.file_stream(t.spark, path, schema, files_per_batch=each)
 
 
 def envelope(t: Tables) -> DataFrame:
@@ -123,8 +135,12 @@ def stream_upsert(t):
     return store.read()
 
 
+def timed_labels(t: Tables) -> DataFrame:
+    return t.labels_long().withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def labels_stream(t: Tables) -> DataFrame:
-    return staged(t, t.labels_long().withColumn("ts", F.col("ts").cast("timestamp")), "review_id")
+    return staged(t, timed_labels(t), "review_id")
 
 
 @query(
@@ -164,10 +180,14 @@ def readable(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, form) for c in ("window_start", "window_end")})
 
 
+def span(t: Tables) -> int:
+    """Seconds from the first to the last event, and one more."""
+    return (t.events.agg(F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0] or 0) + 1
+
+
 def whole(t: Tables) -> str:
     """A watermark as long as the data: nothing is late, so the result is that of a batch."""
-    span = t.events.agg(F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0]
-    return f"{(span or 0) + 1} seconds"
+    return f"{span(t)} seconds"
 
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -201,16 +221,19 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id AS product_id, epoch_us(min(ts)) AS window_start, epoch_us(max(ts) + INTERVAL 8 HOUR) AS window_end, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def stream_session(t):
-    sessions = windows.session_counts(labels_stream(t), "ts", "8 hours", ["product_id"], watermark=whole(t))
+    """Each session is stored once, when it is closed: a last row far ahead in time lets the watermark pass all events."""
+    length, labels = span(t), timed_labels(t)
+    path, schema, each = written(t, labels, "review_id")
+    ahead = labels.agg(*[(F.max(c) + F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), F.lit(2 * length)) if c == "ts" else F.lit(None).cast(kind)).alias(c) for c, kind in labels.dtypes])
     store = stores.EpochTable(t.spark, scratch_path(t.spark, "sessions"), "window_start timestamp, window_end timestamp, product_id bigint, n bigint")
-    last: list[int] = []
-
-    def body(df: DataFrame, epoch: int) -> None:
-        store.write(df, epoch)
-        last.append(epoch)
-
-    run_batches(t, sessions, body, "complete")
-    return store.read_epoch(max(last)).withColumns({c: F.unix_micros(c) for c in ("window_start", "window_end")})
+    checkpoint = scratch_path(t.spark, "checkpoint")
+    for last in (False, True):
+        if last:
+            ahead.write.mode("append").parquet(path)
+        stream = ingest.file_stream(t.spark, path, schema, files_per_batch=each)
+        sessions = windows.session_counts(stream, "ts", "8 hours", ["product_id"], watermark=f"{length} seconds")
+        ingest.drain(sessions.writeStream.outputMode("append").foreachBatch(lambda df, epoch: store.write(df, epoch)), checkpoint)
+    return store.read().drop("epoch").withColumns({c: F.unix_micros(c) for c in ("window_start", "window_end")})
 
 
 @query("stream_dedup", "SELECT DISTINCT event_id // 3 AS review_id FROM events")

@@ -114,3 +114,34 @@ def test_shuffle_size(spark):
         assert spark.conf.get(key) == "4096"
     finally:
         spark.conf.unset(key)
+
+
+def test_micro_batches_use_all_cores(spark, monkeypatch):
+    """The number of micro-batches does not grow with the number of files as long as there are cores for them."""
+    from conftest import SMALL
+
+    from reviewlens.plans import q_stream
+    from reviewlens.plans.views import Tables
+
+    assert [q_stream.files_per_batch(n, 12) for n in (4, 7, 24, 144, 1000)] == [1, 1, 6, 12, 12]
+    monkeypatch.setattr(q_stream, "ROWS_PER_FILE", 30)  # 1,000 events: 33 files
+    epochs = []
+    q_stream.run_batches(Tables(spark, SMALL), q_stream.reviews_stream(Tables(spark, SMALL)), lambda df, epoch: epochs.append(df.count()))
+    assert sum(epochs) == 1000 and len(epochs) == 5
+
+
+def test_sessions_are_stored_once(spark, monkeypatch):
+    """Not all of them again in every micro-batch."""
+    from conftest import SMALL
+
+    from reviewlens.plans.catalogue import QUERIES
+
+    stored, write = [], stores.EpochTable.write
+
+    def counted(self, df, epoch, partition=None):
+        stored.append(df.count())
+        write(self, df, epoch, partition)
+
+    monkeypatch.setattr(stores.EpochTable, "write", counted)
+    sessions = QUERIES["stream_session"](spark, SMALL)
+    assert sum(stored) == sessions.count() and sessions.agg(F.sum("n")).first()[0] == 1000
