@@ -2,7 +2,9 @@
 
 Each keeps a small, bounded state per key: the open rows of a batch, the newest n rows, the last closed
 window. State lives in Spark's state store (RocksDB), is part of the stream's checkpoint and moves with it when an
-executor is lost. A micro-batch reads and writes the state of a key once, whatever the number of its rows.
+executor is lost. A micro-batch reads and writes the state of a key once, whatever the number of its rows. Batches and
+alerts go through Spark's row form: most keys have a row or two in a micro-batch, for which a pandas table per key, or
+per closed batch, costs more than the work.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,56 +48,66 @@ def frame(keys: Sequence[str], key: tuple, columns: Sequence[str], rows: list[tu
     return out
 
 
+def sorted_rows(rows: Iterator[Row], columns: Sequence[str], by: Sequence[str]) -> list[tuple]:
+    """:func:`ordered` of rows; values that are missing or no numbers come last."""
+    place = [columns.index(c) for c in by]
+    tuples = [tuple(r[c] for c in columns) for r in rows]
+    return sorted(tuples, key=lambda r: [(True, 0) if r[i] is None or r[i] != r[i] else (False, r[i]) for i in place])
+
+
 class BatchCutter(StatefulProcessor):
-    """Batches of ``size`` rows of a key, or fewer once the first of them has waited for the time-out."""
+    """Batches of ``size`` rows of a key, or fewer once the first of them has waited for the time-out.
+
+    The open rows and the number of the open batch are one value; the timer of a key follows from its first open row."""
 
     def __init__(self, keys: Sequence[str], columns: Sequence[str], schema: StructType, order: str, size: int, timeout_us: int, by_event: bool):
-        self.keys, self.columns, self.schema, self.order = list(keys), list(columns), schema, order
+        self.columns, self.schema, self.order = list(columns), schema, order
         self.size, self.timeout, self.by_event = size, timeout_us, by_event
+        self.row = Row(*keys, *columns, "batch", "reason")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", self.schema)
-        self.closed = handle.getValueState("closed", StructType().add("n", LongType()))
+        self.open = handle.getValueState("open", StructType().add("number", LongType()).add("held", ArrayType(self.schema)))
 
     def _state(self) -> tuple[list[tuple], int]:
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        return held, self.closed.get()[0] if self.closed.exists() else 0
+        found = self.open.get()
+        return ([tuple(r) for r in found[1]], found[0]) if found else ([], 0)
 
-    def _keep(self, held: list[tuple], number: int) -> None:
-        self.open.put(held) if held else self.open.clear()
-        self.closed.update((number,))
+    def _timer(self, held: list[tuple]) -> int | None:
+        """Later than every time that the open batch still takes."""
+        return (held[0][0] + self.timeout) // 1000 + 1 if held else None
 
-    def _batch(self, key: tuple, held: list[tuple], number: int, reason: str) -> pd.DataFrame:
-        return frame(self.keys, key, [*self.columns, "batch", "reason"], [(*r, number, reason) for r in held])
+    def _batch(self, key: tuple, held: list[tuple], number: int, reason: str) -> list[Row]:
+        return [self.row(*key, *r, number, reason) for r in held]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held, number = self._state()
-        before = held[0][0] if held else None
-        arrived = timerValues.getCurrentProcessingTimeInMs() * 1000
+        before = self._timer(held)
+        arrived = None if self.by_event else timerValues.getCurrentProcessingTimeInMs() * 1000
         out = []
-        for row in ordered(rows, self.columns, [AT, self.order]):
+        for row in sorted_rows(rows, self.columns, [AT, self.order]):
             row = row if self.by_event else (arrived, *row[1:])
             if held and row[0] > held[0][0] + self.timeout:
-                out.append(self._batch(key, held, number, "timeout"))
+                out += self._batch(key, held, number, "timeout")
                 held, number = [], number + 1
             held.append(row)
             if len(held) == self.size:
-                out.append(self._batch(key, held, number, "full"))
+                out += self._batch(key, held, number, "full")
                 held, number = [], number + 1
-        self._keep(held, number)
-        if before != (held[0][0] if held else None):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if held:  # later than every time that the batch still takes
-                self.handle.registerTimer((held[0][0] + self.timeout) // 1000 + 1)
+        self.open.update((number, held))
+        after = self._timer(held)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
         yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held, number = self._state()
         if held:
-            self._keep([], number + 1)
-            yield self._batch(key, held, number, "timeout")
+            self.open.update((number + 1, []))
+            yield from self._batch(key, held, number, "timeout")
 
     def close(self) -> None:
         pass
@@ -119,7 +131,7 @@ def timed_batches(
     schema = timed.select(AT, *plain).schema
     result = timed.select(*keys, AT, *plain).schema.add("batch", LongType()).add("reason", StringType())
     cutter = BatchCutter(keys, [AT, *plain], schema, order, size, int(timeout_s * 1_000_000), by_event)
-    out = timed.groupBy(*keys).transformWithStateInPandas(cutter, result, "Append", "EventTime" if by_event else "ProcessingTime")
+    out = timed.groupBy(*keys).transformWithState(cutter, result, "Append", "EventTime" if by_event else "ProcessingTime")
     return out.withColumn(ts, F.timestamp_micros(AT)).select(*keys, ts, *plain, "batch", "reason")
 
 
@@ -165,20 +177,22 @@ class TrendWatch(StatefulProcessor):
     """The share of a key's last closed window, to compare the next one with."""
 
     def __init__(self, keys: Sequence[str], columns: Sequence[str], jump: float):
-        self.keys, self.columns, self.jump = list(keys), list(columns), jump
+        self.columns, self.jump = list(columns), jump
+        self.row = Row(*keys, *columns, "alert")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "share double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get()[0] if self.last.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self.last.get()
+        before = found[0] if found else None
         out = []
-        for row in ordered(rows, self.columns, [AT]):
+        for row in sorted_rows(rows, self.columns, [AT]):
             share = row[-1]
-            out.append((*row, before is not None and share - before >= self.jump))
+            out.append(self.row(*key, *row, before is not None and share - before >= self.jump))
             before = share
         self.last.update((before,))
-        yield frame(self.keys, key, [*self.columns, "alert"], out)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -191,5 +205,5 @@ def trend_alerts(windows: DataFrame, keys: Sequence[str], jump: float = 0.1) ->
     columns = [AT, "n", "negatives", "negative_share"]
     stamped = windows.withColumn(AT, F.unix_micros("window_start")).select(*keys, *columns)
     result = StructType([*stamped.schema.fields]).add("alert", "boolean")
-    out = stamped.groupBy(*keys).transformWithStateInPandas(TrendWatch(keys, columns, jump), result, "Append", "None")
+    out = stamped.groupBy(*keys).transformWithState(TrendWatch(keys, columns, jump), result, "Append", "None")
     return out.select(*keys, F.timestamp_micros(AT).alias("window_start"), "n", "negatives", "negative_share", "alert")
