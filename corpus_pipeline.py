@@ -29,7 +29,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The model learns from the documents' own labels, as in the query; a kept document stays as it is.
     """
     model = language.learn(docs.filter(~language.is_held_out()))
-    found = language.identify(docs.select("doc_id", F.struct(*COLUMNS).alias("row"), "text"), model, keep=("row",))
+    found = language.identify(docs.select("doc_id", F.struct(*COLUMNS).alias("row")), model, text="row.text", keep=("row",))
     kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select("row.*")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +13,31 @@ from pyspark.sql import functions as F
 from reviewlens.plans.session import scratch_path
 
 
+MEMORIES: list = []  # cached functions by which a Python worker remembers vocabularies and the words it has met
+
+
+def handed_back() -> None:
+    """Lets a Python worker forget vocabularies and give freed memory back to the system, which its allocators else keep as
+    long as the worker lives: beside the JVM's heap, of use to no later step."""
+    for f in MEMORIES:
+        f.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that needs no vocabulary, with :func:`handed_back` before and after it."""
+
+    def run_lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        handed_back()
+        yield from run(batches)
+        handed_back()
+
+    return run_lean
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +72,17 @@ def carried(df: DataFrame, keep: tuple[str, ...]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
 
 
+def field_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or as ``column.field`` the field of a struct column without null structs."""
+    column, _, field = name.partition(".")
+    return batch[column].field(field) if field else batch[column]
+
+
+def beside(keep: tuple[str, ...], text: str) -> tuple[list[Column], str]:
+    """The text column to send beside those of ``keep``, and its name there; none if it is a field of one of them, so that no text is sent twice."""
+    return ([], text) if text.partition(".")[0] in keep else ([text_of(text).alias("text")], "text")
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """The texts of a batch; null is empty."""
     return [x or "" for x in column.to_pylist()]

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import carried, saved, strings, text_of
+from reviewlens.llm.common import carried, lean, saved, strings, text_of
 
 # Bytes outside a-z, 0-9 and non-ASCII are gaps; A-Z become a-z. UTF-8 never has an ASCII byte inside a
 # longer character, so working on bytes is working on characters.
@@ -153,7 +153,7 @@ def scanned(state: DataFrame, windows: Broadcast) -> DataFrame:
             columns = [pa.array(hits, pa.binary()) if c == "__hit" else pa.array(items, pa.list_(pa.string())) if c == "__found" else batch[c] for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return state.mapInArrow(run, state.schema)
+    return state.mapInArrow(lean(run), state.schema)
 
 
 def summed_up(state: DataFrame, windows: Broadcast, few: DataFrame, keep: tuple[str, ...], with_spans: bool) -> DataFrame:
@@ -180,7 +180,7 @@ def summed_up(state: DataFrame, windows: Broadcast, few: DataFrame, keep: tuple[
                 columns.append(pa.array([[] if h is None else stretches(t, h) for t, h in zip(texts, hit, strict=True)], span))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(lean(run), schema)
 
 
 def stretches(text: str, hit: np.ndarray) -> list[dict]:

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import carried, mixed, removed, saved, strings, text_of
+from reviewlens.llm.common import beside, carried, field_of, handed_back, lean, mixed, removed, saved, strings, text_of
+from reviewlens.plans.session import size_batches
 
 WORDS, PERCENT = 4, 85  # unless the caller says otherwise
 CHUNK = 1 << 20  # bytes of text worked on at once
@@ -181,8 +182,11 @@ def number_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
 
 
-def measured(docs: DataFrame, words: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, n, the number of the set (null where it is empty) and its rooms of every row."""
+def measured(docs: DataFrame, words: int, percent: int, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """doc_id, the columns of ``keep``, n, the number of the set (null where it is empty) and its rooms of every row.
+    ``text`` may be a field of a column of ``keep``."""
+    sent, where = beside(keep, text)
+    docs = docs.select("doc_id", *keep, *sent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +198,7 @@ def measured(docs: DataFrame, words: int, percent: int, keep: tuple[str, ...] =
                 room[:, who] = rooms(some, percent)
                 some.clear(), who.clear()
 
-            for i, s in sets_of(strings(batch["text"]), words):
+            for i, s in sets_of(strings(field_of(batch, where)), words):
                 n[i], number[i] = len(s), number_of(s)
                 some.append(s), who.append(i)
                 if sum(map(len, some)) > CHUNK // 4:
@@ -203,7 +207,7 @@ def measured(docs: DataFrame, words: int, percent: int, keep: tuple[str, ...] =
             columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(n), pa.array(number, pa.int64()), *map(pa.array, room)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n", "number", "room_0", "room_1"])
 
-    return docs.mapInArrow(run, f"{carried(docs, keep)}, n bigint, number bigint, room_0 bigint, room_1 bigint")
+    return docs.mapInArrow(lean(run), f"{carried(docs, keep)}, n bigint, number bigint, room_0 bigint, room_1 bigint")
 
 
 def index_entries(docs: DataFrame, ranges: int, heavy: int, words: int, percent: int) -> DataFrame:
@@ -262,14 +266,14 @@ def index_entries(docs: DataFrame, ranges: int, heavy: int, words: int, percent:
                 keys.append(k), owners.append(o + len(ids)), ids.extend(who)
         yield from flush()
 
-    return docs.mapInArrow(run, "part bigint, keys binary, owner binary, ids binary")
+    return docs.mapInArrow(lean(run), "part bigint, keys binary, owner binary, ids binary")
 
 
 def lists_of(entries: DataFrame) -> DataFrame:
     """(key, doc, weight) of the lists that hold two documents or more; of lists of a level that hold the same ones, one,
     which weighs as many as they are."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def found(table: pa.Table) -> pa.Table:
         key, doc, flag = [], [], []
         for k, o, ids in zip(*(table[c].to_pylist() for c in ("keys", "owner", "ids")), strict=True):
             o = np.frombuffer(o, np.uint32)
@@ -290,6 +294,11 @@ def lists_of(entries: DataFrame) -> DataFrame:
         keep = np.repeat((weight > 0) & ((length > 1) | flagged), length)
         return pa.table({"key": pa.array(key[keep].view(np.int64)), "doc": pa.array(doc[keep]), "weight": pa.array(np.repeat(weight, length)[keep])})
 
+    def run(table: pa.Table) -> pa.Table:
+        out = found(table)
+        handed_back()
+        return out
+
     return entries.groupBy("part").applyInArrow(run, "key bigint, doc bigint, weight bigint")
 
 
@@ -328,7 +337,7 @@ def sets_by_id(docs: DataFrame, needed: DataFrame, owners: DataFrame, words: int
     wanted = needed.select("doc").distinct()
     first = owners.groupBy("number").agg(F.min("doc_id").alias("doc_id")).join(wanted.withColumnRenamed("doc", "number"), "number", "left_semi")
     chosen = docs.join(first, "doc_id", "left_semi")
-    found = chosen.mapInArrow(sets, "id bigint, set binary, n bigint" + "".join(f", {c} bigint" for c in SKETCH))
+    found = chosen.mapInArrow(lean(sets), "id bigint, set binary, n bigint" + "".join(f", {c} bigint" for c in SKETCH))
     return found.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -364,7 +373,7 @@ def compared(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     open_ones = plausible(pairs, known, percent)
     ends = open_ones.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     both = ends.join(known.select("id", "set"), "id").groupBy("a", "b").agg(F.min_by("set", F.col("id") == F.col("b")).alias("set_a"), F.max_by("set", F.col("id") == F.col("b")).alias("set_b"))
-    out = saved(both.mapInArrow(overlap, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
+    out = saved(both.mapInArrow(lean(overlap), "a bigint, b bigint, n_a bigint, n_b bigint, common bigint"), "jaccard-compared")
     removed(open_ones)
     return out
 
@@ -414,7 +423,8 @@ def merged(root: DataFrame, links: DataFrame) -> DataFrame:
 
 def set_groups(docs: DataFrame, words: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, n and number, and (doc_id, number, root) of every doc_id and set of it: sets have the same
-    root if links tie them together. ``docs``: doc_id (bigint), text (not null)."""
+    root if links tie them together. ``docs``: doc_id (bigint), text (not null). Bounds the session's Arrow batches."""
+    size_batches(docs.sparkSession)
     sizes = saved(measured(docs, words, percent), "jaccard-sizes")
     rows = sizes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, rows * 23 * (100 - percent) // (10 * percent) // RANGE)  # a set has about 2 * (100 - percent) / percent entries an element
@@ -481,7 +491,7 @@ def one_of_each(docs: DataFrame, words: int, percent: int, heavy: int = HEAVY) -
     _, placed = set_groups(few, words, percent, heavy)
     chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "number")).alias("first")).select("first.*")
     near = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row"), text_of("text").alias("text")), words, percent, ("row",))
+    rows = measured(near.select("doc_id", F.struct(*docs.columns).alias("row")), words, percent, ("row",), "row.text")
     worded = rows.join(chosen, ["doc_id", "number"], "left_semi").groupBy("doc_id", "number").agg(F.min("row").alias("row"))
     # Rows without words: none of their characters is anything but white space.
     empty = docs.filter(~text_of("text").rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull())

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import carried, strings, text_of
+from reviewlens.llm.common import beside, carried, field_of, lean, strings
+from reviewlens.plans.session import size_batches
 
 BUCKETS = 1 << 16
 PENALTY = 12.0
@@ -196,10 +197,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text under a model without
     languages. Words of a script that no language was seen in count as letters of none. Equal languages go
-    to the first in order of name. Repeated rows are labelled each; texts are read whole.
+    to the first in order of name. Repeated rows are labelled each; texts are read whole. ``text`` may be a
+    field of a column of ``keep``. Bounds the session's Arrow batches (:func:`size_batches`).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    few = docs.select(F.col(doc_id).alias("doc_id"), *keep, text_of(text).alias("text"))
+    size_batches(docs.sparkSession)
+    sent, where = beside(keep, text)
+    few = docs.select(F.col(doc_id).alias("doc_id"), *keep, *sent)
     schema = f"{carried(few, keep)}, lang_pred string, score double, n_spans bigint" + ", spans array<struct<start:int,stop:int,lang:string>>" * with_spans
     names = ["doc_id", *keep, "lang_pred", "score", "n_spans", *["spans"] * with_spans]
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
@@ -210,7 +214,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         for batch in batches:
             n = batch.num_rows
             pred, score, spans, n_spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)], np.zeros(n, np.int64)
-            for held, ends, points in chunks_of(strings(batch["text"])) if k else ():
+            for held, ends, points in chunks_of(strings(field_of(batch, where))) if k else ():
                 w = words_of(points)
                 if not len(w.start):
                     continue
@@ -232,7 +236,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             columns = [batch["doc_id"], *(batch[c] for c in keep), pa.array(pred, pa.string()), pa.array(score), pa.array(n_spans)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)][: len(names)], names)
 
-    return few.mapInArrow(run, schema)
+    return few.mapInArrow(lean(run), schema)
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import strings, text_of
+from reviewlens.llm.common import MEMORIES, strings, text_of
 
 # Characters of lower-cased words on which Unicode versions and composition agree: no control characters,
 # combining marks, or characters that decompose to others.
@@ -32,7 +32,7 @@ PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ǃα-ω" "а-я‐-―‘-‟…ぁ-
 # White space to Python only, and capitals whose lower case depends on their neighbours.
 ODD = "\x1c\x1d\x1e\x1fΣİ"
 # Words remembered in a Python worker; beyond this the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Vocabulary:
@@ -92,6 +92,9 @@ def vocabulary(path: str, use: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+MEMORIES.append(vocabulary)
+
+
 def byte_of_mark() -> dict[str, int]:
     """Byte-level vocabularies write each byte as one visible character: printable ones as they are, the
     others as the characters from 256 on, in order."""

@@ -39,6 +39,18 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 256 <<
     return n
 
 
+def size_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let an Arrow batch hold about ``most`` bytes, from now on and in the whole session; a smaller bound that was set stays.
+
+    By default a batch holds 10,000 rows, or 64 MB of whole texts. A Python worker and the JVM beside it each
+    hold several copies of a batch, and what they once took they mostly keep, whatever step comes next.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -456,3 +457,17 @@ def test_pipeline_stages(spark):
         assert after <= before
         if name == "near_duplicates":
             assert after == {i for i, (n, root) in brute_groups([(i, rows[i].text) for i in before], 5, 80).items() if i == root}
+
+
+def test_workers_stay_small(spark):
+    """Arrow batches go by bytes, not by 10,000 rows of any length, and a step without vocabulary drops those of other steps."""
+    import pyarrow as pa
+
+    from reviewlens.llm import common, tokens
+
+    df = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text", "'en' AS lang")
+    language.identify(df, language.Model([], np.zeros((language.BUCKETS, 0), np.float32), np.zeros((len(language.SCRIPTS) + 1, 0), bool)))
+    sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) > 13_000_000 and max(r.n for r in sizes) < 5_000_000
+    tokens.vocabulary(public_tokenizers.path(queries.VOCABULARY), "ids")
+    assert list(common.lean(iter)([1])) == [1] and tokens.vocabulary.cache_info().currsize == 0
