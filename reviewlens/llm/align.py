@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import saved
+from reviewlens.llm.common import MEMORIES, saved
 from reviewlens.llm.tokens import byte_of_mark
 
 RADICES = 64  # parts, a power of two
@@ -50,14 +50,37 @@ CHUNKS = 1 << 24  # chunk numbers are task number * CHUNKS + count within the ta
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # Characters on whose kind (letter, number, white space) all versions of Unicode agree.
 AGREED = regex.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ǃΑ-ΡΣ-ωА-я‐-―‘-‟…ぁ-ゖァ-ヺ一-龥가-힣]*+")
-REMEMBERED = 500_000  # pre-tokens; beyond this the memory starts anew
+REMEMBERED = 250_000  # words; beyond this the memory starts anew
+LONG = 64  # characters; longer words are not remembered
+JOINED = regex.compile(r"'(?:s|t|re|ve|m|ll|d)\p{L}")  # where the rule cuts between two letters
+KINDS = [regex.compile(k) for k in (r"\s", r"\p{L}", r"\p{N}")]
+
+
+def kind_of(c: str) -> int:
+    return next((i for i, k in enumerate(KINDS) if k.match(c)), len(KINDS))
+
+
+def straddling(pieces: list[str]) -> list[str]:
+    """Strings that a text must hold if a B piece reaches over the edge of an A pre-token, but for edges between two letters: white
+    space other than the space, and neighbours of two kinds, or two spaces, inside a piece."""
+    out = set()
+    for p in pieces:
+        for i, (x, y) in enumerate(zip(p, p[1:])):
+            odd = [c for c in (x, y) if c != " " and kind_of(c) == 0]
+            if odd:
+                out.update(odd)
+            elif x + y == "  " or kind_of(x) != kind_of(y) and (i or x != " "):
+                out.add(x + y)
+    return sorted(out)
 
 
 class Pair:
     """Both tokenizers, opened once per Python worker.
 
-    A pre-token of A always has the same ids, so each is merged once and remembered. That is done only in texts of
-    characters that are split here as the library splits them for certain; other texts go to the library whole.
+    Where no B piece can reach over the edge of an A pre-token, both sides end there, so a pre-token always has the same
+    ids, groups and links; they are worked out once and remembered, and a text's are those of its pre-tokens one after another.
+    That is done only in texts of characters that are split here as the library splits them for certain, and without
+    any string of :func:`straddling`; other texts go to the libraries whole.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -75,7 +98,11 @@ class Pair:
         split = raw["pre_tokenizer"]
         # only these rules are known here
         self.known_rules = split["type"] == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not raw["normalizer"]
-        self.remembered: dict[str, list[int]] = {}
+        ordinary = [i for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.straddling = straddling([self.b.id_to_piece(i).replace("▁", " ") for i in ordinary])
+        self.known_rules = self.known_rules and "\n" not in self.straddling
+        self.head = self.b.encode("\n")  # B puts a space before all; behind a line feed, which joins no piece, a pre-token is as it is
+        self.forget()
         byte_of, count = byte_of_mark(), self.a.get_vocab_size()
         self.marks = {b: c for c, b in byte_of.items()}
         entry = [self.a.id_to_token(i) or "" for i in range(count)]
@@ -95,25 +122,99 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def ids_of(self, text: str) -> list[int]:
-        """The A ids of a text."""
-        if not (self.known_rules and (text.isascii() and text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() or AGREED.fullmatch(text))):
-            return self.a.encode(text, add_special_tokens=False).ids
-        parts = SPLIT.findall(text)
+    def forget(self) -> None:
+        self.words: dict[str, list[int] | None] = {}  # numbers of a word's pre-tokens; None: its text goes whole
+        self.numbers: dict[str, int] = {}
+        self.fresh: list[str] = []  # pre-tokens that have a number and no facts yet
+        self.groups: list[str] = []  # of a pre-token, as they are digested
+        self.facts = np.zeros((6, 0), np.int64)  # n_a, n_b, n_groups (0: its bytes differ), n_links, first and number of its pairs
+        self.pairs = self.times = np.zeros(0, np.int64)
+
+    def numbers_of(self, word: str) -> list[int] | None:
+        """Numbers of the pre-tokens of a space and the word."""
+        if not word or len(word) > LONG or word[0].isspace() or not AGREED.fullmatch(word):
+            return None
+        out = []
+        for p in SPLIT.findall(" " + word):
+            if p not in self.numbers:
+                self.numbers[p] = len(self.numbers)
+                self.fresh.append(p)
+            out.append(self.numbers[p])
+        return out
+
+    def pre_tokens(self, text: str) -> list[int] | None:
+        """Numbers of the pre-tokens of a space and the text; None if it has to go whole. Every space before a word begins a
+        pre-token, whatever stands before it."""
+        if not self.known_rules or any(s in text for s in self.straddling) or "'" in text and JOINED.search(text):
+            return None
+        words = text.split(" ")
         try:
-            return list(chain.from_iterable(map(self.remembered.__getitem__, parts)))
+            return list(chain.from_iterable(map(self.words.__getitem__, words)))
         except KeyError:
-            if len(self.remembered) > REMEMBERED:
-                self.remembered.clear()
-            for p in {p for p in parts if p not in self.remembered}:
-                self.remembered[p] = [t.id for t in self.a.model.tokenize("".join(map(self.marks.__getitem__, p.encode())))]
-            return list(chain.from_iterable(map(self.remembered.__getitem__, parts)))
+            for w in words:
+                if w not in self.words:
+                    self.words[w] = self.numbers_of(w)
+        except TypeError:
+            return None
+        found = list(map(self.words.__getitem__, words))
+        return None if None in found else list(chain.from_iterable(found))
+
+    def learn(self) -> None:
+        """The facts of fresh pre-tokens."""
+        if not self.fresh:
+            return
+        tokens = []
+        for p, b in zip(self.fresh, self.b.encode(["\n" + p for p in self.fresh], num_threads=1), strict=True):
+            head, b = b[: len(self.head)], b[len(self.head) :]
+            a = [t.id for t in self.a.model.tokenize("".join(map(self.marks.__getitem__, p.encode())))]
+            same = head == self.head and b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)) == p.encode()
+            tokens.append((a, b) if same else ([], []))
+        *counted, written, keys, often = self._grouped(tokens, 0)
+        owner = keys & ((1 << DOC_BITS) - 1)
+        order = np.argsort(owner, kind="stable")
+        many = np.bincount(owner, minlength=len(tokens))
+        first = len(self.pairs) + np.cumsum(many) - many
+        self.facts = np.concatenate([self.facts, np.stack([*counted, first, many])], axis=1)
+        self.pairs = np.concatenate([self.pairs, keys[order] >> DOC_BITS])
+        self.times = np.concatenate([self.times, np.ones(len(keys), np.int64) if often is None else often[order]])
+        self.groups += written
+        self.fresh = []
+
+    def aligned(self, texts: list[str], first: int):
+        """What :meth:`links` gives for the tokens of ``texts``."""
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        found = [self.pre_tokens(t) if t else [] for t in texts]
+        self.learn()
+        sizes = np.array([len(f or ()) for f in found], np.int64)
+        units = np.fromiter(chain.from_iterable(f or () for f in found), np.int64, int(sizes.sum()))
+        whole = np.array([f is None for f in found], bool)
+        whole[np.repeat(np.arange(len(texts)), sizes)[self.facts[2, units] == 0]] = True
+        units, sizes = units[~np.repeat(whole, sizes)], np.where(whole, 0, sizes)
+        stop = np.cumsum(sizes)
+        sums = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(self.facts[:4, units], axis=1)], axis=1)
+        counted = sums[:, stop] - sums[:, stop - sizes]
+        digests = ["" if w or not f else hashlib.sha256(";".join(map(self.groups.__getitem__, f)).encode()).hexdigest() for f, w in zip(found, whole.tolist(), strict=True)]
+        start, many = self.facts[4:, units]
+        at = np.arange(int(many.sum())) + np.repeat(start - (np.cumsum(many) - many), many)
+        keys = (self.pairs[at] << DOC_BITS) | np.repeat(np.repeat(np.arange(len(texts)) + first, sizes), many)
+        often = self.times[at]
+        rest = np.flatnonzero(whole)
+        if len(rest):
+            *more, shas, new, times = self.links(self.tokens([texts[i] for i in rest.tolist()]), 0)
+            counted[:, rest] = more
+            for i, sha in zip(rest.tolist(), shas, strict=True):
+                digests[i] = sha
+            low = (1 << DOC_BITS) - 1
+            keys = np.concatenate([keys, new & ~low | rest[new & low] + first])
+            often = np.concatenate([often, np.ones(len(new), np.int64) if times is None else times])
+        return *counted, digests, keys, None if (often == 1).all() else often
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """A and B ids of each text; none where the bytes of either differ from a space and the text."""
         spaced = [" " + t for t in texts]
         out = []
-        for t, s, ids, b in zip(texts, spaced, map(self.ids_of, spaced), self.b.encode(texts, num_threads=1), strict=True):
+        for t, s, ids, b in zip(texts, spaced, (self.a.encode(s, add_special_tokens=False).ids for s in spaced), self.b.encode(texts, num_threads=1), strict=True):
             want = s.encode()
             same = t and b"".join(map(self.bytes_a.__getitem__, ids)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
             out.append((ids, b) if same else ([], []))
@@ -122,6 +223,11 @@ class Pair:
     def links(self, tokens: list[tuple[list[int], list[int]]], first: int):
         """Per text (n_a, n_b, n_groups, n_links, groups_sha256), and its links as sorted-by-nothing arrays of keys
         (A turned, B, document number from ``first`` on) with how often each occurs (None: once each)."""
+        *counted, written, keys, counts = self._grouped(tokens, first)
+        return *counted, [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written], keys, counts
+
+    def _grouped(self, tokens: list[tuple[list[int], list[int]]], first: int):
+        """As :meth:`links`, with the groups as they are digested."""
         n_a = np.array([len(a) for a, _ in tokens], np.int64)
         n_b = np.array([len(b) for _, b in tokens], np.int64)
         a = np.fromiter(chain.from_iterable(x for x, _ in tokens), np.int64, int(n_a.sum()))
@@ -156,10 +262,10 @@ class Pair:
                 more.append(((np.add.outer(ids_a << self.bits_b, ids_b) << DOC_BITS) | (of_group[g] + first)).ravel())
                 often.append(np.multiply.outer(t_a, t_b).ravel())
             keys, counts = np.concatenate(more), np.concatenate(often)
-        return n_a, n_b, n_groups, n_links, self._digests(a, b, n_a, n_b, (group_a, group_b), (many_a, many_b), (at_a, at_b)), keys, counts
+        return n_a, n_b, n_groups, n_links, self._written(a, b, n_a, n_b, (group_a, group_b), (many_a, many_b), (at_a, at_b)), keys, counts
 
-    def _digests(self, a, b, n_a, n_b, group, many, at) -> list[str]:
-        """Digests of the groups written as ``a1,a2|b1;a3|b2,b3``."""
+    def _written(self, a, b, n_a, n_b, group, many, at) -> list[str]:
+        """The groups as ``a1,a2|b1;a3|b2,b3``."""
         size_a, size_b = len(self.bytes_a), len(self.bytes_b)
         last_a = np.zeros(len(a), bool)
         last_a[at[0] + many[0] - 1] = True
@@ -171,8 +277,7 @@ class Pair:
         written[np.arange(len(b)) + (at[0] + many[0])[group[1]]] = b + 2 * size_a + last_b * size_b
         out, stop, names = [], np.cumsum(n_a + n_b).tolist(), self.names.__getitem__
         for start, end in zip([0, *stop[:-1]], stop):
-            text = "".join(map(names, written[start:end].tolist()))
-            out.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+            out.append("".join(map(names, written[start:end].tolist())))
         return out
 
 
@@ -181,6 +286,9 @@ def pair_of(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+MEMORIES.append(pair_of)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Whole numbers as byte planes, compressed."""
     planes = [np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
@@ -277,7 +385,7 @@ def spilled(few: DataFrame, path_a: str, path_b: str, records: int, characters:
                 while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= characters):
                     size += len(texts[stop] or "")
                     stop += 1
-                *numbers, new, often = p.links(p.tokens([t or "" for t in texts[at:stop]]), place)
+                *numbers, new, often = p.aligned([t or "" for t in texts[at:stop]], place)
                 given = dict(zip(DOC_COLUMNS, numbers, strict=True))
                 yield rows(stop - at, batch["doc_id"][at:stop], given | {"place": range(place, place + stop - at)})
                 keys.append(new)

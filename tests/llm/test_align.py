@@ -88,3 +88,27 @@ def test_large_groups_count_alike(monkeypatch):
 def test_empty_table(spark):
     assert align.align(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
     assert align.align(spark.createDataFrame([(1, None)], "doc_id long, text string"), A, B).collect()[0].n_links == 0
+
+
+def test_remembered_pre_tokens_give_the_library_s_tokens(monkeypatch):
+    """Texts put together from pre-tokens have the rows, keys and counts of texts that go to the libraries whole; each pre-token is learned once."""
+    p = align.Pair(A, B)
+    assert p.straddling == ["\r", "  ", "²."]
+    texts = [t or "" for _, t in TEXTS] + ["It's 'sfoo 5'sbar l'rest d'accord, end.\nNext\n\n one²3 m².", "x ", " x", "a \n b\r\nc", "tab\tbed 1,234.5%", "word " * 50 + "y" * 70]
+    docs = queries_texts()
+    for some in (texts, docs):
+        got, want = p.aligned(some, 7), p.links(p.tokens(some), 7)
+        assert [list(x) for x in got[:5]] == [list(x) for x in want[:5]]
+        totals = [Counter(), Counter()]
+        for (*_, keys, often), total in zip((got, want), totals):
+            for k, n in zip(keys.tolist(), often.tolist() if often is not None else [1] * len(keys)):
+                total[k] += n
+        assert totals[0] == totals[1]
+    monkeypatch.setattr(p, "tokens", None)  # the corpus' texts need no call of the libraries any more
+    assert not p.fresh and [list(x) for x in p.aligned(docs, 7)[:5]] == [list(x) for x in got[:5]]
+
+
+def queries_texts():
+    import pyarrow.parquet as pq
+
+    return [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() if t]
